@@ -9,10 +9,11 @@ triangle inequalities exclude nothing. So the outer pivots are single shingles:
 1 - 1/n from a pivot it holds and 1 from others, and a linked pair must share one of the first
 n - ceil(similarity * n) + 1 pivots of either in any fixed order. That order is rarest first, so a
 class whose own shingles fill this boundary belongs to no region and is done. The regions of shared
-pivots then join recursively and exactly: a member is taken as inner pivot, its distance to all
-members is computed, members within 1 - similarity are linked, and only members whose distances to the
-pivot differ by no more than that can link, so they go on in overlapping windows. A region whose
-members are all in one component is done.
+pivots then join recursively and exactly: a member is taken as inner pivot, its distance to the others
+is computed, near ones are linked, and a region whose members are all in one component is done. After
+`LEVELS` inner pivots only members of different components whose distances to every one of them differ
+by no more than 1 - similarity can still link: they meet in overlapping windows of that distance, and
+pairs that share enough outer pivots are compared.
 
 Shingles are counted by hash bucket over packed arrays. A shingle that a task sees in very many documents is
 broadcast as frequent (a bounded list), is ordered last, and never gathers in a bucket.
@@ -39,8 +40,8 @@ SHINGLE, PERCENT = 5, 75
 HOT_SHARE, HOT_LEAST, HOT_MOST = 0.004, 40, 1_000_000
 #: Shingles a bucket should hold, shingles packed at a time, classes whose hashes are broadcast to fetch their texts.
 BUCKET_SHINGLES, PACKED, BROADCAST_CLASSES = 200_000, 2_000_000, 1_000_000
-#: Members up to which a region's pairs are compared one by one, and levels of inner pivots before all are.
-SMALL, LEVELS = 24, 12
+#: Inner pivots that each region tries in turn before its windows are compared.
+LEVELS = 3
 
 
 def shingle_sets(w: Words, length: int) -> list[np.ndarray]:
@@ -53,10 +54,10 @@ def shingle_sets(w: Words, length: int) -> list[np.ndarray]:
             out.append(np.unique(h[cuts[k] : cuts[k + 1]]))
         elif n:
             own = w.hash[w.first[k] : w.first[k + 1]]
-            whole = np.uint64(n)
+            whole = np.array([n], np.uint64)
             for x in own:
-                whole = mix(np.array([whole * np.uint64(31) + x]))[0]
-            out.append(np.array([whole], np.uint64))
+                whole = mix(whole * np.uint64(31) + x)
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -146,7 +147,7 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
     # one number for each task
     checks = spark.sparkContext.broadcast({r["ref"]: r["n"] for r in scanned.where("kind = 2").select("ref", "n").collect()})
     total = scanned.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(1, total / BUCKET_SHINGLES))))
+    bits = min(22, max(6, math.ceil(math.log2(max(1, total / BUCKET_SHINGLES)))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -212,7 +213,7 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
         df = np.repeat(counts, counts)
         some = df > 1
-        key = (key[some].view(np.int64) << bits) | given["bucket"][0].as_py()
+        key = ((key[some].view(np.int64) << bits) | given["bucket"][0].as_py()) & ((1 << 62) - 1)
         return pa.table({"ref": ref[some], "shingle": key, "df": pa.array(df[some], pa.int32())})
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +222,10 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
             rows = []
             for k, (own, key) in enumerate(zip(sets, ids, strict=True)):
                 places = hot.value.places(own) if key is not None else np.zeros(0, int)
-                some = own[places >= 0]
-                if len(some):
-                    need = _boundary(len(own), percent) - (len(own) - len(some))
-                    rows.append((ref + k, len(some), some[np.argsort(places[places >= 0])][: max(0, need)].view(np.int64).tolist()))
+                some = int((places >= 0).sum())
+                if some:
+                    need = _boundary(len(own), percent) - (len(own) - some)
+                    rows.append((ref + k, some, np.sort(places[places >= 0])[: max(0, need)].tolist()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["ref", "n_hot", "hot"])
 
@@ -236,15 +237,17 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
         own = own.join(materialise(given.mapInArrow(last, "ref bigint, n_hot bigint, hot array<bigint>"), "frequent"), "ref", "left")
     else:
         own = own.withColumn("n_hot", F.lit(0).cast("bigint")).withColumn("hot", F.array().cast("array<bigint>"))
-    m = F.coalesce(F.size("held"), F.lit(0))
-    m = F.greatest(m, F.lit(0))
+    m = F.greatest(F.coalesce(F.size("held"), F.lit(0)), F.lit(0))
     alone = F.col("n") - F.coalesce("n_hot", F.lit(0)) - m
-    need = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 2 - alone
-    pivots = F.concat(
-        F.coalesce(F.transform(F.slice("held", F.lit(1), F.greatest(F.lit(0), F.least(need, m)).cast("int")), lambda x: x["shingle"]), F.array().cast("array<bigint>")),
-        F.coalesce("hot", F.array().cast("array<bigint>")),
-    )
-    return materialise(own.where(need > 0).select(F.explode(pivots).alias("region"), "id", "n").distinct(), "members")
+    # _boundary
+    width = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 2
+    place = "array<struct<hot:int,df:int,region:bigint>>"
+    rare = F.transform(F.slice("held", F.lit(1), F.greatest(F.lit(0), F.least(width - alone, m)).cast("int")), lambda x: F.struct(F.lit(0).alias("hot"), x["df"].alias("df"), x["shingle"].alias("region")))
+    late = F.transform("hot", lambda x: F.struct(F.lit(1).alias("hot"), x.cast("int").alias("df"), (-1 - x).alias("region")))
+    pivots = F.concat(F.coalesce(rare.cast(place), F.array().cast(place)), F.coalesce(late.cast(place), F.array().cast(place)))
+    own = own.where(width > alone).select("id", "n", width.alias("width"), (alone / F.col("n")).alias("alone"), pivots.alias("pivots")).where(F.size("pivots") > 0)
+    # rows of copies are equal
+    return materialise(own.withColumn("last", F.element_at("pivots", -1)).distinct().select("id", "n", "width", "alone", "last", F.explode("pivots.region").alias("region")), "members")
 
 
 def _fetch(given: DataFrame, scanned: DataFrame, members: DataFrame, length: int) -> DataFrame:
@@ -278,33 +281,65 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of all linked classes, by recursion over the regions."""
+def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after further links."""
+    edges = links.select("a", "b")
+    return components(edges if parts is None else edges.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of all linked classes, by recursion over the regions; None if there are no links."""
     near = 1 - percent / 100 + 1e-9
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    known = links = parts = None
-    for level in range(LEVELS + 1):
-        own = members.withColumn("part", F.col("id")) if parts is None else members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select(*members.columns, F.coalesce("component", "id").alias("part"))
-        regions = own.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "id")).alias("pivot"), F.min("part").alias("one"), F.max("part").alias("other")).where("one <> other")
-        own = materialise(own.join(regions.select("region", "size", F.col("pivot.id").alias("pivot")), "region"), "regions")
+    known = parts = None
+    own = members.select("region", "id", "n", "alone", F.lit(None).cast("array<double>").alias("far"), F.lit(None).cast("binary").alias("before"))
+    for level in range(LEVELS):
+        part = F.col("id") if parts is None else F.coalesce("component", "id")
+        own = (own if parts is None else own.join(parts.withColumnRenamed("node", "id"), "id", "left")).withColumn("part", part)
+        # a member whose shingles are shared most is near most others; later ones come from another component
+        new = F.struct((F.col("part") == F.col("before")).alias("same"), "alone", "n", "id", "part")
+        regions = own.groupBy("region").agg(F.min(new).alias("pivot"), F.min("part").alias("one"), F.max("part").alias("other")).where("one <> other")
+        pivot = regions.select("region", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("m"), F.col("pivot.part").alias("pivot_part"))
+        own = materialise(own.select("region", "id", "n", "alone", "far", "part").join(pivot, "region"), "regions")
         if own.isEmpty():
-            break
-        small = (F.col("size") <= SMALL) | F.lit(level == LEVELS)
-        other = own.select("region", F.col("id").alias("with"), F.col("n").alias("m"), F.col("part").alias("with_part"))
-        pairs = own.where(small).join(other, "region").where((F.col("id") < F.col("with")) & (F.col("part") != F.col("with_part")) & fits).select(*_pair("id", "with"))
-        pairs = pairs.unionByName(own.where(~small & (F.col("id") != F.col("pivot"))).select(*_pair("id", "pivot"))).distinct()
+            return parts
+        apart = F.lit(True) if level == 0 else (F.col("part") != F.col("pivot_part")) & fits
+        pairs = own.where((F.col("id") != F.col("pivot")) & apart).select(*_pair("id", "pivot")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         new = _measure(pairs, sets, percent)
         known = new if known is None else known.unionByName(new)
-        links = known.where("linked").select("a", "b")
-        parts = components(links)
-        # large regions go on: members whose distances to the pivot are near each other share a window
-        rest = own.where(~small & (F.col("id") != F.col("pivot"))).select("region", "id", "n", *_pair("id", "pivot")).join(known, ["a", "b"])
-        window = F.floor(F.col("distance") / near)
-        members = rest.select("region", "id", "n", F.explode(F.array(window, window - 1)).alias("w")).where("w >= 0").select(F.xxhash64("region", "w").alias("region"), "id", "n")
-        members = materialise(members, "windows")
-    return parts
+        linked = new.where("linked")
+        if not linked.isEmpty():
+            parts = _merged(parts, linked)
+        # the pivot has met all members; the others keep their distance to it
+        rest = own.where("id <> pivot").withColumns(dict(zip("ab", _pair("id", "pivot"), strict=True))).join(known, ["a", "b"], "left")
+        far = F.concat(F.coalesce("far", F.array().cast("array<double>")), F.array(F.col("distance")))
+        own = rest.select("region", "id", "n", "alone", far.alias("far"), F.col("pivot_part").alias("before"))
+    # what is left meets in windows: other components, sizes that fit, distances to every pivot that differ by little
+    part = F.col("id") if parts is None else F.coalesce("component", "id")
+    own = (own if parts is None else own.join(parts.withColumnRenamed("node", "id"), "id", "left")).withColumn("part", part)
+    mixed = own.groupBy("region").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one <> other").select("region")
+    own = materialise(own.select("region", "id", "n", "far", "part", F.explode(F.array(_window(near), _window(near) - 1)).alias("window")).join(mixed, "region", "left_semi"), "windows")
+    other = own.select("region", "window", F.col("id").alias("with"), F.col("n").alias("m"), F.col("far").alias("with_far"), F.col("part").alias("with_part"))
+    close = F.forall(F.zip_with("far", "with_far", lambda x, y: F.coalesce(F.abs(x - y) <= near, F.lit(True))), lambda x: x)
+    # a pair that shares two windows counts in the lower one only
+    once = F.col("window") == F.least(_window(near), _window(near, "with_far"))
+    pairs = own.join(other, ["region", "window"]).where((F.col("id") < F.col("with")) & (F.col("part") != F.col("with_part")) & fits & once & close)
+    pairs = pairs.groupBy(F.col("id").alias("a"), F.col("with").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    # all common pivots were counted, so the rest of the set whose boundary ends first bounds what else is common
+    dims = members.select("id", "n", "width", "last").distinct()
+    side = lambda c: dims.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "width", "last")])
+    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a") - F.col("width_a")).otherwise(F.col("n_b") - F.col("width_b"))
+    enough = (100 + percent) * (F.col("shared") + 2 + rest) >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+    linked = _measure(pairs.join(known, ["a", "b"], "left_anti"), sets, percent).where("linked")
+    return parts if linked.isEmpty() else _merged(parts, linked)
+
+
+def _window(near: float, far: str = "far"):
+    """The window of the distance to the first pivot, which all members of a region have."""
+    return F.floor(F.get(far, F.lit(0)) / near)
 
 
 def join(docs: DataFrame, *, similarity_percent: int = PERCENT, shingle: int = SHINGLE, stable: bool = False) -> DataFrame:
