@@ -12,8 +12,7 @@ class whose own shingles fill this boundary belongs to no region and is done. Th
 pivots then join recursively and exactly: a member is taken as inner pivot, its distance to the others
 is computed, near ones are linked, and a region whose members are all in one component is done. After
 `LEVELS` inner pivots only members of different components whose distances to every one of them differ
-by no more than 1 - similarity can still link: they meet in overlapping windows of that distance, and
-pairs that share enough outer pivots are compared.
+by no more than 1 - similarity can still link; such pairs are compared if they share enough outer pivots.
 
 Shingles are counted by hash bucket over packed arrays. A shingle that a task sees in very many documents is
 broadcast as frequent (a bounded list), is ordered last, and never gathers in a bucket.
@@ -40,8 +39,8 @@ SHINGLE, PERCENT = 5, 75
 HOT_SHARE, HOT_LEAST, HOT_MOST = 0.004, 40, 1_000_000
 #: Shingles a bucket should hold, shingles packed at a time, classes whose hashes are broadcast to fetch their texts.
 BUCKET_SHINGLES, PACKED, BROADCAST_CLASSES = 200_000, 2_000_000, 1_000_000
-#: Inner pivots that each region tries in turn before its windows are compared.
-LEVELS = 3
+#: Inner pivots that each region tries in turn before its blocks, of so many members, are compared.
+LEVELS, BLOCK = 3, 512
 
 
 def shingle_sets(w: Words, length: int) -> list[np.ndarray]:
@@ -316,30 +315,63 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         rest = own.where("id <> pivot").withColumns(dict(zip("ab", _pair("id", "pivot"), strict=True))).join(known, ["a", "b"], "left")
         far = F.concat(F.coalesce("far", F.array().cast("array<double>")), F.array(F.col("distance")))
         own = rest.select("region", "id", "n", "alone", far.alias("far"), F.col("pivot_part").alias("before"))
-    # what is left meets in windows: other components, sizes that fit, distances to every pivot that differ by little
+    # what is left is compared by the pivots it shares, block by block
     part = F.col("id") if parts is None else F.coalesce("component", "id")
     own = (own if parts is None else own.join(parts.withColumnRenamed("node", "id"), "id", "left")).withColumn("part", part)
-    mixed = own.groupBy("region").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one <> other").select("region")
-    own = materialise(own.select("region", "id", "n", "far", "part", F.explode(F.array(_window(near), _window(near) - 1)).alias("window")).join(mixed, "region", "left_semi"), "windows")
-    other = own.select("region", "window", F.col("id").alias("with"), F.col("n").alias("m"), F.col("far").alias("with_far"), F.col("part").alias("with_part"))
-    close = F.forall(F.zip_with("far", "with_far", lambda x, y: F.coalesce(F.abs(x - y) <= near, F.lit(True))), lambda x: x)
-    # a pair that shares two windows counts in the lower one only
-    once = F.col("window") == F.least(_window(near), _window(near, "with_far"))
-    pairs = own.join(other, ["region", "window"]).where((F.col("id") < F.col("with")) & (F.col("part") != F.col("with_part")) & fits & once & close)
-    pairs = pairs.groupBy(F.col("id").alias("a"), F.col("with").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    # all common pivots were counted, so the rest of the set whose boundary ends first bounds what else is common
-    dims = members.select("id", "n", "width", "last").distinct()
-    side = lambda c: dims.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "width", "last")])
-    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a") - F.col("width_a")).otherwise(F.col("n_b") - F.col("width_b"))
-    enough = (100 + percent) * (F.col("shared") + 2 + rest) >= percent * (F.col("n_a") + F.col("n_b"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+    mixed = own.groupBy("region").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.count(F.lit(1)).alias("size")).where("one <> other").select("region", "size")
+    own = materialise(own.select("region", "id", "n", "far", "part").join(mixed, "region"), "rest")
+    # at most a set's boundary
+    dims = members.select("id", "width", "last.hot", "last.df", "region").join(mixed.select("region"), "region", "left_semi").groupBy("id")
+    dims = dims.agg(F.first("width").alias("width"), F.first("hot").alias("hot"), F.first("df").alias("df"), F.collect_list(F.hash("region")).alias("shared"))
+    last = members.select("id", F.col("last.region").alias("last")).distinct()
+    tasks = max(64, own.count() // 20_000)
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.pmod(F.hash("id"), count)
+    # a member's block meets itself and every other block of its region once
+    meets = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block <= j).alias("left"), (block >= j).alias("right")))
+    dealt = own.join(dims, "id").join(last, "id").select("*", F.inline(meets))
+    dealt = dealt.withColumn("task", F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("region"), F.lit(tasks))).otherwise(F.xxhash64("region", "i", "j")))
+    pairs = dealt.drop("size").groupBy("task").applyInArrow(lambda t: _close(t, percent, near), "a binary, b binary").distinct()
     linked = _measure(pairs.join(known, ["a", "b"], "left_anti"), sets, percent).where("linked")
     return parts if linked.isEmpty() else _merged(parts, linked)
 
 
-def _window(near: float, far: str = "far"):
-    """The window of the distance to the first pivot, which all members of a region have."""
-    return F.floor(F.get(far, F.lit(0)) / near)
+def _close(given: pa.Table, percent: int, near: float) -> pa.Table:
+    """Pairs of a region's blocks that can link: other components, sizes that fit, near distances to every pivot, enough shared pivots."""
+    given = given.sort_by([(c, "ascending") for c in ("region", "i", "j")])
+    keys = np.stack([given[c].to_numpy().astype(np.int64) for c in ("region", "i", "j")])
+    ids = np.array(given["id"].to_pylist(), object)
+    _, part = np.unique(np.array(given["part"].to_pylist(), object), return_inverse=True)
+    n, width, left, right = (given[c].to_numpy() for c in ("n", "width", "left", "right"))
+    far = np.array([[np.nan if x is None else x for x in row] for row in given["far"].to_pylist()], np.float64)
+    order = np.lexsort((given["last"].to_numpy(), given["df"].to_numpy(), given["hot"].to_numpy()))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    shared = given["shared"].combine_chunks()
+    at, values = shared.offsets.to_numpy(), shared.values.to_numpy()
+    cuts = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(0), True]) if len(ids) else np.zeros(1, int)
+    out_a, out_b = [], []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = values[at[lo] : at[hi]]
+        seen, column = np.unique(own, return_inverse=True)
+        has = np.zeros((hi - lo, len(seen)), np.float32)
+        has[np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1])), column] = 1
+        x, y = np.flatnonzero(left[lo:hi]), np.flatnonzero(right[lo:hi])
+        common = has[x] @ has[y].T
+        x, y = x + lo, y + lo
+        nx, ny = n[x][:, None], n[y][None, :]
+        # all common pivots are counted, so the rest of the set whose boundary ends first bounds what else is common
+        rest = np.where(rank[x][:, None] <= rank[y][None, :], (n - width)[x][:, None], (n - width)[y][None, :])
+        ok = ((100 + percent) * (common + 2 + rest) >= percent * (nx + ny)) & (part[x][:, None] != part[y][None, :])
+        ok &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+        for k in range(far.shape[1]):
+            ok &= ~(np.abs(far[x, k][:, None] - far[y, k][None, :]) > near)
+        i, j = np.nonzero(ok)
+        for a, b in zip(ids[x[i]].tolist(), ids[y[j]].tolist(), strict=True):
+            if a != b:
+                out_a.append(min(a, b))
+                out_b.append(max(a, b))
+    return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
 def join(docs: DataFrame, *, similarity_percent: int = PERCENT, shingle: int = SHINGLE, stable: bool = False) -> DataFrame:
