@@ -31,7 +31,7 @@ from .common import per_text
 #: Bytes of a piece beyond which it is encoded as a tree; characters of its leaves.
 LONG, LEAF = 4096, 2048
 #: Pieces a worker remembers (about 200 bytes each); it starts anew beyond that.
-CACHE = 1_200_000
+CACHE = 600_000
 WINDOW = 8
 #: Characters of a text beyond which its parts are encoded as rows of their own.
 SPREAD = 1 << 20
