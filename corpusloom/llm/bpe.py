@@ -330,7 +330,8 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        # a worker that has encoded before has the tokenizer already
+        tokenizer = _KEPT[path].tokenizer if path in _KEPT else Tokenizer.from_file(path)
         if tokenizer.decoder is not None:
             for batch in batches:
                 texts = tokenizer.decode_batch([x or [] for x in batch.column("ids").to_pylist()], skip_special_tokens=False)
