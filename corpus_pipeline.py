@@ -38,10 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and their number, and whether decoding gives the ids' tokens back."""
-    path = tokenizer_path()
-    # written between, so that a core has one Python worker at a time, and nothing is encoded twice
-    coded = materialise(bpe.encode(docs, path, keep=["doc_id", "lang", "source"]), "token-ids")
-    out = bpe.decode(coded, path)
+    out = bpe.round_trip(docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
     return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

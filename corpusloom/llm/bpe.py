@@ -31,7 +31,9 @@ from .common import per_text
 #: Bytes of a piece beyond which it is encoded as a tree; characters of its leaves.
 LONG, LEAF = 4096, 2048
 #: Pieces a worker remembers (about 200 bytes each); it starts anew beyond that.
-CACHE = 600_000
+CACHE = 200_000
+#: Ids that are decoded at a time; a longer text is decoded alone.
+DECODE_IDS = 1 << 18
 WINDOW = 8
 #: Characters of a text beyond which its parts are encoded as rows of their own.
 SPREAD = 1 << 20
@@ -177,14 +179,15 @@ class Encoder:
                 self._learn(piece)
         index = self.index
         own = np.array([index[piece] for piece in different], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if different else np.zeros(0, np.int64)
-        first = np.array(self.first)
+        # views, gone when this returns: an array that is looked at can't grow
+        first = np.frombuffer(self.first, np.int64)
         size = first[own + 1] - first[own]
         ends = np.concatenate([[0], np.cumsum(size)])
         # place of every id: the first one of its piece plus a count within the piece
         place = np.repeat(first[own] - ends[:-1], size) + np.arange(ends[-1])
         # spaces went, so a text begins where the bytes kept before it end
         before = np.concatenate([[0], np.cumsum(_CLASS[data] != 0)])[text_at]
-        return ends[np.searchsorted(starts, before)], np.array(self.flat, np.int32)[place]
+        return ends[np.searchsorted(starts, before)], np.frombuffer(self.flat, np.int32)[place] if len(place) else np.zeros(0, np.int32)
 
     def _alone(self, text: str) -> np.ndarray:
         """One text's ids where special tokens, or an unknown tokenizer, need the library for all of it."""
@@ -263,6 +266,10 @@ def encoder_for(path: str) -> Encoder:
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
+def _beyond(text: str, spread: int):
+    return F.coalesce(F.length(F.col(f"`{text}`").cast("string")) > spread, F.lit(False))
+
+
 def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, spread: int = SPREAD) -> DataFrame:
     """`row` and `found.ids` of every whole text."""
 
@@ -275,8 +282,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] |
 
         return work
 
-    # only the fixed spec cuts texts safely; another tokenizer's texts stay whole
-    huge = F.coalesce(F.length(F.col(f"`{text}`").cast("string")) > spread, F.lit(False))
+    huge = _beyond(text, spread)
     return per_text(docs.where(~huge), text, keep, IDS, make).unionByName(_encode_spread(docs.where(huge), path, text, keep, spread))
 
 
@@ -323,27 +329,62 @@ def _encode_spread(docs: DataFrame, path: str, text: str, keep: list[str] | None
     return keyed.select("row", "key").join(joined, "key").select("row", "found")
 
 
+def decoder_for(path: str):
+    """Texts of lists of ids, special tokens included; kept from task to task."""
+    tokenizer = encoder_for(path).tokenizer
+    if tokenizer.decoder is not None:
+        return lambda lists: pa.array(tokenizer.decode_batch([x or [] for x in lists.to_pylist()], skip_special_tokens=False), pa.string())
+    if path not in _TOKENS:
+        _TOKENS[path] = pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())], pa.string())
+    tokens = _TOKENS[path]
+
+    def spaced(lists: pa.ListArray) -> pa.Array:
+        # without a decoder, a text is its tokens with a space between
+        at = lists.offsets.to_numpy()
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), tokens.take(lists.flatten())), " ")
+
+    return spaced
+
+
+_TOKENS: dict[str, pa.Array] = {}
+
+
+def _decoded(decoder, lists: pa.ListArray) -> Iterator[tuple[int, int, pa.Array]]:
+    """(from, to, texts) of runs of lists with about DECODE_IDS ids."""
+    ends, at = lists.offsets.to_numpy(), 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + DECODE_IDS, side="right")) - 1)
+        yield at, to, decoder(lists.slice(at, to - at))
+        at = to
+
+
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """`row`, `ids` and `text` of what `encode` returns, special tokens included."""
     given = coded.select("row", F.col("found.ids").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        # a worker that has encoded before has the tokenizer already
-        tokenizer = _KEPT[path].tokenizer if path in _KEPT else Tokenizer.from_file(path)
-        if tokenizer.decoder is not None:
-            for batch in batches:
-                texts = tokenizer.decode_batch([x or [] for x in batch.column("ids").to_pylist()], skip_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["row", "ids", "text"])
-            return
-        # without a decoder, a text is its tokens with a space between
-        tokens = pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())], pa.string())
+        decoder = decoder_for(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column("ids")
-                lists = pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy() - ids.offsets[0].as_py(), pa.int32()), tokens.take(ids.flatten()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, " ")], ["row", "ids", "text"])
+            for at, to, texts in _decoded(decoder, batch.column("ids")):
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, texts], ["row", "ids", "text"])
 
     return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField("text", T.StringType())]))
+
+
+def round_trip(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, spread: int = SPREAD) -> DataFrame:
+    """`row`, `ids` and `text`: `decode` of `encode`, by one worker in one pass; texts beyond `spread` in two."""
+
+    def make():
+        encoder, decoder = encoder_for(path), decoder_for(path)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            at, ids = encoder.encode(texts)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            return [lists, pa.concat_arrays([x for *_, x in _decoded(decoder, lists)])]
+
+        return work
+
+    huge = _beyond(text, spread)
+    both = T.StructType([*IDS.fields, T.StructField("text", T.StringType())])
+    short = per_text(docs.where(~huge), text, keep, both, make).select("row", "found.ids", "found.text")
+    return short.unionByName(decode(_encode_spread(docs.where(huge), path, text, keep, spread), path))

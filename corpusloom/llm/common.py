@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that are hashed at a time in a task; bounds its numpy arrays to about 25 times this.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -72,13 +72,17 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"], _powers["down"]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    # those of a text longer than a slice go with it
+    if n <= SLICE_BYTES + 1:
+        _powers["up"], _powers["down"] = made
+    return made[0], made[1]
 
 
 @dataclass
@@ -133,13 +137,13 @@ def words_of(texts: pa.Array, word_bytes: np.ndarray, lower: bool) -> Words:
     return Words(data, text_at, start, end, np.repeat(np.arange(n), np.diff(first)), hashes, first)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of `batch` in runs of about SLICE_BYTES of text; a longer text is a run of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` in runs of about `size` bytes of text; a longer text is a run of its own."""
     texts = batch.column(column).cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 

@@ -37,6 +37,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Share of a task's documents from which a shingle is frequent, and the most that are broadcast (8 bytes each).
 HOT_SHARE, HOT_LEAST, HOT_MOST = 0.004, 40, 1_000_000
+#: Text bytes in which a task looks for frequent shingles at a time.
+SLICE = 4 << 20
 #: Shingles a bucket should hold, shingles packed at a time, classes whose hashes are broadcast to fetch their texts.
 BUCKET_SHINGLES, PACKED, BROADCAST_CLASSES = 200_000, 2_000_000, 1_000_000
 #: Inner pivots that each region tries in turn before its blocks, of so many members, are compared.
@@ -73,7 +75,7 @@ def _sets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.R
     """Parts of the batches with the ref of their first row, their sets and set ids."""
     ref = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=SLICE):
             sets = shingle_sets(words_of(part.column("text"), NONSPACE, True), length)
             yield part, ref, sets, [set_id(x) for x in sets]
             ref += part.num_rows

@@ -79,7 +79,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path)
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     return out.select(
         "row.doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
