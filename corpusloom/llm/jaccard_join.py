@@ -12,7 +12,8 @@ class whose own shingles fill this boundary belongs to no region and is done. Th
 pivots then join recursively and exactly: a member is taken as inner pivot, its distance to the others
 is computed, near ones are linked, and a region whose members are all in one component is done. After
 `LEVELS` inner pivots only members of different components whose distances to every one of them differ
-by no more than 1 - similarity can still link; such pairs are compared if they share enough outer pivots.
+by no more than 1 - similarity can still link; such pairs are compared, block by block, if they share
+enough outer pivots, and a block gives only links enough to connect what it links.
 
 Shingles are counted by hash bucket over packed arrays. A shingle that a task sees in very many documents is
 broadcast as frequent (a bounded list), is ordered last, and never gathers in a bucket.
@@ -41,8 +42,10 @@ HOT_SHARE, HOT_LEAST, HOT_MOST = 0.004, 40, 1_000_000
 SLICE = 4 << 20
 #: Shingles a bucket should hold, shingles packed at a time, classes whose hashes are broadcast to fetch their texts.
 BUCKET_SHINGLES, PACKED, BROADCAST_CLASSES = 200_000, 2_000_000, 1_000_000
-#: Inner pivots that each region tries in turn before its blocks, of so many members, are compared.
-LEVELS, BLOCK = 3, 512
+#: Inner pivots that each region tries in turn before its blocks, of so many members and shingles, are compared.
+LEVELS, BLOCK, BLOCK_SHINGLES = 3, 512, 1_000_000
+#: Shingles of a block that are multiplied at a time.
+COLUMNS = 4096
 
 
 def shingle_sets(w: Words, length: int) -> list[np.ndarray]:
@@ -320,29 +323,36 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
     # what is left is compared by the pivots it shares, block by block
     part = F.col("id") if parts is None else F.coalesce("component", "id")
     own = (own if parts is None else own.join(parts.withColumnRenamed("node", "id"), "id", "left")).withColumn("part", part)
-    mixed = own.groupBy("region").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.count(F.lit(1)).alias("size")).where("one <> other").select("region", "size")
+    mixed = own.groupBy("region").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("one <> other").select("region", "size", "weight")
     own = materialise(own.select("region", "id", "n", "far", "part").join(mixed, "region"), "rest")
     # at most a set's boundary
     dims = members.select("id", "width", "last.hot", "last.df", "region").join(mixed.select("region"), "region", "left_semi").groupBy("id")
     dims = dims.agg(F.first("width").alias("width"), F.first("hot").alias("hot"), F.first("df").alias("df"), F.collect_list(F.hash("region")).alias("shared"))
     last = members.select("id", F.col("last.region").alias("last")).distinct()
     tasks = max(64, own.count() // 20_000)
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    count = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.hash("id"), count)
     # a member's block meets itself and every other block of its region once
     meets = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block <= j).alias("left"), (block >= j).alias("right")))
     dealt = own.join(dims, "id").join(last, "id").select("*", F.inline(meets))
-    dealt = dealt.withColumn("task", F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("region"), F.lit(tasks))).otherwise(F.xxhash64("region", "i", "j")))
-    pairs = dealt.drop("size").groupBy("task").applyInArrow(lambda t: _close(t, percent, near), "a binary, b binary").distinct()
-    linked = _measure(pairs.join(known, ["a", "b"], "left_anti"), sets, percent).where("linked")
-    return parts if linked.isEmpty() else _merged(parts, linked)
-
-
-def _close(given: pa.Table, percent: int, near: float) -> pa.Table:
-    """Pairs of a region's blocks that can link: other components, sizes that fit, near distances to every pivot, enough shared pivots."""
-    given = given.sort_by([(c, "ascending") for c in ("region", "i", "j")])
+    dealt = dealt.withColumn("task", F.when(count == 1, F.pmod(F.xxhash64("region"), F.lit(tasks))).otherwise(F.xxhash64("region", "i", "j")))
+    dealt = dealt.drop("size", "weight")
+    # blocks lose the members that have no candidate in them before the others' sets join
+    alive = materialise(dealt.groupBy("task").applyInArrow(lambda t: _with_candidates(t, percent, near), dealt.schema), "blocks")
+    size = alive.agg(F.sum("n")).first()[0]
+    if not size:
+        return parts
+    groups = max(64, size // BLOCK_SHINGLES)
+    full = alive.join(sets, "id").withColumn("task", F.pmod(F.xxhash64("region", "i", "j"), F.lit(groups)))
+    return _merged(parts, full.groupBy("task").applyInArrow(lambda t: _forests(t, percent, near), "a binary, b binary").distinct())
+
+
+def _blocks(given: pa.Table, percent: int, near: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, other rows, and which of them can link: other components, sizes that fit, near distances to every pivot, enough shared pivots.
+
+    `given` is sorted by region, i and j.
+    """
     keys = np.stack([given[c].to_numpy().astype(np.int64) for c in ("region", "i", "j")])
-    ids = np.array(given["id"].to_pylist(), object)
     _, part = np.unique(np.array(given["part"].to_pylist(), object), return_inverse=True)
     n, width, left, right = (given[c].to_numpy() for c in ("n", "width", "left", "right"))
     far = np.array([[np.nan if x is None else x for x in row] for row in given["far"].to_pylist()], np.float64)
@@ -351,8 +361,7 @@ def _close(given: pa.Table, percent: int, near: float) -> pa.Table:
     rank[order] = np.arange(len(order))
     shared = given["shared"].combine_chunks()
     at, values = shared.offsets.to_numpy(), shared.values.to_numpy()
-    cuts = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(0), True]) if len(ids) else np.zeros(1, int)
-    out_a, out_b = [], []
+    cuts = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(0), True]) if given.num_rows else np.zeros(1, int)
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         own = values[at[lo] : at[hi]]
         seen, column = np.unique(own, return_inverse=True)
@@ -368,11 +377,83 @@ def _close(given: pa.Table, percent: int, near: float) -> pa.Table:
         ok &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
         for k in range(far.shape[1]):
             ok &= ~(np.abs(far[x, k][:, None] - far[y, k][None, :]) > near)
-        i, j = np.nonzero(ok)
-        for a, b in zip(ids[x[i]].tolist(), ids[y[j]].tolist(), strict=True):
-            if a != b:
-                out_a.append(min(a, b))
-                out_b.append(max(a, b))
+        yield x, y, ok
+
+
+def _in_order(given: pa.Table) -> pa.Table:
+    return given.sort_by([(c, "ascending") for c in ("region", "i", "j")])
+
+
+def _with_candidates(given: pa.Table, percent: int, near: float) -> pa.Table:
+    """The rows that can link with some other row of their block."""
+    given = _in_order(given)
+    stays = np.zeros(given.num_rows, bool)
+    for x, y, ok in _blocks(given, percent, near):
+        stays[x[ok.any(1)]] = True
+        stays[y[ok.any(0)]] = True
+    return given.filter(pa.array(stays))
+
+
+def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set shares with each of the others."""
+    shared = np.intersect1d(np.concatenate(sets), np.concatenate(others))
+    total = np.zeros((len(sets), len(others)), np.float32)
+    left, right = _places(sets, shared), _places(others, shared)
+    for at in range(0, len(shared), COLUMNS):
+        total += _holds(*left, at, len(sets)) @ _holds(*right, at, len(others)).T
+    return total
+
+
+def _places(sets: list[np.ndarray], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and place in `shared` (sorted) of each shingle that is there, by place."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    if not len(shared):
+        return owner[:0], owner[:0]
+    at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+    there = np.flatnonzero(shared[at] == values)
+    there = there[np.argsort(at[there], kind="stable")]
+    return owner[there], at[there]
+
+
+def _holds(owner: np.ndarray, place: np.ndarray, at: int, count: int) -> np.ndarray:
+    lo, hi = np.searchsorted(place, [at, at + COLUMNS])
+    out = np.zeros((count, COLUMNS), np.float32)
+    out[owner[lo:hi], place[lo:hi] - at] = 1
+    return out
+
+
+def _forests(given: pa.Table, percent: int, near: float) -> pa.Table:
+    """Links between rows of a block, whose sets are compared whole; of those in a block only a spanning forest, which connects the same rows."""
+    given = _in_order(given)
+    ids, lists = given["id"].to_pylist(), given["shingles"].combine_chunks()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sets = lambda rows: [values[at[k] : at[k + 1]] for k in rows.tolist()]
+    out_a, out_b = [], []
+    for x, y, ok in _blocks(given, percent, near):
+        if not ok.any():
+            continue
+        some_x, some_y = ok.any(1), ok.any(0)
+        x, y, ok = x[some_x], y[some_y], ok[some_x][:, some_y]
+        common = _common(sets(x), sets(y))
+        sizes = (at[x + 1] - at[x])[:, None] + (at[y + 1] - at[y])[None, :]
+        linked = ok & (100 * common.astype(np.int64) >= percent * (sizes - common.astype(np.int64)))
+        rows = np.union1d(x, y)
+        near_by = np.zeros((len(rows), len(rows)), bool)
+        i, j = np.nonzero(linked)
+        i, j = np.searchsorted(rows, x[i]), np.searchsorted(rows, y[j])
+        near_by[i, j] = near_by[j, i] = True
+        free = near_by.any(1)
+        while free.any():
+            reached = [int(np.argmax(free))]
+            free[reached[0]] = False
+            for k in reached:
+                new = np.flatnonzero(near_by[k] & free).tolist()
+                free[new] = False
+                reached += new
+                for m in new:
+                    a, b = ids[rows[k]], ids[rows[m]]
+                    out_a.append(min(a, b))
+                    out_b.append(max(a, b))
     return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
