@@ -1,16 +1,20 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney bigram model of trusted texts.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney bigram models of trusted texts.
 
-Words are runs without white space and `.,;:`, case kept. The vocabulary is the `vocabulary` most frequent
-words of all trusted texts that occur `min_count` times; others are one class, whose probability its
-different words share. Counts, continuation counts and context totals are Spark groupings and joins
-over all texts of the model's half. The trusted texts are split by content: one half teaches the model, the
-other is held out, so that thresholds fit texts the model has not seen. A document's score is its mean log probability a word, with `prior_words` words
+Words are runs without white space and `.,;:`, case kept. Each language has counts, a vocabulary, discounts
+and totals of its own. The vocabulary is every word that occurs `min_count` times in the language's trusted texts, so
+it grows with the corpus; other words are one class of the language, whose probability its different words share.
+Counts, continuation counts and context totals are Spark groupings and joins over all texts.
+
+Models are cross-fitted: texts are dealt by content into `folds`, and a language's model of a fold learns from
+the trusted texts of all other folds and scores the fold's texts. So all trusted texts teach, and none
+is scored by a model that has seen it or a copy. A document's score is its mean log probability a word, with `prior_words` words
 of its language's trusted mean added, so that short texts do not swing; its threshold is the
 `quantile` of its language's held-out scores, less `margin`. Lower scores are rejected; a language with
 fewer than `min_trusted` trusted texts gives no threshold, and its documents stay.
 
-A finished model of at most `broadcast_ngrams` bigrams is broadcast to score whole texts in one scan;
-a larger one stays sharded, and documents' bigram counts join it. A null or empty text has no words and is
+Finished models of at most `broadcast_ngrams` bigrams together are broadcast to score whole texts in one scan;
+larger ones stay sharded, and documents' bigram counts join them. The vocabulary (8 bytes a word) and the list of
+languages are always broadcast. A null or empty text has no words and is
 rejected; a null language is a language of its own; labels without a document are not used.
 """
 
@@ -25,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NONSPACE, Words, materialise, per_text, slices, words_of
+from .common import NONSPACE, Words, materialise, mix, slices, words_of
 
-VOCABULARY, MIN_COUNT = 10_000, 3
+MIN_COUNT, FOLDS = 3, 2
 PRIOR_WORDS, QUANTILE, MARGIN, MIN_TRUSTED = 20, 0.01, 0.35, 20
 #: 12 bytes each in the broadcast; labelled ids (8 bytes) that are broadcast to find the trusted texts.
 BROADCAST_NGRAMS, BROADCAST_LABELS = 4_000_000, 2_000_000
@@ -37,157 +41,213 @@ WORD_BYTES[np.frombuffer(b".,;:", np.uint8)] = False
 
 
 @dataclass
-class Model:
-    """Vocabulary hashes (sorted; word i + 1), and log probabilities as tables."""
-
-    vocabulary: np.ndarray
-    bigrams: DataFrame
-    contexts: DataFrame
-    unigrams: DataFrame
-
-    @property
-    def base(self) -> int:
-        """Word numbers: 0 unknown, then the vocabulary, last the start of a text."""
-        return len(self.vocabulary) + 2
+class Vocabulary:
+    """Numbers of words. Each model (a language's of a fold) has words of its own, as its number is part of their keys.
 
+    The first numbers are the models' unknown words, then their starts of a text, then the words by key.
+    """
 
-def _numbers(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of each word and of the word before it."""
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-        own = np.where(vocabulary[at] == w.hash, at + 1, 0)
-    else:
-        own = np.zeros(len(w.hash), np.int64)
-    before = np.concatenate([[0], own[:-1]]) if len(own) else own
-    starts = w.first[:-1][np.diff(w.first) > 0]
-    before[starts] = len(vocabulary) + 1
-    return own.astype(np.int64), before.astype(np.int64)
+    languages: dict[str, int]
+    folds: int
+    taught: np.ndarray
+    known: np.ndarray
 
+    @property
+    def models(self) -> int:
+        return len(self.languages) * self.folds
 
-def _counted(texts: DataFrame, work, names: list[str]) -> DataFrame:
-    """Sums of the counts that `work` makes of each slice; names are the keys."""
+    @property
+    def base(self) -> int:
+        return 2 * self.models + len(self.known)
+
+    def numbers(self, w: Words, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of each word and of the word before it, for texts of these models."""
+        own = model[w.text]
+        if len(self.known):
+            keys = _keys(w, model)
+            at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            own = np.where(self.known[at] == keys, at + 2 * self.models, own)
+        before = np.concatenate([[0], own[:-1]]).astype(np.int64) if len(own) else own
+        starts = w.first[:-1][np.diff(w.first) > 0]
+        before[starts] = self.models + model[w.text[starts]]
+        return own.astype(np.int64), before
+
+    def scoring(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The model that scores each text (-1: the language has none), and whether it is the one of the text's fold."""
+        lang, fold = _places(part, self.languages)
+        model = np.full(len(lang), -1)
+        # a fold without a model of its own takes the language's next
+        for step in reversed(range(self.folds)):
+            at = lang * self.folds + (fold + step) % self.folds
+            there = (lang >= 0) & self.taught[np.maximum(at, 0)] if len(self.taught) else np.zeros(len(lang), bool)
+            model[there] = at[there]
+        return model, model == lang * self.folds + fold
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in work(words_of(part.column("text"), WORD_BYTES, False))], [*names, "n"])
 
-    return texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
+@dataclass
+class Model:
+    """Vocabulary, and log probabilities of all models as tables."""
 
+    vocabulary: Vocabulary
+    bigrams: DataFrame
+    contexts: DataFrame
+    unigrams: DataFrame
 
-def _discount(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2 and D3+ of a count table."""
-    n = {r[0]: r[1] for r in counts.where("n <= 4").groupBy("n").count().collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    return tuple(min(i, max(0.05, i - (i + 1) * y * b / a)) if a else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
+def _keys(w: Words, model: np.ndarray) -> np.ndarray:
+    return mix(w.hash ^ mix(model.astype(np.uint64) + np.uint64(1))[w.text])
 
-def _taken(d: tuple[float, float, float]):
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
+def _places(part: pa.RecordBatch, languages: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    lang = np.array([languages.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
+    return lang, part.column("fold").to_numpy().astype(np.int64)
 
-def train(trusted: DataFrame, *, vocabulary: int = VOCABULARY, min_count: int = MIN_COUNT) -> Model:
-    """The model of all `trusted` texts."""
-    texts = trusted.select(F.col("text").cast("string").alias("text"))
 
-    def words(w: Words):
-        u, n = np.unique(w.hash, return_counts=True)
-        return u.view(np.int64), n
+def placed(docs: DataFrame, lang: str, folds: int) -> list:
+    """Columns text, lang and fold (by content)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [text.alias("text"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(folds)).cast("int").alias("fold")]
 
-    counts = materialise(_counted(texts, words, ["word"]), "words")
-    top = counts.where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()
-    known = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    n_unknown = max(1, counts.count() - len(known))
-    base = len(known) + 2
-    sent = trusted.sparkSession.sparkContext.broadcast(known)
 
-    def pairs(w: Words):
-        own, before = _numbers(w, sent.value)
-        u, n = np.unique(before * base + own, return_counts=True)
-        return u, n
+def _counted(texts: DataFrame, work, name: str, languages: dict[str, int], folds: int) -> DataFrame:
+    """Sums of the counts that `work` makes of each slice, by model and key."""
 
-    counted = _counted(texts, pairs, ["pair"])
-    bigrams = materialise(counted.select(F.floor(F.col("pair") / base).alias("before"), (F.col("pair") % base).alias("word"), "n"), "bigrams")
-    d = _discount(bigrams)
-    many = lambda c: F.count(F.when(c, 1))
-    spare = d[0] * many(F.col("n") == 1) + d[1] * many(F.col("n") == 2) + d[2] * many(F.col("n") > 2)
-    contexts = bigrams.groupBy("before").agg(F.sum("n").alias("total"), spare.alias("spare")).withColumn("weight", F.col("spare") / F.col("total"))
-    follows = materialise(bigrams.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "follows")
-    e = _discount(follows)
-    whole = follows.agg(F.sum("n").alias("total"), (e[0] * many(F.col("n") == 1) + e[1] * many(F.col("n") == 2) + e[2] * many(F.col("n") > 2)).alias("spare")).first()
-    total, rest = (whole["total"] or 1), (whole["spare"] or 1.0) / (whole["total"] or 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                lang, fold = _places(part, languages)
+                w = words_of(part.column("text"), WORD_BYTES, False)
+                for m in range(folds):
+                    learns = (fold != m)[w.text]
+                    model = lang * folds + m
+                    keys, of = work(w, model)
+                    u, at, n = np.unique(keys[learns], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(of[learns][at], pa.int64()), pa.array(u.view(np.int64)), pa.array(n, pa.int64())], ["model", name, "n"])
+
+    return texts.mapInArrow(run, f"model bigint, {name} bigint, n bigint").groupBy("model", name).agg(F.sum("n").alias("n"))
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """D1, D2 and D3+ of each model's count table."""
+    n = [F.col(f"n{i}") for i in range(1, 5)]
+    found = counts.groupBy("model").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)])
+    y = F.when(n[0] > 0, n[0] / (n[0] + 2 * n[1])).otherwise(0.5)
+    d = lambda i: F.when(n[i - 1] > 0, F.least(F.lit(float(i)), F.greatest(F.lit(0.05), i - (i + 1) * y * n[i] / n[i - 1]))).otherwise(0.5 * i)
+    return F.broadcast(materialise(found.select("model", *[d(i).alias(f"d{i}") for i in (1, 2, 3)]), "discounts"))
+
+
+def _taken():
+    """What a count loses."""
+    return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def train(trusted: DataFrame, *, lang: str = "lang", min_count: int = MIN_COUNT, folds: int = FOLDS) -> Model:
+    """The models of all `trusted` texts: one for each language and fold."""
+    texts = trusted.select(*placed(trusted, lang, folds))
+    languages = {r[0]: i for i, r in enumerate(sorted(texts.select("lang").distinct().collect()))}
+    counts = materialise(_counted(texts, lambda w, model: (_keys(w, model), model[w.text]), "word", languages, folds), "words")
+    known = np.sort(counts.where(F.col("n") >= min_count).select("word").toArrow()["word"].to_numpy().view(np.uint64))
+    taught = np.zeros(len(languages) * folds, bool)
+    sizes = F.count(F.when(F.col("n") >= min_count, 1))
+    whole_words = materialise(counts.groupBy("model").agg((sizes + 2).alias("base"), F.greatest(F.lit(1), F.count(F.lit(1)) - sizes).alias("n_unknown")), "sizes")
+    taught[[r[0] for r in whole_words.select("model").collect()]] = True
+    vocabulary = Vocabulary(languages, folds, taught, known)
+    base, models = vocabulary.base, vocabulary.models
+    sent = trusted.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def pairs(w: Words, model: np.ndarray):
+        own, before = sent.value.numbers(w, model)
+        return before * base + own, model[w.text]
+
+    counted = _counted(texts, pairs, "pair", languages, folds)
+    bigrams = materialise(counted.select("model", F.floor(F.col("pair") / base).alias("before"), (F.col("pair") % base).alias("word"), "n"), "bigrams")
+    whole = bigrams.join(_discounts(bigrams), "model")
+    contexts = whole.groupBy("before").agg(F.sum("n").alias("total"), F.sum(_taken()).alias("spare")).withColumn("weight", F.col("spare") / F.col("total"))
+    follows = materialise(bigrams.groupBy("model", "word").agg(F.count(F.lit(1)).alias("n")), "follows")
+    following = follows.join(_discounts(follows), "model")
+    totals = following.groupBy("model").agg(F.sum("n").alias("total"), F.sum(_taken()).alias("spare"))
+    following = following.join(F.broadcast(totals), "model").join(F.broadcast(whole_words), "model")
     # unknown words share their class's probability
-    share = F.when(F.col("word") == 0, F.lit(1.0 / n_unknown)).otherwise(F.lit(1.0))
-    unigrams = materialise(follows.select("word", ((F.greatest(F.col("n") - _taken(e), F.lit(0.0)) / total + rest / base) * share).alias("p")), "unigrams")
-    joined = bigrams.join(contexts, "before").join(unigrams, "word")
-    own = F.greatest(F.col("n") - _taken(d), F.lit(0.0)) / F.col("total") * share
+    p = (F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") + F.col("spare") / F.col("total") / F.col("base")) * F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0))
+    unigrams = materialise(following.select("word", p.alias("p"), F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0)).alias("share")), "unigrams")
+    joined = whole.join(contexts.select("before", "total", "weight"), "before").join(unigrams, "word")
+    own = F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") * F.col("share")
     bigrams = materialise(joined.select("before", "word", F.log(own + F.col("weight") * F.col("p")).alias("logp")), "model")
-    return Model(known, bigrams, materialise(contexts.select("before", F.log("weight").alias("logw")), "contexts"), unigrams.select("word", F.log("p").alias("logp")))
+    return Model(vocabulary, bigrams, materialise(contexts.select("before", F.log("weight").alias("logw")), "contexts"), unigrams.select("word", F.log("p").alias("logp")))
 
 
 class _Lookup:
     """The model's tables as arrays by word number."""
 
-    def __init__(self, model: Model, n_unknown_p: float):
-        self.vocabulary, self.base = model.vocabulary, model.base
-        self.logw, self.logp = np.zeros(self.base), np.full(self.base, n_unknown_p)
-        for r in model.contexts.collect():
-            self.logw[r[0]] = r[1]
-        for r in model.unigrams.collect():
-            self.logp[r[0]] = r[1]
+    def __init__(self, model: Model, unseen: float):
+        self.vocabulary, self.base = model.vocabulary, model.vocabulary.base
+        self.logw, self.logp = np.zeros(self.base), np.full(self.base, unseen)
+        for name, values, table in (("before", self.logw, model.contexts), ("word", self.logp, model.unigrams)):
+            given = table.toArrow()
+            values[given[name].to_numpy()] = given["logw" if name == "before" else "logp"].to_numpy()
         table = model.bigrams.select((F.col("before") * self.base + F.col("word")).alias("key"), F.col("logp").cast("float").alias("logp")).toArrow()
         key, logp = table["key"].to_numpy(), table["logp"].to_numpy()
         order = np.argsort(key)
         self.key, self.value = key[order], logp[order]
 
-    def scores(self, texts: pa.Array) -> list[pa.Array]:
-        w = words_of(texts, WORD_BYTES, False)
-        own, before = _numbers(w, self.vocabulary)
+    def scores(self, part: pa.RecordBatch) -> list[pa.Array]:
+        w = words_of(part.column("text"), WORD_BYTES, False)
+        model, own_fold = self.vocabulary.scoring(part)
+        if not self.base:
+            return [pa.array(w.count(), pa.int64()), pa.nulls(len(model), pa.float64()), pa.array(own_fold)]
+        own, before = self.vocabulary.numbers(w, np.maximum(model, 0))
         out = self.logw[before] + self.logp[own]
         if len(self.key) and len(own):
             key = before * self.base + own
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             out = np.where(self.key[at] == key, self.value[at], out)
         total = np.concatenate([[0.0], np.cumsum(out)])
-        return [pa.array(w.count(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.float64())]
+        return [pa.array(w.count(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.float64(), mask=model < 0), pa.array(own_fold)]
 
 
-FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("logp", T.DoubleType())])
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("logp", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
 #: Log probability of a word that the model never saw follow anything.
 UNSEEN = -20.0
 
 
-def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
-    """`row` and `found`: n_words and the text's log probability."""
+def score(docs: DataFrame, model: Model, *, lang: str = "lang", keep: list[str] | None = None, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+    """`row` and `found`: n_words, the text's log probability (null: no trusted text of its language), and whether its model is its fold's."""
+    names = docs.columns if keep is None else keep
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *placed(docs, lang, model.vocabulary.folds))
     if model.bigrams.count() > broadcast_ngrams:
-        return _score_by_join(docs, model, keep)
+        return _score_by_join(given, model)
     sent = docs.sparkSession.sparkContext.broadcast(_Lookup(model, UNSEEN))
-    return per_text(docs, "text", keep, FOUND, lambda: lambda texts: sent.value.scores(texts))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.StructArray.from_arrays(sent.value.scores(part), FOUND.fieldNames())], ["row", "found"])
+
+    return given.mapInArrow(run, T.StructType([given.schema["row"], T.StructField("found", FOUND)]))
 
-def _score_by_join(docs: DataFrame, model: Model, keep: list[str] | None) -> DataFrame:
-    """Bigram counts of each different text join the model's shards; sums come back by the text's digest."""
-    sent, base = docs.sparkSession.sparkContext.broadcast(model.vocabulary), model.base
-    names = docs.columns if keep is None else keep
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+
+def _score_by_join(given: DataFrame, model: Model) -> DataFrame:
+    """Bigram counts of each different text join the models' shards; sums come back by the digest of language and text."""
+    sent = given.sparkSession.sparkContext.broadcast(model.vocabulary)
+    keyed = given.withColumn("digest", F.sha2(F.concat("lang", F.lit("\0"), "text"), 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = words_of(part.column("text"), WORD_BYTES, False)
-                own, before = _numbers(w, sent.value)
+                scoring, own_fold = sent.value.scoring(part)
+                own, before = sent.value.numbers(w, np.maximum(scoring, 0))
                 rows, n = np.unique(np.stack([w.text, before, own]), axis=1, return_counts=True)
-                digests = part.column("digest").take(pa.array(rows[0]))
-                yield pa.RecordBatch.from_arrays([digests, pa.array(rows[1]), pa.array(rows[2]), pa.array(n, pa.int64())], ["digest", "before", "word", "n"])
+                taken = pa.array(rows[0])
+                there = pa.array(scoring >= 0).take(taken)
+                yield pa.RecordBatch.from_arrays([part.column("digest").take(taken), there, pa.array(own_fold).take(taken), pa.array(rows[1]), pa.array(rows[2]), pa.array(n, pa.int64())], ["digest", "there", "held_out", "before", "word", "n"])
 
-    texts = keyed.select("digest", "text").dropDuplicates(["digest"])
-    counts = texts.mapInArrow(run, "digest string, before bigint, word bigint, n bigint")
+    texts = keyed.select("digest", "text", "lang", "fold").dropDuplicates(["digest"])
+    counts = texts.mapInArrow(run, "digest string, there boolean, held_out boolean, before bigint, word bigint, n bigint")
     joined = counts.join(model.bigrams, ["before", "word"], "left").join(model.contexts, "before", "left").join(model.unigrams.withColumnRenamed("logp", "logu"), "word", "left")
-    logp = F.coalesce("logp", F.coalesce("logw", F.lit(0.0)) + F.coalesce("logu", F.lit(UNSEEN)))
-    sums = joined.groupBy("digest").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * logp).alias("logp"))
-    found = F.struct(F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("logp", F.lit(0.0)).alias("logp"))
+    logp = F.when(F.col("there"), F.coalesce("logp", F.coalesce("logw", F.lit(0.0)) + F.coalesce("logu", F.lit(UNSEEN))))
+    sums = joined.groupBy("digest").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * logp).alias("logp"), F.first("held_out").alias("held_out"))
+    found = F.struct(F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), F.when(F.col("n_words").isNull(), 0.0).otherwise(F.col("logp")).alias("logp"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
     return keyed.join(sums, "digest", "left").select("row", found.alias("found"))
 
 
@@ -213,11 +273,9 @@ def classify(
 ) -> DataFrame:
     """`row` with lang, n_words, perplexity, threshold (of the score) and kept."""
     trusted = trusted_of(docs, labels)
-    # half of the trusted texts, by content, teach the model; only the others show how it scores unseen text
-    taught = F.xxhash64(F.col("text").cast("string")) % 2 == 0
-    model = train(trusted.where(taught), **training)
+    model = train(trusted, lang=lang, **training)
     own = F.coalesce(F.col(f"row.`{lang}`").cast("string"), F.lit(""))
-    seen = score(trusted.where(~taught), model, keep=[lang]).select(own.alias("lang"), "found.*").where("n_words > 0")
+    seen = score(trusted, model, lang=lang, keep=[lang]).select(own.alias("lang"), "found.*").where("n_words > 0 AND held_out")
     seen = materialise(seen, "trusted")
     means = seen.groupBy("lang").agg((F.sum("logp") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("n_trusted")).where(F.col("n_trusted") >= min_trusted)
     all_mean = seen.agg(F.sum("logp") / F.sum("n_words")).first()[0] or 0.0
@@ -226,8 +284,8 @@ def classify(
     scored = seen.join(F.broadcast(means), "lang", "left").withColumn("score", smooth(mean))
     by_lang = scored.where("mean IS NOT NULL").groupBy("lang", "mean").agg((F.percentile_approx("score", quantile, 10_000) - margin).alias("threshold"))
     names = list(dict.fromkeys([*(docs.columns if keep is None else keep), lang]))
-    out = score(docs, model, keep=names).select("row", own.alias("lang"), "found.*")
+    out = score(docs, model, lang=lang, keep=names).select("row", own.alias("lang"), "found.*")
     # one row a language that has min_trusted trusted texts
     out = out.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf")))).withColumn("score", smooth(mean))
-    kept = (F.col("n_words") > 0) & (F.col("score") >= F.col("threshold"))
+    kept = (F.col("n_words") > 0) & F.coalesce(F.col("score") >= F.col("threshold"), F.lit(True))
     return out.select("row", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("logp") / F.col("n_words"))).alias("perplexity"), "score", "threshold", kept.alias("kept"))
