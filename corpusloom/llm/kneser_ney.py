@@ -9,12 +9,13 @@ Models are cross-fitted: texts are dealt by content into `folds`, and a language
 the trusted texts of all other folds and scores the fold's texts. So all trusted texts teach, and none
 is scored by a model that has seen it or a copy. A document's score is its mean log probability a word, with `prior_words` words
 of its language's trusted mean added, so that short texts do not swing; its threshold is the
-`quantile` of its language's held-out scores, less `margin`. Lower scores are rejected; a language with
-fewer than `min_trusted` trusted texts gives no threshold, and its documents stay.
+`quantile` of its language's held-out scores. How far it lies below the language's mean is shrunk towards the same of
+all languages, which weighs as `prior_trusted` texts, so that few trusted texts do for a threshold. Lower scores are rejected. Only
+the documents of a language without any trusted text have no model and no threshold, and stay.
 
 Finished models of at most `broadcast_ngrams` bigrams together are broadcast to score whole texts in one scan;
-larger ones stay sharded, and documents' bigram counts join them. The vocabulary (8 bytes a word) and the list of
-languages are always broadcast. A null or empty text has no words and is
+larger ones stay sharded, and documents' bigram counts join them. The vocabulary (24 bytes a word, with its back-off
+values) and the list of languages are always broadcast. A null or empty text has no words and is
 rejected; a null language is a language of its own; labels without a document are not used.
 """
 
@@ -32,9 +33,11 @@ from pyspark.sql import types as T
 from .common import NONSPACE, Words, materialise, mix, slices, words_of
 
 MIN_COUNT, FOLDS = 3, 2
-PRIOR_WORDS, QUANTILE, MARGIN, MIN_TRUSTED = 20, 0.01, 0.35, 20
+PRIOR_WORDS, QUANTILE, PRIOR_TRUSTED = 20, 0.01, 20
 #: 12 bytes each in the broadcast; labelled ids (8 bytes) that are broadcast to find the trusted texts.
 BROADCAST_NGRAMS, BROADCAST_LABELS = 4_000_000, 2_000_000
+#: Words of all models up to which their tables are broadcast to the bigrams.
+BROADCAST_WORDS = 500_000
 
 WORD_BYTES = NONSPACE.copy()
 WORD_BYTES[np.frombuffer(b".,;:", np.uint8)] = False
@@ -86,7 +89,7 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """Vocabulary, and log probabilities of all models as tables."""
+    """Vocabulary, and log probabilities of all models as tables; a bigram's is logw + logp + gain."""
 
     vocabulary: Vocabulary
     bigrams: DataFrame
@@ -170,39 +173,43 @@ def train(trusted: DataFrame, *, lang: str = "lang", min_count: int = MIN_COUNT,
     # unknown words share their class's probability
     p = (F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") + F.col("spare") / F.col("total") / F.col("base")) * F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0))
     unigrams = materialise(following.select("word", p.alias("p"), F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0)).alias("share")), "unigrams")
-    joined = whole.join(contexts.select("before", "total", "weight"), "before").join(unigrams, "word")
+    small = F.broadcast if base <= BROADCAST_WORDS else (lambda df: df)
+    joined = whole.join(small(contexts.select("before", "total", "weight")), "before").join(small(unigrams), "word")
     own = F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") * F.col("share")
-    bigrams = materialise(joined.select("before", "word", F.log(own + F.col("weight") * F.col("p")).alias("logp")), "model")
+    gain = F.log1p(own / (F.col("weight") * F.col("p"))).cast("float")
+    bigrams = materialise(joined.select((F.col("before") * base + F.col("word")).alias("pair"), gain.alias("gain")), "model")
     return Model(vocabulary, bigrams, materialise(contexts.select("before", F.log("weight").alias("logw")), "contexts"), unigrams.select("word", F.log("p").alias("logp")))
 
 
 class _Lookup:
-    """The model's tables as arrays by word number."""
+    """The model's tables as arrays by word number; bigrams only where they are broadcast."""
 
-    def __init__(self, model: Model, unseen: float):
+    def __init__(self, model: Model, unseen: float, bigrams: bool):
         self.vocabulary, self.base = model.vocabulary, model.vocabulary.base
         self.logw, self.logp = np.zeros(self.base), np.full(self.base, unseen)
-        for name, values, table in (("before", self.logw, model.contexts), ("word", self.logp, model.unigrams)):
+        for key, value, into, table in (("before", "logw", self.logw, model.contexts), ("word", "logp", self.logp, model.unigrams)):
             given = table.toArrow()
-            values[given[name].to_numpy()] = given["logw" if name == "before" else "logp"].to_numpy()
-        table = model.bigrams.select((F.col("before") * self.base + F.col("word")).alias("key"), F.col("logp").cast("float").alias("logp")).toArrow()
-        key, logp = table["key"].to_numpy(), table["logp"].to_numpy()
-        order = np.argsort(key)
-        self.key, self.value = key[order], logp[order]
+            into[given[key].to_numpy()] = given[value].to_numpy()
+        self.pair, self.gain = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if bigrams:
+            given = model.bigrams.toArrow()
+            pair, gain = given["pair"].to_numpy(), given["gain"].to_numpy()
+            order = np.argsort(pair)
+            self.pair, self.gain = pair[order], gain[order]
 
     def scores(self, part: pa.RecordBatch) -> list[pa.Array]:
         w = words_of(part.column("text"), WORD_BYTES, False)
-        model, own_fold = self.vocabulary.scoring(part)
+        model, held_out = self.vocabulary.scoring(part)
         if not self.base:
-            return [pa.array(w.count(), pa.int64()), pa.nulls(len(model), pa.float64()), pa.array(own_fold)]
+            return [pa.array(w.count(), pa.int64()), pa.nulls(len(model), pa.float64()), pa.array(held_out)]
         own, before = self.vocabulary.numbers(w, np.maximum(model, 0))
         out = self.logw[before] + self.logp[own]
-        if len(self.key) and len(own):
-            key = before * self.base + own
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            out = np.where(self.key[at] == key, self.value[at], out)
+        if len(self.pair) and len(own):
+            pair = before * self.base + own
+            at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+            out += np.where(self.pair[at] == pair, self.gain[at], 0)
         total = np.concatenate([[0.0], np.cumsum(out)])
-        return [pa.array(w.count(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.float64(), mask=model < 0), pa.array(own_fold)]
+        return [pa.array(w.count(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.float64(), mask=model < 0), pa.array(held_out)]
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("logp", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
@@ -214,41 +221,47 @@ def score(docs: DataFrame, model: Model, *, lang: str = "lang", keep: list[str]
     """`row` and `found`: n_words, the text's log probability (null: no trusted text of its language), and whether its model is its fold's."""
     names = docs.columns if keep is None else keep
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *placed(docs, lang, model.vocabulary.folds))
-    if model.bigrams.count() > broadcast_ngrams:
-        return _score_by_join(given, model)
-    sent = docs.sparkSession.sparkContext.broadcast(_Lookup(model, UNSEEN))
+    whole = model.bigrams.count() <= broadcast_ngrams
+    sent = docs.sparkSession.sparkContext.broadcast(_Lookup(model, UNSEEN, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.StructArray.from_arrays(sent.value.scores(part), FOUND.fieldNames())], ["row", "found"])
+                kept = [part.column(i) for i, c in enumerate(part.schema.names) if c in ("row", "digest")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.StructArray.from_arrays(sent.value.scores(part), FOUND.fieldNames())], out.fieldNames())
 
-    return given.mapInArrow(run, T.StructType([given.schema["row"], T.StructField("found", FOUND)]))
+    if not whole:
+        given = given.withColumn("digest", F.unhex(F.md5(F.concat("lang", F.lit("\0"), "text"))))
+    out = T.StructType([*(f for f in given.schema.fields if f.name in ("row", "digest")), T.StructField("found", FOUND)])
+    scored = given.mapInArrow(run, out)
+    if whole:
+        return scored
+    gains = _gains(given, model, sent)
+    logp = F.col("found.logp") + F.coalesce("gain", F.lit(0.0))
+    return scored.join(gains, "digest", "left").select("row", F.struct("found.n_words", logp.alias("logp"), "found.held_out").alias("found"))
 
 
-def _score_by_join(given: DataFrame, model: Model) -> DataFrame:
-    """Bigram counts of each different text join the models' shards; sums come back by the digest of language and text."""
-    sent = given.sparkSession.sparkContext.broadcast(model.vocabulary)
-    keyed = given.withColumn("digest", F.sha2(F.concat("lang", F.lit("\0"), "text"), 256))
+def _gains(given: DataFrame, model: Model, sent) -> DataFrame:
+    """Bigram counts of each different text join the models' shards: digest and what its bigrams add to its log probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = words_of(part.column("text"), WORD_BYTES, False)
-                scoring, own_fold = sent.value.scoring(part)
-                own, before = sent.value.numbers(w, np.maximum(scoring, 0))
-                rows, n = np.unique(np.stack([w.text, before, own]), axis=1, return_counts=True)
-                taken = pa.array(rows[0])
-                there = pa.array(scoring >= 0).take(taken)
-                yield pa.RecordBatch.from_arrays([part.column("digest").take(taken), there, pa.array(own_fold).take(taken), pa.array(rows[1]), pa.array(rows[2]), pa.array(n, pa.int64())], ["digest", "there", "held_out", "before", "word", "n"])
-
-    texts = keyed.select("digest", "text", "lang", "fold").dropDuplicates(["digest"])
-    counts = texts.mapInArrow(run, "digest string, there boolean, held_out boolean, before bigint, word bigint, n bigint")
-    joined = counts.join(model.bigrams, ["before", "word"], "left").join(model.contexts, "before", "left").join(model.unigrams.withColumnRenamed("logp", "logu"), "word", "left")
-    logp = F.when(F.col("there"), F.coalesce("logp", F.coalesce("logw", F.lit(0.0)) + F.coalesce("logu", F.lit(UNSEEN))))
-    sums = joined.groupBy("digest").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * logp).alias("logp"), F.first("held_out").alias("held_out"))
-    found = F.struct(F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), F.when(F.col("n_words").isNull(), 0.0).otherwise(F.col("logp")).alias("logp"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    return keyed.join(sums, "digest", "left").select("row", found.alias("found"))
+                vocabulary = sent.value.vocabulary
+                scoring, _ = vocabulary.scoring(part)
+                own, before = vocabulary.numbers(w, np.maximum(scoring, 0))
+                pair = before * vocabulary.base + own
+                order = np.lexsort((pair, w.text))
+                pair, text = pair[order], w.text[order]
+                new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])])[: len(pair)])
+                n = np.diff(np.append(new, len(pair)))
+                there = scoring[text[new]] >= 0
+                yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(text[new][there])), pa.array(pair[new][there]), pa.array(n[there], pa.int32())], ["digest", "pair", "n"])
+
+    texts = given.select("digest", "text", "lang", "fold").dropDuplicates(["digest"])
+    counts = texts.mapInArrow(run, "digest binary, pair bigint, n int")
+    return counts.join(model.bigrams, "pair").groupBy("digest").agg(F.sum(F.col("n") * F.col("gain").cast("double")).alias("gain"))
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,8 +280,7 @@ def classify(
     keep: list[str] | None = None,
     prior_words: int = PRIOR_WORDS,
     quantile: float = QUANTILE,
-    margin: float = MARGIN,
-    min_trusted: int = MIN_TRUSTED,
+    prior_trusted: int = PRIOR_TRUSTED,
     **training,
 ) -> DataFrame:
     """`row` with lang, n_words, perplexity, threshold (of the score) and kept."""
@@ -277,15 +289,20 @@ def classify(
     own = F.coalesce(F.col(f"row.`{lang}`").cast("string"), F.lit(""))
     seen = score(trusted, model, lang=lang, keep=[lang]).select(own.alias("lang"), "found.*").where("n_words > 0 AND held_out")
     seen = materialise(seen, "trusted")
-    means = seen.groupBy("lang").agg((F.sum("logp") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("n_trusted")).where(F.col("n_trusted") >= min_trusted)
+    means = materialise(seen.groupBy("lang").agg((F.sum("logp") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("n_trusted")), "means")
     all_mean = seen.agg(F.sum("logp") / F.sum("n_words")).first()[0] or 0.0
     smooth = lambda mean: (F.col("logp") + prior_words * mean) / (F.col("n_words") + prior_words)
     mean = F.coalesce("mean", F.lit(all_mean))
-    scored = seen.join(F.broadcast(means), "lang", "left").withColumn("score", smooth(mean))
-    by_lang = scored.where("mean IS NOT NULL").groupBy("lang", "mean").agg((F.percentile_approx("score", quantile, 10_000) - margin).alias("threshold"))
+    # a score's distance from its language's mean can be compared between languages
+    scored = seen.join(F.broadcast(means), "lang").select("lang", "mean", "n_trusted", (smooth(F.col("mean")) - F.col("mean")).alias("off"))
+    low = F.percentile_approx("off", quantile, 10_000)
+    all_low = scored.agg(low).first()[0] or 0.0
+    shrunk = (F.col("n_trusted") * low + prior_trusted * all_low) / (F.col("n_trusted") + prior_trusted)
+    by_lang = scored.groupBy("lang", "mean", "n_trusted").agg((F.col("mean") + shrunk).alias("threshold")).drop("n_trusted")
     names = list(dict.fromkeys([*(docs.columns if keep is None else keep), lang]))
     out = score(docs, model, lang=lang, keep=names).select("row", own.alias("lang"), "found.*")
-    # one row a language that has min_trusted trusted texts
-    out = out.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf")))).withColumn("score", smooth(mean))
+    # one row a language with a held-out trusted text
+    given = F.coalesce("threshold", F.when(F.col("logp").isNotNull(), all_mean + all_low), F.lit(float("-inf")))
+    out = out.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", given).withColumn("score", smooth(mean))
     kept = (F.col("n_words") > 0) & F.coalesce(F.col("score") >= F.col("threshold"), F.lit(True))
     return out.select("row", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("logp") / F.col("n_words"))).alias("perplexity"), "score", "threshold", kept.alias("kept"))

@@ -47,3 +47,18 @@ def test_no_text_is_scored_by_a_model_that_saw_it(spark):
     assert len(model.vocabulary.known) == 150
     known = kn.score(docs, model).select((F.col("found.logp") / F.col("found.n_words")).alias("mean")).collect()
     assert len(known) == 30 and max(r["mean"] for r in known) < -3
+
+
+def test_few_trusted_texts_give_a_threshold(spark):
+    junk = " ".join(f"zq{i}" for i in range(40))
+    texts = [*[("en", x) for x in _prose(1, 120)], *[("es", x) for x in _prose(3, 10, words=12)], ("es", junk), ("en", junk), ("fr", junk)]
+    docs = _docs(spark, texts)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(130)], "doc_id long, quality int, toxic int")
+    rows = kn.classify(docs, labels).select("row.doc_id", "lang", "threshold", "score", "kept").collect()
+    kept = {r["doc_id"]: r["kept"] for r in rows}
+    assert not kept[130] and not kept[131]
+    # nothing is known of a language without trusted texts
+    assert kept[132]
+    # the quantile itself, without a margin: the lowest of 120 scores is not far below it
+    held = sorted(r["score"] - r["threshold"] for r in rows if r["lang"] == "en" and r["doc_id"] < 120)
+    assert held[0] < 0.02 and held[3] >= 0 and sum(kept[i] for i in range(130)) >= 126
