@@ -1,9 +1,8 @@
 """Site-relative line frequency, by DataFrame functions only.
 
 Lines are split at \\n and compared without outer spaces and tabs, A-Z in lower case; lines that are then
-empty are never dropped. For each host (null: "") a line's pages are the different surroundings (lines
-before and after its first place) it has in the host's different texts, so copies count once; its
-ratio is pages by the host's different texts. Lines of `min_pages` pages and a ratio above `max_ratio`
+empty are never dropped. For each host (null: "") a line's pages are the host's different texts that hold
+it, so copies count once; its ratio is pages by the host's different texts. Lines of `min_pages` pages and a ratio above `max_ratio`
 are boilerplate and go, wherever they stand. A null text stays null; an emptied text is "".
 """
 
@@ -28,24 +27,13 @@ def _keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.when(_norm(x) != "", F.xxhash64(_norm(x))))
 
 
-def _lines(keys: Column) -> Column:
-    """The different lines with the surrounding of each one's first place."""
-    first = F.filter(
-        F.transform(keys, lambda k, i: F.struct(k.alias("line"), F.xxhash64(F.get(keys, i - 1), F.get(keys, i + 1)).alias("context"), i.alias("at"))),
-        lambda x: x["line"].isNotNull(),
-    )
-    return first
-
-
 def boilerplate(docs: DataFrame, *, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """host and line (hash), with pages, host_pages and ratio, of the lines that are to go."""
     given = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
     # a text's line hashes and its digest are enough from here on
     texts = given.select("host", F.md5("text").alias("digest"), _keys(F.col("text")).alias("keys")).groupBy("host", "digest").agg(F.first("keys").alias("keys"))
-    lines = texts.select("host", "digest", F.inline(_lines(F.col("keys"))))
-    # hashed by host and digest already: no further shuffle
-    firsts = lines.groupBy("host", "digest", "line").agg(F.min_by("context", "at").alias("context"))
-    pages = firsts.groupBy("host", "line").agg(F.count_distinct("context").alias("pages"))
+    lines = texts.select("host", F.explode(F.array_distinct("keys")).alias("line")).where(F.col("line").isNotNull())
+    pages = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
     totals = texts.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     return pages.join(totals, "host").withColumn("ratio", F.col("pages") / F.col("host_pages")).where((F.col("pages") >= min_pages) & (F.col("ratio") > max_ratio))
 

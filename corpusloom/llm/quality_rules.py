@@ -1,8 +1,7 @@
 """Quality rules: statistics of single texts, and lines that too many documents of a host share.
 
 Words are `[^\\x20\\x09-\\x0D]+`. A line is hashed without its case and spacing. For each host (null: "")
-it counts once for each different surrounding (the lines before and after its first place in a text),
-so that copies and near copies of one document count as one document. A line is frequent if that
+it counts once for each different text that holds it, so that copies of one document count as one. A line is frequent if that
 count is `min_docs` at least and above `max_share` of the host's different texts. A document is
 depleted if its frequent lines leave less than `min_left` of its word characters.
 
@@ -31,10 +30,10 @@ FOUND = T.StructType(
     [
         *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         T.StructField("digest", T.BinaryType()),
-        T.StructField("lines", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("line", "context", "chars")]))),
+        T.StructField("lines", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("line", "chars")]))),
     ]
 )
-_LINE = pa.struct([(c, pa.int64()) for c in ("line", "context", "chars")])
+_LINE = pa.struct([(c, pa.int64()) for c in ("line", "chars")])
 
 
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -42,26 +41,20 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return total[cuts[1:]] - total[cuts[:-1]]
 
 
-def _lines(text: bytes) -> tuple[int, list[tuple[int, int, int]]]:
-    """Repeated lines; (hash, hash of the surrounding, word characters) of each different line."""
+def _lines(text: bytes) -> tuple[int, list[tuple[int, int]]]:
+    """Repeated lines; (hash, word characters) of each different line."""
     seen: set[bytes] = set()
-    repeated, kept = 0, []
+    repeated = 0
+    out: dict[int, int] = {}
     for raw in text.split(b"\n"):
         words = raw.split()
         if not words:
             continue
         repeated += raw in seen
         seen.add(raw)
-        joined = b"".join(words)
-        kept.append((xxhash.xxh3_64_intdigest(b" ".join(words).lower()) - (1 << 63), len(joined.decode("utf-8", "replace"))))
-    out: dict[int, list[int]] = {}
-    for i, (line, chars) in enumerate(kept):
-        if line in out:
-            out[line][1] += chars
-        else:
-            around = (kept[i - 1][0] if i else 0) * 31 + (kept[i + 1][0] if i + 1 < len(kept) else 0)
-            out[line] = [xxhash.xxh3_64_intdigest(str(around)) - (1 << 63), chars]
-    return repeated, [(line, *x) for line, x in out.items()]
+        line = xxhash.xxh3_64_intdigest(b" ".join(words).lower()) - (1 << 63)
+        out[line] = out.get(line, 0) + len(b"".join(words).decode("utf-8", "replace"))
+    return repeated, list(out.items())
 
 
 def _found(texts: pa.Array) -> list[pa.Array]:
@@ -83,7 +76,7 @@ def _found(texts: pa.Array) -> list[pa.Array]:
         text = whole[w.text_at[k] : w.text_at[k + 1]]
         dup, own = _lines(text)
         n_dup.append(dup)
-        lines.append([dict(zip(("line", "context", "chars"), x, strict=True)) for x in own])
+        lines.append([dict(zip(("line", "chars"), x, strict=True)) for x in own])
         digests.append(xxhash.xxh3_128_digest(text))
     numbers = (w.count(), _sums(points, w.text_at), _sums(_SYMBOLS[w.data], w.text_at), n_dup, repeats)
     return [*[pa.array(x, pa.int64()) for x in numbers], pa.array(digests, pa.binary()), pa.array(lines, pa.list_(_LINE))]
@@ -105,7 +98,7 @@ def apply_rules(
     seen = seen.select("row", F.coalesce(F.col(f"row.`{host}`").cast("string"), F.lit("")).alias("host"), "found.*")
     texts = seen.groupBy("host", "digest").agg(F.first("lines").alias("lines"))
     lines = texts.select("host", "digest", F.inline("lines"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("context").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     totals = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     frequent = counts.join(totals, "host").where(F.col("n_docs") > max_share * F.col("n_host")).select("host", "line")
     lost = lines.join(frequent, ["host", "line"]).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n_frequent_lines"), F.sum("chars").alias("frequent_chars"))
