@@ -219,7 +219,7 @@ _BYTE_LETTERS = _byte_letters()
 def split_pieces(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes without ASCII white space, and where pieces start in them.
 
-    Pieces end at white space and where letters up to U+017F, ASCII digits and punctuation meet, as tokens
+    Pieces end at white space and where letters up to U+017F (but U+0130), ASCII digits and punctuation meet, as tokens
     do; not after an apostrophe (contractions), nor beside anything else, which stays in one piece
     for the library to split. Pieces of known letters are lower-cased up to U+00FF, as the tokenizer would.
     """
@@ -229,7 +229,9 @@ def split_pieces(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.
     lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
     if len(lead):
         after = data[lead + 1]
-        lead, after = lead[(data[lead] != 0xC3) | ((after != 0x97) & (after != 0xB7))], after[(data[lead] != 0xC3) | ((after != 0x97) & (after != 0xB7))]
+        # not the signs U+00D7 and U+00F7, nor U+0130, whose lower case ends in a mark
+        letter = np.where(data[lead] == 0xC3, (after != 0x97) & (after != 0xB7), (data[lead] != 0xC4) | (after != 0xB0))
+        lead, after = lead[letter], after[letter]
         kinds[lead] = kinds[lead + 1] = 1
         low[(lead + 1)[(data[lead] == 0xC3) & (after <= 0x9E)]] += 32
     if not len(data):
