@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine
 
-#: Queries that are broadcast against all rows; more are dealt in blocks of that many.
+#: Queries that are broadcast against all rows; more are dealt by their id in blocks of about that many.
 QUERY_BLOCK = 1000
 
 
 def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, similarity, rank): the k nearest other rows of each query (query_id, query), ties by id."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"pass at most {QUERY_BLOCK} queries at a time")
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_block_top_k(queries.where(block == i) if blocks > 1 else queries, rows, k, id, vector) for i in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _block_top_k(queries: DataFrame, rows: DataFrame, k: int, id: str, vector: str) -> DataFrame:
     scored = rows.join(F.broadcast(queries), F.col(id) != F.col("query_id")).select("query_id", *rows.columns, cosine(F.col(vector), F.col("query")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id))
     return scored.drop(vector).withColumn("rank", rank).where(F.col("rank") <= k)
