@@ -1,4 +1,4 @@
-"""Windows and state over events; the same functions take a batch or a stream."""
+"""Windows over events, as a batch or a stream, and state over a batch of events."""
 
 from __future__ import annotations
 
