@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,14 +38,46 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
+#: Where it is set, Spark removes the shuffle files of a query at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    Shuffle files of the write are removed after it, as nothing reads them again. In `scratch()` the table goes
+    with the block's end, unless `keep` is set.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised in this block are deleted at its end; what leaves it must be kept or collected."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over a 64-bit hash."""
     h = (h ^ (h >> np.uint64(30))) * _MIX1

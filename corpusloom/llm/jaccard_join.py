@@ -32,16 +32,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Words, materialise, mix, slices, words_of
+from .common import NONSPACE, Words, materialise, mix, scratch, slices, words_of
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 #: Share of a task's documents from which a shingle is frequent, and the most that are broadcast (8 bytes each).
 HOT_SHARE, HOT_LEAST, HOT_MOST = 0.004, 40, 1_000_000
 #: Text bytes in which a task looks for frequent shingles at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Shingles a bucket should hold, shingles packed at a time, classes whose hashes are broadcast to fetch their texts.
-BUCKET_SHINGLES, PACKED, BROADCAST_CLASSES = 200_000, 2_000_000, 1_000_000
+BUCKET_SHINGLES, PACKED, BROADCAST_CLASSES = 200_000, 1_000_000, 1_000_000
+#: Pairs (32 bytes each) that are broadcast to choose the sets they need.
+BROADCAST_PAIRS = 250_000
 #: Inner pivots that each region tries in turn before its blocks, of so many members and shingles, are compared.
 LEVELS, BLOCK, BLOCK_SHINGLES = 3, 512, 1_000_000
 #: Shingles of a block that are multiplied at a time.
@@ -143,6 +145,11 @@ def _boundary(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 2
 
 
+def _narrow(values: np.ndarray) -> str:
+    most = int(values.max())
+    return "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+
+
 def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) -> DataFrame:
     """(region, id, n): the boundary pivots of each class that other classes hold too."""
     spark = given.sparkSession
@@ -164,24 +171,22 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
             bucket = (own & np.uint64((1 << bits) - 1)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             own, which, bucket = own[order] >> np.uint64(bits), which[order], bucket[order]
-            # 40 bits beside the bucket's are enough: equal ones of different shingles only add candidates
-            short = own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            # 32 bits beside the bucket's are enough: equal ones of different shingles only add candidates
+            short = own.astype("<u4")
             used, cuts = np.unique(bucket, return_index=True)
             cuts = np.append(cuts, len(bucket))
             refs = np.array([r for r, _ in held], np.int64)
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 docs, counts = np.unique(which[lo:hi], return_counts=True)
-                # steps between documents and their counts are small numbers, which compress well
+                # steps between documents and their counts are small numbers
                 steps = np.diff(refs[docs], prepend=refs[0])
-                wide = "<u2" if max(steps.max(), counts.max()) < 1 << 16 else "<u4"
-                out[0].append(np.concatenate([steps, counts]).astype(wide).tobytes())
-                out[1].append(len(docs))
-                out[2].append(short[lo:hi].tobytes())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([int(refs[0])] * len(used), pa.int64()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
-                ["bucket", "ref", "docs", "n_docs", "shingles"],
-            )
+                for into, values in zip(out, (steps, counts), strict=False):
+                    into.append(values.astype(_narrow(values)).tobytes())
+                out[2].append(len(docs))
+                out[3].append(short[lo:hi].tobytes())
+            columns = [pa.array(x, pa.int32() if k == 2 else pa.binary()) for k, x in enumerate(out)]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([int(refs[0])] * len(used), pa.int64()), *columns], ["bucket", "ref", "docs", "counts", "n_docs", "shingles"])
 
         for _, ref, sets, ids in _sets(batches, length):
             check += _check(ids)
@@ -205,19 +210,16 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
     def shared(given: pa.Table) -> pa.Table:
         refs, keys = [], []
         for row in given.to_pylist():
-            wide = len(row["docs"]) // (2 * row["n_docs"])
-            docs = np.frombuffer(row["docs"], f"<u{wide}").astype(np.int64)
-            refs.append(np.repeat(row["ref"] + np.cumsum(docs[: row["n_docs"]]), docs[row["n_docs"] :]))
-            own = np.zeros((len(row["shingles"]) // 5, 8), np.uint8)
-            own[:, :5] = np.frombuffer(row["shingles"], np.uint8).reshape(-1, 5)
-            keys.append(own.view("<u8").ravel())
+            steps, counts = (np.frombuffer(row[c], f"<u{len(row[c]) // row['n_docs']}").astype(np.int64) for c in ("docs", "counts"))
+            refs.append(np.repeat(row["ref"] + np.cumsum(steps), counts))
+            keys.append(np.frombuffer(row["shingles"], "<u4"))
         ref, key = np.concatenate(refs), np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         ref, key = ref[order], key[order]
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
         df = np.repeat(counts, counts)
         some = df > 1
-        key = ((key[some].view(np.int64) << bits) | given["bucket"][0].as_py()) & ((1 << 62) - 1)
+        key = ((key[some].astype(np.int64) << bits) | given["bucket"][0].as_py()) & ((1 << 62) - 1)
         return pa.table({"ref": ref[some], "shingle": key, "df": pa.array(df[some], pa.int32())})
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +235,9 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["ref", "n_hot", "hot"])
 
-    dealt = given.mapInArrow(deal, "bucket int, ref bigint, docs binary, n_docs int, shingles binary")
-    held = dealt.groupBy("bucket").applyInArrow(shared, "ref bigint, shingle bigint, df int").groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    dealt = given.mapInArrow(deal, "bucket int, ref bigint, docs binary, counts binary, n_docs int, shingles binary")
+    # dealt by document before they are gathered, as lists of one shingle each would be larger
+    held = dealt.groupBy("bucket").applyInArrow(shared, "ref bigint, shingle bigint, df int").repartition("ref").groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
     dims = scanned.where("kind = 0 AND id IS NOT NULL").select("ref", "id", "n")
     own = dims.join(held, "ref", "left")
     if found:
@@ -274,6 +277,11 @@ def _fetch(given: DataFrame, scanned: DataFrame, members: DataFrame, length: int
 
 def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, linked) of each pair."""
+    pairs = materialise(pairs, "pairs")
+    if pairs.count() <= BROADCAST_PAIRS:
+        # sets that meet no other stay where they are
+        met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = sets.join(F.broadcast(met), "id", "left_semi")
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
@@ -327,7 +335,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
     own = materialise(own.select("region", "id", "n", "far", "part").join(mixed, "region"), "rest")
     # at most a set's boundary
     dims = members.select("id", "width", "last.hot", "last.df", "region").join(mixed.select("region"), "region", "left_semi").groupBy("id")
-    dims = dims.agg(F.first("width").alias("width"), F.first("hot").alias("hot"), F.first("df").alias("df"), F.collect_list(F.hash("region")).alias("shared"))
+    dims = dims.agg(F.first("width").alias("width"), F.first("hot").alias("hot"), F.first("df").alias("df"), F.collect_list("region").alias("shared"))
     last = members.select("id", F.col("last.region").alias("last")).distinct()
     tasks = max(64, own.count() // 20_000)
     count = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
@@ -377,6 +385,12 @@ def _blocks(given: pa.Table, percent: int, near: float) -> Iterator[tuple[np.nda
         ok &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
         for k in range(far.shape[1]):
             ok &= ~(np.abs(far[x, k][:, None] - far[y, k][None, :]) > near)
+        # a pair belongs to the first region of both; if one was a pivot there, it has met the other
+        i, j = np.nonzero(ok)
+        step = max(1, (1 << 22) // max(1, len(seen)))
+        for k in range(0, len(i), step):
+            first = (has[x[i[k : k + step]] - lo] * has[y[j[k : k + step]] - lo]).argmax(1)
+            ok[i[k : k + step], j[k : k + step]] = seen[first] == keys[0, lo]
         yield x, y, ok
 
 
@@ -464,8 +478,12 @@ def join(docs: DataFrame, *, similarity_percent: int = PERCENT, shingle: int = S
     are written to the shared folder first.
     """
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    if not stable:
-        given = materialise(given, "texts")
+    # the tables that the join works with go as soon as its result is written
+    with scratch(docs.sparkSession):
+        return materialise(_joined(given if stable else materialise(given, "texts"), shingle, similarity_percent), "joined", keep=True)
+
+
+def _joined(given: DataFrame, shingle: int, similarity_percent: int) -> DataFrame:
     scanned = _scan(given, shingle)
     members = _members(given, scanned, shingle, similarity_percent)
     parts = None if members.isEmpty() else _links(members, _fetch(given, scanned, members, shingle), similarity_percent)

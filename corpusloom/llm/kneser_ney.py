@@ -13,14 +13,19 @@ of its language's trusted mean added, so that short texts do not swing; its thre
 all languages, which weighs as `prior_trusted` texts, so that few trusted texts do for a threshold. Lower scores are rejected. Only
 the documents of a language without any trusted text have no model and no threshold, and stay.
 
-Finished models of at most `broadcast_ngrams` bigrams together are broadcast to score whole texts in one scan;
-larger ones stay sharded, and documents' bigram counts join them. The vocabulary (24 bytes a word, with its back-off
-values) and the list of languages are always broadcast. A null or empty text has no words and is
-rejected; a null language is a language of its own; labels without a document are not used.
+Finished models stay in shards, each packed into a row. A slice of texts asks every shard for its bigrams: their
+sorted keys are packed in a few bits each, with the text that each occurs in and how often, and the shard answers
+with a sum for each text. Models of at most `broadcast_ngrams` bigrams together are broadcast instead. Different
+texts are scored once, by digest, for thresholds and decisions both. The vocabulary (24 bytes a word, with its
+back-off values) and the list of languages are always broadcast. A null or empty text has no words and is
+rejected; a null language is a language of its own; labels without a document are not used; repeated rows are
+scored alike; an empty table gives no rows; a text longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NONSPACE, Words, materialise, mix, slices, words_of
+from .common import NONSPACE, Words, materialise, mix, scratch, slices, words_of
 
 MIN_COUNT, FOLDS = 3, 2
 PRIOR_WORDS, QUANTILE, PRIOR_TRUSTED = 20, 0.01, 20
@@ -38,6 +43,8 @@ PRIOR_WORDS, QUANTILE, PRIOR_TRUSTED = 20, 0.01, 20
 BROADCAST_NGRAMS, BROADCAST_LABELS = 4_000_000, 2_000_000
 #: Words of all models up to which their tables are broadcast to the bigrams.
 BROADCAST_WORDS = 500_000
+#: Bigrams that a shard of the models should hold.
+SHARD_NGRAMS = 250_000
 
 WORD_BYTES = NONSPACE.copy()
 WORD_BYTES[np.frombuffer(b".,;:", np.uint8)] = False
@@ -89,10 +96,14 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """Vocabulary, and log probabilities of all models as tables; a bigram's is logw + logp + gain."""
+    """Vocabulary, and log probabilities of all models as tables; a bigram's is logw + logp + gain.
+
+    shards has a row for each shard: the packed keys of its bigrams and their gains.
+    """
 
     vocabulary: Vocabulary
-    bigrams: DataFrame
+    shards: DataFrame
+    n_shards: int
     contexts: DataFrame
     unigrams: DataFrame
 
@@ -112,6 +123,48 @@ def placed(docs: DataFrame, lang: str, folds: int) -> list:
     return [text.alias("text"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(folds)).cast("int").alias("fold")]
 
 
+def _bits(values: np.ndarray, width: int) -> bytes:
+    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.packbits(np.unpackbits(wide, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes()
+
+
+def pack(values: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """Sorted int64 values in few bits: the first, and of steps from it the low bits, and the high ones as unary gaps."""
+    steps = values - values[0]
+    width = max(0, int(steps[-1] // len(steps)).bit_length() - 1)
+    high = (steps >> width) + np.arange(len(steps))
+    marks = np.zeros(int(high[-1]) + 1, bool)
+    marks[high] = True
+    return int(values[0]), width, _bits(steps & ((1 << width) - 1), width) if width else b"", np.packbits(marks, bitorder="little").tobytes()
+
+
+def unpack(first: int, width: int, low: bytes, high: bytes) -> np.ndarray:
+    marks = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little"))
+    out = (marks - np.arange(len(marks))) << width
+    if width:
+        wide = np.zeros((len(marks), 64), np.uint8)
+        wide[:, :width] = np.unpackbits(np.frombuffer(low, np.uint8), bitorder="little")[: len(marks) * width].reshape(-1, width)
+        out += np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel()
+    return out + first
+
+
+#: Of a packed run of keys.
+_PACKED = "first bigint, width int, low binary, high binary"
+_PACKED_NAMES = ["first", "width", "low", "high"]
+
+
+def _shards(bigrams: DataFrame, count: int) -> DataFrame:
+    """The model's bigrams as a row for each shard; a key's shard is its remainder."""
+
+    def run(given: pa.Table) -> pa.Table:
+        pair, gain = given["pair"].to_numpy(), given["gain"].to_numpy()
+        order = np.argsort(pair)
+        first, width, low, high = pack(pair[order] // count)
+        return pa.table({"shard": pa.array([int(pair[0] % count)], pa.int32()), "first": [first], "width": pa.array([width], pa.int32()), "low": [low], "high": [high], "gains": [gain[order].astype("<f4").tobytes()]})
+
+    return bigrams.withColumn("shard", F.col("pair") % count).groupBy("shard").applyInArrow(run, f"shard int, {_PACKED}, gains binary")
+
+
 def _counted(texts: DataFrame, work, name: str, languages: dict[str, int], folds: int) -> DataFrame:
     """Sums of the counts that `work` makes of each slice, by model and key."""
 
@@ -146,6 +199,12 @@ def _taken():
 
 def train(trusted: DataFrame, *, lang: str = "lang", min_count: int = MIN_COUNT, folds: int = FOLDS) -> Model:
     """The models of all `trusted` texts: one for each language and fold."""
+    # only the finished tables stay
+    with scratch(trusted.sparkSession):
+        return _trained(trusted, lang, min_count, folds)
+
+
+def _trained(trusted: DataFrame, lang: str, min_count: int, folds: int) -> Model:
     texts = trusted.select(*placed(trusted, lang, folds))
     languages = {r[0]: i for i, r in enumerate(sorted(texts.select("lang").distinct().collect()))}
     counts = materialise(_counted(texts, lambda w, model: (_keys(w, model), model[w.text]), "word", languages, folds), "words")
@@ -172,13 +231,17 @@ def train(trusted: DataFrame, *, lang: str = "lang", min_count: int = MIN_COUNT,
     following = following.join(F.broadcast(totals), "model").join(F.broadcast(whole_words), "model")
     # unknown words share their class's probability
     p = (F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") + F.col("spare") / F.col("total") / F.col("base")) * F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0))
-    unigrams = materialise(following.select("word", p.alias("p"), F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0)).alias("share")), "unigrams")
+    unigrams = materialise(following.select("word", p.alias("p"), F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0)).alias("share")), "unigrams", keep=True)
     small = F.broadcast if base <= BROADCAST_WORDS else (lambda df: df)
     joined = whole.join(small(contexts.select("before", "total", "weight")), "before").join(small(unigrams), "word")
     own = F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") * F.col("share")
     gain = F.log1p(own / (F.col("weight") * F.col("p"))).cast("float")
-    bigrams = materialise(joined.select((F.col("before") * base + F.col("word")).alias("pair"), gain.alias("gain")), "model")
-    return Model(vocabulary, bigrams, materialise(contexts.select("before", F.log("weight").alias("logw")), "contexts"), unigrams.select("word", F.log("p").alias("logp")))
+    gains = joined.select((F.col("before") * base + F.col("word")).alias("pair"), gain.alias("gain"))
+    count = max(int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(bigrams.count() / SHARD_NGRAMS))
+    while math.gcd(count, max(1, base)) > 1:
+        count += 1
+    shards = materialise(_shards(gains, count), "model", keep=True)
+    return Model(vocabulary, shards, count, materialise(contexts.select("before", F.log("weight").alias("logw")), "contexts", keep=True), unigrams.select("word", F.log("p").alias("logp")))
 
 
 class _Lookup:
@@ -190,86 +253,164 @@ class _Lookup:
         for key, value, into, table in (("before", "logw", self.logw, model.contexts), ("word", "logp", self.logp, model.unigrams)):
             given = table.toArrow()
             into[given[key].to_numpy()] = given[value].to_numpy()
-        self.pair, self.gain = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        if bigrams:
-            given = model.bigrams.toArrow()
-            pair, gain = given["pair"].to_numpy(), given["gain"].to_numpy()
+        self.n_shards, self.pair, self.gain = model.n_shards, np.zeros(0, np.int64), np.zeros(0, np.float32)
+        found = model.shards.toArrow().to_pylist() if bigrams else []
+        if found:
+            pair = np.concatenate([unpack(*(r[c] for c in _PACKED_NAMES)) * model.n_shards + r["shard"] for r in found])
             order = np.argsort(pair)
-            self.pair, self.gain = pair[order], gain[order]
+            self.pair, self.gain = pair[order], np.concatenate([np.frombuffer(r["gains"], "<f4") for r in found])[order]
 
-    def scores(self, part: pa.RecordBatch) -> list[pa.Array]:
+    def scores(self, part: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+        """n_words, log probability (without bigrams that are not here) and held_out of each text; the text and bigram of each word."""
         w = words_of(part.column("text"), WORD_BYTES, False)
         model, held_out = self.vocabulary.scoring(part)
         if not self.base:
-            return [pa.array(w.count(), pa.int64()), pa.nulls(len(model), pa.float64()), pa.array(held_out)]
+            return [pa.array(w.count(), pa.int64()), pa.nulls(len(model), pa.float64()), pa.array(held_out)], w.text[:0], w.text[:0]
         own, before = self.vocabulary.numbers(w, np.maximum(model, 0))
         out = self.logw[before] + self.logp[own]
+        pair = before * self.base + own
         if len(self.pair) and len(own):
-            pair = before * self.base + own
             at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
             out += np.where(self.pair[at] == pair, self.gain[at], 0)
         total = np.concatenate([[0.0], np.cumsum(out)])
-        return [pa.array(w.count(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.float64(), mask=model < 0), pa.array(held_out)]
+        there = model[w.text] >= 0
+        return [pa.array(w.count(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.float64(), mask=model < 0), pa.array(held_out)], w.text[there], pair[there]
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("logp", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
 #: Log probability of a word that the model never saw follow anything.
 UNSEEN = -20.0
+#: Digests that a task remembers, so that most copies in it are scored once.
+REMEMBERED = 500_000
 
 
-def score(docs: DataFrame, model: Model, *, lang: str = "lang", keep: list[str] | None = None, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
-    """`row` and `found`: n_words, the text's log probability (null: no trusted text of its language), and whether its model is its fold's."""
-    names = docs.columns if keep is None else keep
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *placed(docs, lang, model.vocabulary.folds))
-    whole = model.bigrams.count() <= broadcast_ngrams
+def _keyed(docs: DataFrame, names: list[str], lang: str) -> DataFrame:
+    """`row` with the named columns, lang, and the digest of language and text."""
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *placed(docs, lang, 1))
+    return given.select("row", "lang", F.unhex(F.md5(F.concat("lang", F.lit("\0"), "text"))).alias("digest"))
+
+
+def scores(docs: DataFrame, model: Model, *, lang: str = "lang", broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+    """digest of each different language and text, n_words, its log probability (null: no trusted text of its language), and whether its model is its fold's."""
+    given = docs.select(*placed(docs, lang, model.vocabulary.folds)).withColumn("digest", F.unhex(F.md5(F.concat("lang", F.lit("\0"), "text"))))
+    whole = model.shards.agg(F.sum(F.octet_length("gains") / 4)).first()[0] or 0
+    whole = whole <= broadcast_ngrams
     sent = docs.sparkSession.sparkContext.broadcast(_Lookup(model, UNSEEN, whole))
+    if not whole:
+        return materialise(_asked(given, model, sent).dropDuplicates(["digest"]), "scores", keep=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                kept = [part.column(i) for i, c in enumerate(part.schema.names) if c in ("row", "digest")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.StructArray.from_arrays(sent.value.scores(part), FOUND.fieldNames())], out.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column("digest"), *sent.value.scores(part)[0]], out.fieldNames())
 
-    if not whole:
-        given = given.withColumn("digest", F.unhex(F.md5(F.concat("lang", F.lit("\0"), "text"))))
-    out = T.StructType([*(f for f in given.schema.fields if f.name in ("row", "digest")), T.StructField("found", FOUND)])
-    scored = given.mapInArrow(run, out)
-    if whole:
-        return scored
-    gains = _gains(given, model, sent)
-    logp = F.col("found.logp") + F.coalesce("gain", F.lit(0.0))
-    return scored.join(gains, "digest", "left").select("row", F.struct("found.n_words", logp.alias("logp"), "found.held_out").alias("found"))
+    out = T.StructType([T.StructField("digest", T.BinaryType()), *FOUND.fields])
+    return materialise(given.mapInArrow(run, out).dropDuplicates(["digest"]), "scores", keep=True)
 
 
-def _gains(given: DataFrame, model: Model, sent) -> DataFrame:
-    """Bigram counts of each different text join the models' shards: digest and what its bigrams add to its log probability."""
+_ASKED = f"shard int, kind int, batch binary, {_PACKED}, texts binary, counts binary, gains binary, digests binary, found binary, parts int"
+_ASKED_TYPES = {"shard": pa.int32(), "kind": pa.int32(), "batch": pa.binary(), "first": pa.int64(), "width": pa.int32(), "parts": pa.int32()}
+_ASKED_NAMES = [x.split()[0] for x in _ASKED.split(", ")]
+_SUMS = "batch binary, sums binary, digests binary, found binary, parts int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _table(rows: list[dict], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _ASKED_TYPES.get(c, pa.binary())) for c in names], names)
+
+
+def _asked(given: DataFrame, model: Model, sent) -> DataFrame:
+    """Scores by the models' shards. kind 0: a shard; 1: what a slice of texts asks of it; 2: the slice's digests and what is known without bigrams."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch):
-                w = words_of(part.column("text"), WORD_BYTES, False)
-                vocabulary = sent.value.vocabulary
-                scoring, _ = vocabulary.scoring(part)
-                own, before = vocabulary.numbers(w, np.maximum(scoring, 0))
-                pair = before * vocabulary.base + own
-                order = np.lexsort((pair, w.text))
-                pair, text = pair[order], w.text[order]
-                new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])])[: len(pair)])
-                n = np.diff(np.append(new, len(pair)))
-                there = scoring[text[new]] >= 0
-                yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(text[new][there])), pa.array(pair[new][there]), pa.array(n[there], pa.int32())], ["digest", "pair", "n"])
-
-    texts = given.select("digest", "text", "lang", "fold").dropDuplicates(["digest"])
-    counts = texts.mapInArrow(run, "digest binary, pair bigint, n int")
-    return counts.join(model.bigrams, "pair").groupBy("digest").agg(F.sum(F.col("n") * F.col("gain").cast("double")).alias("gain"))
+                digests = part.column("digest").to_pylist()
+                new = list({d: k for k, d in enumerate(digests) if d not in seen}.values())
+                if not new:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.update(digests)
+                part, digests = part.take(pa.array(new)), b"".join(digests[k] for k in new)
+                (n_words, logp, held_out), text, pair = sent.value.scores(part)
+                known = np.rec.fromarrays([n_words.to_numpy(), logp.to_numpy(zero_copy_only=False), held_out.to_numpy(zero_copy_only=False)], dtype=_KNOWN)
+                rows = list(_requests(text, pair, sent.value.n_shards, len(new)))
+                name = hashlib.blake2b(digests, digest_size=16).digest()
+                rows.append({"shard": name[0] % sent.value.n_shards, "kind": 2, "digests": digests, "found": known.tobytes(), "parts": len(rows)})
+                yield _table([r | {"batch": name} for r in rows], _ASKED_NAMES)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, gains = -1, np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    shard, keys, gains = r["shard"], unpack(*(r[c] for c in _PACKED_NAMES)), np.frombuffer(r["gains"], "<f4").astype(np.float64)
+                elif r["kind"] == 2:
+                    rows.append(r)
+                else:
+                    own = unpack(*(r[c] for c in _PACKED_NAMES))
+                    texts, counts = (np.frombuffer(r[c], f"<u{len(r[c]) // len(own)}") for c in ("texts", "counts"))
+                    gain = np.zeros(len(own))
+                    if shard == r["shard"]:
+                        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                        gain = np.where(keys[at] == own, gains[at], 0) * counts
+                    rows.append({"batch": r["batch"], "sums": np.bincount(texts, gain, r["parts"]).astype("<f4").tobytes()})
+            if rows:
+                yield _table(rows, ["batch", "sums", "digests", "found", "parts"])
+
+    def gathered(given: pa.Table) -> pa.Table:
+        rows = given.to_pylist()
+        # a slice that several tasks hold is asked for by each of them, and answered alike
+        known = next((r for r in rows if r["digests"] is not None), None)
+        copies = sum(r["digests"] is not None for r in rows)
+        sums = [np.frombuffer(r["sums"], "<f4") for r in rows if r["sums"] is not None]
+        if known is None or len(sums) != copies * known["parts"]:
+            raise RuntimeError("the input gave other rows when it was read again; write it first")
+        found = np.frombuffer(known["found"], _KNOWN)
+        logp = found["logp"] + (np.sum(sums, 0, dtype=np.float64) / copies if sums else 0)
+        digests = [known["digests"][k : k + 16] for k in range(0, len(known["digests"]), 16)]
+        return pa.table({"digest": pa.array(digests, pa.binary()), "n_words": found["n_words"], "logp": pa.array(logp, mask=np.isnan(logp)), "held_out": found["held_out"]})
+
+    shards = model.shards.select("shard", F.lit(0).alias("kind"), *_PACKED_NAMES, "gains")
+    asked = given.mapInArrow(ask, _ASKED).unionByName(shards, allowMissingColumns=True)
+    # a shard comes before what is asked of it
+    answered = asked.repartition(model.n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, _SUMS)
+    return answered.groupBy("batch").applyInArrow(gathered, "digest binary, n_words bigint, logp double, held_out boolean")
+
+
+_KNOWN = np.dtype([("n_words", "<i8"), ("logp", "<f8"), ("held_out", "?")])
+
+
+def _requests(text: np.ndarray, pair: np.ndarray, n_shards: int, n_texts: int) -> Iterator[dict]:
+    """A row for each shard that is asked: packed keys, and the text and count of each."""
+    order = np.lexsort((text, pair, pair % n_shards))
+    text, pair = text[order], pair[order]
+    new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])])[: len(pair)])
+    counts = np.diff(np.append(new, len(pair)))
+    text, pair = text[new], pair[new]
+    shard = pair % n_shards
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(pair) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        first, width, low, high = pack(pair[lo:hi] // n_shards)
+        n, t = counts[lo:hi], text[lo:hi]
+        small = lambda x: x.astype("<u1" if x.max() < 1 << 8 else "<u4").tobytes()
+        yield {"shard": int(shard[lo]), "kind": 1, "first": first, "width": width, "low": low, "high": high, "texts": small(t), "counts": small(n), "parts": n_texts}
+
+
+def score(docs: DataFrame, model: Model, *, lang: str = "lang", keep: list[str] | None = None, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+    """`row` and `found`: n_words, the text's log probability (null: no trusted text of its language), and whether its model is its fold's."""
+    keyed = _keyed(docs, docs.columns if keep is None else keep, lang)
+    found = scores(docs, model, lang=lang, broadcast_ngrams=broadcast_ngrams)
+    return keyed.join(found.select("digest", F.struct(*FOUND.fieldNames()).alias("found")), "digest").select("row", "found")
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents labelled good and not toxic."""
-    ids = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("_trusted"))
+    ids = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 AND toxic = 0").select("doc_id")
     if labels.count() <= BROADCAST_LABELS:
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
 
 
 def classify(
@@ -281,15 +422,16 @@ def classify(
     prior_words: int = PRIOR_WORDS,
     quantile: float = QUANTILE,
     prior_trusted: int = PRIOR_TRUSTED,
+    broadcast_ngrams: int = BROADCAST_NGRAMS,
     **training,
 ) -> DataFrame:
     """`row` with lang, n_words, perplexity, threshold (of the score) and kept."""
     trusted = trusted_of(docs, labels)
     model = train(trusted, lang=lang, **training)
-    own = F.coalesce(F.col(f"row.`{lang}`").cast("string"), F.lit(""))
-    seen = score(trusted, model, lang=lang, keep=[lang]).select(own.alias("lang"), "found.*").where("n_words > 0 AND held_out")
-    seen = materialise(seen, "trusted")
-    means = materialise(seen.groupBy("lang").agg((F.sum("logp") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("n_trusted")), "means")
+    found = scores(docs, model, lang=lang, broadcast_ngrams=broadcast_ngrams)
+    seen = _keyed(trusted, [], lang).select("lang", "digest").join(found, "digest").where("n_words > 0 AND held_out")
+    seen = materialise(seen, "trusted", keep=True)
+    means = materialise(seen.groupBy("lang").agg((F.sum("logp") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("n_trusted")), "means", keep=True)
     all_mean = seen.agg(F.sum("logp") / F.sum("n_words")).first()[0] or 0.0
     smooth = lambda mean: (F.col("logp") + prior_words * mean) / (F.col("n_words") + prior_words)
     mean = F.coalesce("mean", F.lit(all_mean))
@@ -300,7 +442,7 @@ def classify(
     shrunk = (F.col("n_trusted") * low + prior_trusted * all_low) / (F.col("n_trusted") + prior_trusted)
     by_lang = scored.groupBy("lang", "mean", "n_trusted").agg((F.col("mean") + shrunk).alias("threshold")).drop("n_trusted")
     names = list(dict.fromkeys([*(docs.columns if keep is None else keep), lang]))
-    out = score(docs, model, lang=lang, keep=names).select("row", own.alias("lang"), "found.*")
+    out = _keyed(docs, names, lang).join(found, "digest")
     # one row a language with a held-out trusted text
     given = F.coalesce("threshold", F.when(F.col("logp").isNotNull(), all_mean + all_low), F.lit(float("-inf")))
     out = out.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", given).withColumn("score", smooth(mean))
