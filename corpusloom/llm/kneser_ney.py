@@ -280,6 +280,8 @@ class _Lookup:
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("logp", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
 #: Log probability of a word that the model never saw follow anything.
 UNSEEN = -20.0
+#: Texts that ask together; their numbers fit a byte.
+TEXTS = 256
 #: Digests that a task remembers, so that most copies in it are scored once.
 REMEMBERED = 500_000
 
@@ -331,13 +333,15 @@ def _asked(given: DataFrame, model: Model, sent) -> DataFrame:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.update(digests)
-                part, digests = part.take(pa.array(new)), b"".join(digests[k] for k in new)
-                (n_words, logp, held_out), text, pair = sent.value.scores(part)
-                known = np.rec.fromarrays([n_words.to_numpy(), logp.to_numpy(zero_copy_only=False), held_out.to_numpy(zero_copy_only=False)], dtype=_KNOWN)
-                rows = list(_requests(text, pair, sent.value.n_shards, len(new)))
-                name = hashlib.blake2b(digests, digest_size=16).digest()
-                rows.append({"shard": name[0] % sent.value.n_shards, "kind": 2, "digests": digests, "found": known.tobytes(), "parts": len(rows)})
-                yield _table([r | {"batch": name} for r in rows], _ASKED_NAMES)
+                for at in range(0, len(new), TEXTS):
+                    some = new[at : at + TEXTS]
+                    (n_words, logp, held_out), text, pair = sent.value.scores(part.take(pa.array(some)))
+                    known = np.rec.fromarrays([n_words.to_numpy(), logp.to_numpy(zero_copy_only=False), held_out.to_numpy(zero_copy_only=False)], dtype=_KNOWN)
+                    rows = list(_requests(text, pair, sent.value.n_shards, len(some)))
+                    held = b"".join(digests[k] for k in some)
+                    name = hashlib.blake2b(held, digest_size=16).digest()
+                    rows.append({"shard": name[0] % sent.value.n_shards, "kind": 2, "digests": held, "found": known.tobytes(), "parts": len(rows)})
+                    yield _table([r | {"batch": name} for r in rows], _ASKED_NAMES)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, gains = -1, np.zeros(0, np.int64), np.zeros(0)
