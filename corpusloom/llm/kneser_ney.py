@@ -3,7 +3,8 @@
 Words are runs without white space and `.,;:`, case kept. Each language has counts, a vocabulary, discounts
 and totals of its own. The vocabulary is every word that occurs `min_count` times in the language's trusted texts, so
 it grows with the corpus; other words are one class of the language, whose probability its different words share.
-Counts, continuation counts and context totals are Spark groupings and joins over all texts.
+Counts come from all trusted texts: slices of them pack their sorted bigrams for each shard of the models, a shard adds up
+what it is sent, and continuation counts and context totals are sums over the shards.
 
 Models are cross-fitted: texts are dealt by content into `folds`, and a language's model of a fold learns from
 the trusted texts of all other folds and scores the fold's texts. So all trusted texts teach, and none
@@ -41,10 +42,8 @@ MIN_COUNT, FOLDS = 3, 2
 PRIOR_WORDS, QUANTILE, PRIOR_TRUSTED = 20, 0.01, 20
 #: 12 bytes each in the broadcast; labelled ids (8 bytes) that are broadcast to find the trusted texts.
 BROADCAST_NGRAMS, BROADCAST_LABELS = 4_000_000, 2_000_000
-#: Words of all models up to which their tables are broadcast to the bigrams.
-BROADCAST_WORDS = 500_000
-#: Bigrams that a shard of the models should hold.
-SHARD_NGRAMS = 250_000
+#: Trusted words, and so bigrams at most, that go to a shard of the models.
+SHARD_WORDS = 1_000_000
 
 WORD_BYTES = NONSPACE.copy()
 WORD_BYTES[np.frombuffer(b".,;:", np.uint8)] = False
@@ -61,6 +60,7 @@ class Vocabulary:
     folds: int
     taught: np.ndarray
     known: np.ndarray
+    known_model: np.ndarray
 
     @property
     def models(self) -> int:
@@ -96,16 +96,16 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """Vocabulary, and log probabilities of all models as tables; a bigram's is logw + logp + gain.
+    """Vocabulary, and log probabilities of all models; a bigram's is logw of its first word, logp of its second and its gain.
 
-    shards has a row for each shard: the packed keys of its bigrams and their gains.
+    shards has a row for each shard: the packed keys of its bigrams and their gains. The arrays go by word number.
     """
 
     vocabulary: Vocabulary
     shards: DataFrame
     n_shards: int
-    contexts: DataFrame
-    unigrams: DataFrame
+    logw: np.ndarray
+    logp: np.ndarray
 
 
 def _keys(w: Words, model: np.ndarray) -> np.ndarray:
@@ -153,16 +153,17 @@ _PACKED = "first bigint, width int, low binary, high binary"
 _PACKED_NAMES = ["first", "width", "low", "high"]
 
 
-def _shards(bigrams: DataFrame, count: int) -> DataFrame:
-    """The model's bigrams as a row for each shard; a key's shard is its remainder."""
+def _runs(keys: np.ndarray, n_shards: int, **columns: np.ndarray) -> Iterator[dict]:
+    """A row for each shard (a key's remainder): the packed keys, and the other columns as bytes; `keys` are in order of shard and key."""
+    shard = keys % n_shards
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own = {c: x[lo:hi] for c, x in columns.items()}
+        yield {"shard": int(shard[lo])} | dict(zip(_PACKED_NAMES, pack(keys[lo:hi] // n_shards), strict=True)) | {c: x.astype("<u1" if x.max() < 1 << 8 else "<u4").tobytes() for c, x in own.items()}
 
-    def run(given: pa.Table) -> pa.Table:
-        pair, gain = given["pair"].to_numpy(), given["gain"].to_numpy()
-        order = np.argsort(pair)
-        first, width, low, high = pack(pair[order] // count)
-        return pa.table({"shard": pa.array([int(pair[0] % count)], pa.int32()), "first": [first], "width": pa.array([width], pa.int32()), "low": [low], "high": [high], "gains": [gain[order].astype("<f4").tobytes()]})
 
-    return bigrams.withColumn("shard", F.col("pair") % count).groupBy("shard").applyInArrow(run, f"shard int, {_PACKED}, gains binary")
+def _column(row: dict, name: str, size: int) -> np.ndarray:
+    return np.frombuffer(row[name], f"<u{len(row[name]) // size}")
 
 
 def _counted(texts: DataFrame, work, name: str, languages: dict[str, int], folds: int) -> DataFrame:
@@ -183,18 +184,95 @@ def _counted(texts: DataFrame, work, name: str, languages: dict[str, int], folds
     return texts.mapInArrow(run, f"model bigint, {name} bigint, n bigint").groupBy("model", name).agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """D1, D2 and D3+ of each model's count table."""
-    n = [F.col(f"n{i}") for i in range(1, 5)]
-    found = counts.groupBy("model").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)])
-    y = F.when(n[0] > 0, n[0] / (n[0] + 2 * n[1])).otherwise(0.5)
-    d = lambda i: F.when(n[i - 1] > 0, F.least(F.lit(float(i)), F.greatest(F.lit(0.05), i - (i + 1) * y * n[i] / n[i - 1]))).otherwise(0.5 * i)
-    return F.broadcast(materialise(found.select("model", *[d(i).alias(f"d{i}") for i in (1, 2, 3)]), "discounts"))
+def _discounts(n: np.ndarray) -> np.ndarray:
+    """D1, D2 and D3+ of each model, by its numbers of counts of 1, 2, 3 and 4 (a row a model)."""
+    y = np.where(n[:, 0] > 0, n[:, 0] / np.maximum(1, n[:, 0] + 2 * n[:, 1]), 0.5)
+    d = [np.where(n[:, i - 1] > 0, np.minimum(i, np.maximum(0.05, i - (i + 1) * y * n[:, i] / np.maximum(1, n[:, i - 1]))), 0.5 * i) for i in (1, 2, 3)]
+    return np.stack(d, 1)
+
+
+def _tallies(counts: np.ndarray) -> np.ndarray:
+    """Which of the columns 1, 2, 3, 4 and more each count falls in."""
+    return np.minimum(counts, 5) - 1
+
+
+_COUNTED = f"shard int, {_PACKED}, counts binary"
+_COUNTED_NAMES = ["shard", *_PACKED_NAMES, "counts"]
+_TALLIED = "follows boolean, number bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n5 bigint"
+
+
+def _bigrams(texts: DataFrame, vocabulary: Vocabulary, n_shards: int, sent) -> DataFrame:
+    """A row for each shard: its packed bigrams and their counts."""
+    base = vocabulary.base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        for batch in batches:
+            for part in slices(batch):
+                lang, fold = _places(part, vocabulary.languages)
+                w = words_of(part.column("text"), WORD_BYTES, False)
+                pairs = []
+                for m in range(vocabulary.folds):
+                    own, before = vocabulary.numbers(w, lang * vocabulary.folds + m)
+                    pairs.append((before * base + own)[(fold != m)[w.text]])
+                keys, n = np.unique(np.concatenate(pairs), return_counts=True)
+                order = np.lexsort((keys, keys % n_shards))
+                yield _table(list(_runs(keys[order], n_shards, counts=n[order])), _COUNTED_NAMES)
+
+    def added(given: pa.Table) -> pa.Table:
+        rows = given.to_pylist()
+        keys = [unpack(*(r[c] for c in _PACKED_NAMES)) for r in rows]
+        n = np.concatenate([_column(r, "counts", len(k)).astype(np.int64) for r, k in zip(rows, keys, strict=True)])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        whole = keys[new] * n_shards + rows[0]["shard"]
+        return pa.Table.from_batches([_table(list(_runs(whole, n_shards, counts=np.add.reduceat(n, new))), _COUNTED_NAMES)])
+
+    return texts.mapInArrow(run, _COUNTED).groupBy("shard").applyInArrow(added, _COUNTED)
+
+
+def _pairs(row: dict, base: int, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, second words and counts of a shard's bigrams."""
+    pair = unpack(*(row[c] for c in _PACKED_NAMES)) * n_shards + row["shard"]
+    return pair // base, pair % base, _column(row, "counts", len(pair)).astype(np.int64)
+
 
+def _tallied(bigrams: DataFrame, base: int, n_shards: int) -> DataFrame:
+    """For each first word the sum of its bigrams' counts, and how many are 1, 2, 3, 4 and more; for each second word (`follows`) how many different words it follows."""
 
-def _taken():
-    """What a count loses."""
-    return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                before, own, n = _pairs(row, base, n_shards)
+                first, at = np.unique(before, return_inverse=True)
+                second, follows = np.unique(own, return_counts=True)
+                tallies = np.zeros((len(first), 5), np.int64)
+                np.add.at(tallies, (at, _tallies(n)), 1)
+                none = np.zeros(len(second), np.int64)
+                columns = [np.repeat([False, True], [len(first), len(second)]), np.concatenate([first, second]), np.concatenate([np.bincount(at, n).astype(np.int64), follows]), *(np.concatenate([tallies[:, k], none]) for k in range(5))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["follows", "number", "total", *(f"n{k}" for k in range(1, 6))])
+
+    sums = [F.sum(c).alias(c) for c in ("total", *(f"n{k}" for k in range(1, 6)))]
+    return bigrams.select(*_COUNTED_NAMES).mapInArrow(run, _TALLIED).groupBy("follows", "number").agg(*sums)
+
+
+def _gained(bigrams: DataFrame, base: int, n_shards: int, sent) -> DataFrame:
+    """A row for each shard: packed bigrams and what each adds to its words' log probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, discounts, total, weight, p, share = sent.value
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                before, own, n = _pairs(row, base, n_shards)
+                lost = discounts[of[before], np.minimum(n, 3) - 1]
+                seen = np.maximum(n - lost, 0) / total[before] * share[own]
+                rows.append(row | {"gains": np.log1p(seen / (weight[before] * p[own])).astype("<f4").tobytes()})
+            yield _table(rows, ["shard", *_PACKED_NAMES, "gains"])
+
+    return bigrams.mapInArrow(run, f"shard int, {_PACKED}, gains binary")
 
 
 def train(trusted: DataFrame, *, lang: str = "lang", min_count: int = MIN_COUNT, folds: int = FOLDS) -> Model:
@@ -208,51 +286,53 @@ def _trained(trusted: DataFrame, lang: str, min_count: int, folds: int) -> Model
     texts = trusted.select(*placed(trusted, lang, folds))
     languages = {r[0]: i for i, r in enumerate(sorted(texts.select("lang").distinct().collect()))}
     counts = materialise(_counted(texts, lambda w, model: (_keys(w, model), model[w.text]), "word", languages, folds), "words")
-    known = np.sort(counts.where(F.col("n") >= min_count).select("word").toArrow()["word"].to_numpy().view(np.uint64))
-    taught = np.zeros(len(languages) * folds, bool)
-    sizes = F.count(F.when(F.col("n") >= min_count, 1))
-    whole_words = materialise(counts.groupBy("model").agg((sizes + 2).alias("base"), F.greatest(F.lit(1), F.count(F.lit(1)) - sizes).alias("n_unknown")), "sizes")
-    taught[[r[0] for r in whole_words.select("model").collect()]] = True
-    vocabulary = Vocabulary(languages, folds, taught, known)
-    base, models = vocabulary.base, vocabulary.models
-    sent = trusted.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def pairs(w: Words, model: np.ndarray):
-        own, before = sent.value.numbers(w, model)
-        return before * base + own, model[w.text]
-
-    counted = _counted(texts, pairs, "pair", languages, folds)
-    bigrams = materialise(counted.select("model", F.floor(F.col("pair") / base).alias("before"), (F.col("pair") % base).alias("word"), "n"), "bigrams")
-    whole = bigrams.join(_discounts(bigrams), "model")
-    contexts = whole.groupBy("before").agg(F.sum("n").alias("total"), F.sum(_taken()).alias("spare")).withColumn("weight", F.col("spare") / F.col("total"))
-    follows = materialise(bigrams.groupBy("model", "word").agg(F.count(F.lit(1)).alias("n")), "follows")
-    following = follows.join(_discounts(follows), "model")
-    totals = following.groupBy("model").agg(F.sum("n").alias("total"), F.sum(_taken()).alias("spare"))
-    following = following.join(F.broadcast(totals), "model").join(F.broadcast(whole_words), "model")
+    many = counts.where(F.col("n") >= min_count).select("word", "model").toArrow()
+    known, known_model = many["word"].to_numpy().view(np.uint64), many["model"].to_numpy().astype(np.int32)
+    order = np.argsort(known)
+    models = len(languages) * folds
+    taught, whole, unknown, words = np.zeros(models, bool), np.ones(models), np.ones(models), 0
+    # one row a model
+    for r in counts.groupBy("model").agg(F.count(F.when(F.col("n") >= min_count, 1)).alias("known"), F.count(F.lit(1)).alias("all"), F.sum("n").alias("words")).collect():
+        taught[r["model"]], whole[r["model"]], unknown[r["model"]] = True, r["known"] + 2, max(1, r["all"] - r["known"])
+        words += r["words"]
+    vocabulary = Vocabulary(languages, folds, taught, known[order], known_model[order])
+    base, sc = vocabulary.base, trusted.sparkSession.sparkContext
+    n_shards = max(int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / SHARD_WORDS))
+    while math.gcd(n_shards, max(1, base)) > 1:
+        n_shards += 1
+    bigrams = materialise(_bigrams(texts, vocabulary, n_shards, sc.broadcast(vocabulary)), "bigrams")
+    tallied = materialise(_tallied(bigrams, base, n_shards), "tallies").toArrow()
+    of = np.concatenate([np.arange(models), np.arange(models), vocabulary.known_model]).astype(np.int32)
+    follows, number, sums = tallied["follows"].to_numpy(), tallied["number"].to_numpy(), tallied["total"].to_numpy()
+    total, tallies, k = np.zeros(base), np.zeros((base, 5)), np.zeros(base, np.int64)
+    total[number[~follows]], k[number[follows]] = sums[~follows], sums[follows]
+    for c in range(5):
+        tallies[number[~follows], c] = tallied[f"n{c + 1}"].to_numpy()[~follows]
+    by_model = np.stack([np.bincount(of, tallies[:, c], models) for c in range(4)], 1) if base else np.zeros((0, 4))
+    discounts = _discounts(by_model)
+    # what a first word's bigrams lose goes to all words, by how many different words they follow
+    spare = (tallies * discounts[of][:, [0, 1, 2, 2, 2]]).sum(1)
+    weight = spare / np.maximum(1, total)
+    following = _discounts(np.stack([np.bincount(of[k == c], minlength=models) for c in (1, 2, 3, 4)], 1) if base else np.zeros((0, 4)))
+    lost = np.where(k > 0, following[of, np.clip(k, 1, 3) - 1], 0)
+    all_k, all_lost = np.bincount(of, k, models), np.bincount(of, lost, models)
+    share = np.where(np.arange(base) < models, 1 / unknown[of], 1.0)
     # unknown words share their class's probability
-    p = (F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") + F.col("spare") / F.col("total") / F.col("base")) * F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0))
-    unigrams = materialise(following.select("word", p.alias("p"), F.when(F.col("word") < models, 1.0 / F.col("n_unknown")).otherwise(F.lit(1.0)).alias("share")), "unigrams", keep=True)
-    small = F.broadcast if base <= BROADCAST_WORDS else (lambda df: df)
-    joined = whole.join(small(contexts.select("before", "total", "weight")), "before").join(small(unigrams), "word")
-    own = F.greatest(F.col("n") - _taken(), F.lit(0.0)) / F.col("total") * F.col("share")
-    gain = F.log1p(own / (F.col("weight") * F.col("p"))).cast("float")
-    gains = joined.select((F.col("before") * base + F.col("word")).alias("pair"), gain.alias("gain"))
-    count = max(int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(bigrams.count() / SHARD_NGRAMS))
-    while math.gcd(count, max(1, base)) > 1:
-        count += 1
-    shards = materialise(_shards(gains, count), "model", keep=True)
-    return Model(vocabulary, shards, count, materialise(contexts.select("before", F.log("weight").alias("logw")), "contexts", keep=True), unigrams.select("word", F.log("p").alias("logp")))
+    p = np.where(k > 0, (np.maximum(k - lost, 0) + all_lost[of] / whole[of]) / np.maximum(1, all_k[of]) * share, 1.0)
+    shards = materialise(_gained(bigrams, base, n_shards, sc.broadcast((of, discounts, np.maximum(1, total), np.where(total > 0, weight, 1.0), p, share))), "model", keep=True)
+    return Model(vocabulary, shards, n_shards, np.where(total > 0, np.log(np.where(total > 0, weight, 1.0)), 0.0), np.where(k > 0, np.log(p), UNSEEN))
+
+
+#: Log probability of a word that the model never saw follow anything.
+UNSEEN = -20.0
 
 
 class _Lookup:
     """The model's tables as arrays by word number; bigrams only where they are broadcast."""
 
-    def __init__(self, model: Model, unseen: float, bigrams: bool):
+    def __init__(self, model: Model, bigrams: bool):
         self.vocabulary, self.base = model.vocabulary, model.vocabulary.base
-        self.logw, self.logp = np.zeros(self.base), np.full(self.base, unseen)
-        for key, value, into, table in (("before", "logw", self.logw, model.contexts), ("word", "logp", self.logp, model.unigrams)):
-            given = table.toArrow()
-            into[given[key].to_numpy()] = given[value].to_numpy()
+        self.logw, self.logp = model.logw, model.logp
         self.n_shards, self.pair, self.gain = model.n_shards, np.zeros(0, np.int64), np.zeros(0, np.float32)
         found = model.shards.toArrow().to_pylist() if bigrams else []
         if found:
@@ -278,8 +358,6 @@ class _Lookup:
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("logp", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
-#: Log probability of a word that the model never saw follow anything.
-UNSEEN = -20.0
 #: Texts that ask together; their numbers fit a byte.
 TEXTS = 256
 #: Digests that a task remembers, so that most copies in it are scored once.
@@ -297,7 +375,7 @@ def scores(docs: DataFrame, model: Model, *, lang: str = "lang", broadcast_ngram
     given = docs.select(*placed(docs, lang, model.vocabulary.folds)).withColumn("digest", F.unhex(F.md5(F.concat("lang", F.lit("\0"), "text"))))
     whole = model.shards.agg(F.sum(F.octet_length("gains") / 4)).first()[0] or 0
     whole = whole <= broadcast_ngrams
-    sent = docs.sparkSession.sparkContext.broadcast(_Lookup(model, UNSEEN, whole))
+    sent = docs.sparkSession.sparkContext.broadcast(_Lookup(model, whole))
     if not whole:
         return materialise(_asked(given, model, sent).dropDuplicates(["digest"]), "scores", keep=True)
 
@@ -354,7 +432,7 @@ def _asked(given: DataFrame, model: Model, sent) -> DataFrame:
                     rows.append(r)
                 else:
                     own = unpack(*(r[c] for c in _PACKED_NAMES))
-                    texts, counts = (np.frombuffer(r[c], f"<u{len(r[c]) // len(own)}") for c in ("texts", "counts"))
+                    texts, counts = _column(r, "texts", len(own)), _column(r, "counts", len(own))
                     gain = np.zeros(len(own))
                     if shard == r["shard"]:
                         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
@@ -392,14 +470,8 @@ def _requests(text: np.ndarray, pair: np.ndarray, n_shards: int, n_texts: int) -
     text, pair = text[order], pair[order]
     new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])])[: len(pair)])
     counts = np.diff(np.append(new, len(pair)))
-    text, pair = text[new], pair[new]
-    shard = pair % n_shards
-    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(pair) else [0]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        first, width, low, high = pack(pair[lo:hi] // n_shards)
-        n, t = counts[lo:hi], text[lo:hi]
-        small = lambda x: x.astype("<u1" if x.max() < 1 << 8 else "<u4").tobytes()
-        yield {"shard": int(shard[lo]), "kind": 1, "first": first, "width": width, "low": low, "high": high, "texts": small(t), "counts": small(n), "parts": n_texts}
+    for row in _runs(pair[new], n_shards, texts=text[new], counts=counts):
+        yield row | {"kind": 1, "parts": n_texts}
 
 
 def score(docs: DataFrame, model: Model, *, lang: str = "lang", keep: list[str] | None = None, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kneser_ney as kn
@@ -62,3 +66,74 @@ def test_few_trusted_texts_give_a_threshold(spark):
     # the quantile itself, without a margin: the lowest of 120 scores is not far below it
     held = sorted(r["score"] - r["threshold"] for r in rows if r["lang"] == "en" and r["doc_id"] < 120)
     assert held[0] < 0.02 and held[3] >= 0 and sum(kept[i] for i in range(130)) >= 126
+
+
+def _brute(texts: list[str], min_count: int):
+    """Probability of a word after another from whole dictionaries of counts, for one language and no folds."""
+    split = [[w for w in re.split(r"[\s.,;:]+", t) if w] for t in texts]
+    every = collections.Counter(w for t in split for w in t)
+    known = {w for w, n in every.items() if n >= min_count}
+    unknown = max(1, len(every) - len(known))
+    name = lambda w: w if w in known else "?"
+    pairs = collections.Counter()
+    for t in split:
+        pairs.update(zip(["^", *map(name, t)], map(name, t), strict=False))
+
+    def losses(counts):
+        n = [sum(c == i for c in counts) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [0.5 * i if not n[i] else min(i, max(0.05, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)]
+        return lambda c: d[min(c, 3) - 1]
+
+    follows = collections.Counter(w for _, w in pairs)
+    lose_pair, lose_word = losses(list(pairs.values())), losses(list(follows.values()))
+    all_follows, spare_words = sum(follows.values()), sum(lose_word(c) for c in follows.values())
+
+    def p1(w):
+        share = 1 / unknown if w == "?" else 1.0
+        return (max(0, follows[w] - lose_word(follows[w])) + spare_words / (len(known) + 2)) / all_follows * share if follows[w] else math.exp(kn.UNSEEN)
+
+    def p2(v, w):
+        after = {b: n for (a, b), n in pairs.items() if a == v}
+        if not after:
+            return p1(w)
+        total, spare = sum(after.values()), sum(lose_pair(n) for n in after.values())
+        share = 1 / unknown if w == "?" else 1.0
+        own = max(0, after[w] - lose_pair(after[w])) / total * share if w in after else 0
+        return own + spare / total * p1(w)
+
+    def logp(text):
+        own = [name(w) for w in re.split(r"[\s.,;:]+", text) if w]
+        return sum(math.log(p2(v, w)) for v, w in zip(["^", *own], own, strict=False))
+
+    return logp
+
+
+def test_probabilities_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], [1 / (i + 1) for i in range(40)], k=rng.randint(1, 30))) for _ in range(60)]
+    asked = [*_prose(9, 3), *texts[:10], "w0 w1 w0 w0 never seen", "", "w39."]
+    # two folds, each taught by the other's texts
+    docs = _docs(spark, [("en", x) for x in texts])
+    folds = {r["text"]: r["fold"] for r in docs.union(_docs(spark, [("en", x) for x in asked])).select(*kn.placed(docs, "lang", 2)).collect()}
+    model = kn.train(docs)
+    brute = [_brute([x for x in texts if folds[x] != m], kn.MIN_COUNT) for m in (0, 1)]
+    for limit in (0, kn.BROADCAST_NGRAMS):
+        found = {r[0]: r[1] for r in kn.score(_docs(spark, [("en", x) for x in asked]), model, broadcast_ngrams=limit).select("row.text", "found.logp").collect()}
+        for x in asked:
+            assert abs(found[x] - brute[folds[x]](x)) < 1e-3, x
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 1), (5, 1), (1000, 1 << 50), (1000, 20), (300, 1 << 62)):
+        values = np.sort(rng.integers(0, top, n))
+        assert (kn.unpack(*kn.pack(values)) == values).all()
+
+
+def test_empty_tables_and_clashing_names(spark):
+    docs = _docs(spark, [("en", x) for x in _prose(1, 30)]).withColumns({"_trusted": F.lit(1), "kept": F.lit("x"), "digest": F.lit("y"), "score": F.lit(0)})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert kn.classify(docs, labels).select("row.*").columns == docs.columns
+    assert kn.classify(docs.limit(0), labels).count() == 0
+    assert kn.classify(docs, labels.limit(0)).where("kept").count() == 30
