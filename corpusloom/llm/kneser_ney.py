@@ -25,6 +25,7 @@ scored alike; an empty table gives no rows; a text longer than a slice is a slic
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -198,7 +199,7 @@ def _tallies(counts: np.ndarray) -> np.ndarray:
 
 _COUNTED = f"shard int, {_PACKED}, counts binary"
 _COUNTED_NAMES = ["shard", *_PACKED_NAMES, "counts"]
-_TALLIED = "follows boolean, number bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n5 bigint"
+_TALLIED = "follows boolean, number int, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n5 bigint"
 
 
 def _bigrams(texts: DataFrame, vocabulary: Vocabulary, n_shards: int, sent) -> DataFrame:
@@ -251,10 +252,10 @@ def _tallied(bigrams: DataFrame, base: int, n_shards: int) -> DataFrame:
                 tallies = np.zeros((len(first), 5), np.int64)
                 np.add.at(tallies, (at, _tallies(n)), 1)
                 none = np.zeros(len(second), np.int64)
-                columns = [np.repeat([False, True], [len(first), len(second)]), np.concatenate([first, second]), np.concatenate([np.bincount(at, n).astype(np.int64), follows]), *(np.concatenate([tallies[:, k], none]) for k in range(5))]
+                columns = [np.repeat([False, True], [len(first), len(second)]), np.concatenate([first, second]).astype(np.int32), np.concatenate([np.bincount(at, n).astype(np.int64), follows]), *(np.concatenate([tallies[:, k], none]) for k in range(5))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["follows", "number", "total", *(f"n{k}" for k in range(1, 6))])
 
-    sums = [F.sum(c).alias(c) for c in ("total", *(f"n{k}" for k in range(1, 6)))]
+    sums = [F.sum("total").alias("total"), *(F.sum(f"n{k}").cast("int").alias(f"n{k}") for k in range(1, 6))]
     return bigrams.select(*_COUNTED_NAMES).mapInArrow(run, _TALLIED).groupBy("follows", "number").agg(*sums)
 
 
@@ -358,6 +359,8 @@ class _Lookup:
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("logp", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
+#: Passes over the texts in which the shards are asked.
+PASSES = 2
 #: Texts that ask together; their numbers fit a byte.
 TEXTS = 256
 #: Digests that a task remembers, so that most copies in it are scored once.
@@ -370,14 +373,18 @@ def _keyed(docs: DataFrame, names: list[str], lang: str) -> DataFrame:
     return given.select("row", "lang", F.unhex(F.md5(F.concat("lang", F.lit("\0"), "text"))).alias("digest"))
 
 
-def scores(docs: DataFrame, model: Model, *, lang: str = "lang", broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+def scores(docs: DataFrame, model: Model, *, lang: str = "lang", broadcast_ngrams: int = BROADCAST_NGRAMS, passes: int = PASSES) -> DataFrame:
     """digest of each different language and text, n_words, its log probability (null: no trusted text of its language), and whether its model is its fold's."""
     given = docs.select(*placed(docs, lang, model.vocabulary.folds)).withColumn("digest", F.unhex(F.md5(F.concat("lang", F.lit("\0"), "text"))))
     whole = model.shards.agg(F.sum(F.octet_length("gains") / 4)).first()[0] or 0
     whole = whole <= broadcast_ngrams
     sent = docs.sparkSession.sparkContext.broadcast(_Lookup(model, whole))
     if not whole:
-        return materialise(_asked(given, model, sent).dropDuplicates(["digest"]), "scores", keep=True)
+        with scratch(docs.sparkSession):
+            # a pass asks its share of the shards, so that what is under way at a time stays small
+            parts = [materialise(_asked(given, model, sent, k, passes), "asked") for k in range(passes)]
+            every = functools.reduce(DataFrame.unionByName, parts).groupBy("digest")
+            return materialise(every.agg(F.max("n_words").alias("n_words"), F.sum("logp").alias("logp"), F.max("held_out").alias("held_out")), "scores", keep=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,8 +405,9 @@ def _table(rows: list[dict], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _ASKED_TYPES.get(c, pa.binary())) for c in names], names)
 
 
-def _asked(given: DataFrame, model: Model, sent) -> DataFrame:
-    """Scores by the models' shards. kind 0: a shard; 1: what a slice of texts asks of it; 2: the slice's digests and what is known without bigrams."""
+def _asked(given: DataFrame, model: Model, sent, turn: int, passes: int) -> DataFrame:
+    """Sums of a pass by digest: by the shards, in the first pass with what needs no bigrams.
+    kind 0: a shard; 1: what a slice of texts asks of it; 2: the slice's digests and what is known without bigrams."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -414,7 +422,9 @@ def _asked(given: DataFrame, model: Model, sent) -> DataFrame:
                 for at in range(0, len(new), TEXTS):
                     some = new[at : at + TEXTS]
                     (n_words, logp, held_out), text, pair = sent.value.scores(part.take(pa.array(some)))
-                    known = np.rec.fromarrays([n_words.to_numpy(), logp.to_numpy(zero_copy_only=False), held_out.to_numpy(zero_copy_only=False)], dtype=_KNOWN)
+                    own = pair % sent.value.n_shards % passes == turn
+                    text, pair = text[own], pair[own]
+                    known = np.rec.fromarrays([n_words.to_numpy(), logp.to_numpy(zero_copy_only=False) * (turn == 0), held_out.to_numpy(zero_copy_only=False)], dtype=_KNOWN)
                     rows = list(_requests(text, pair, sent.value.n_shards, len(some)))
                     held = b"".join(digests[k] for k in some)
                     name = hashlib.blake2b(held, digest_size=16).digest()
@@ -454,11 +464,12 @@ def _asked(given: DataFrame, model: Model, sent) -> DataFrame:
         digests = [known["digests"][k : k + 16] for k in range(0, len(known["digests"]), 16)]
         return pa.table({"digest": pa.array(digests, pa.binary()), "n_words": found["n_words"], "logp": pa.array(logp, mask=np.isnan(logp)), "held_out": found["held_out"]})
 
-    shards = model.shards.select("shard", F.lit(0).alias("kind"), *_PACKED_NAMES, "gains")
+    shards = model.shards.where(F.col("shard") % passes == turn).select("shard", F.lit(0).alias("kind"), *_PACKED_NAMES, "gains")
     asked = given.mapInArrow(ask, _ASKED).unionByName(shards, allowMissingColumns=True)
     # a shard comes before what is asked of it
     answered = asked.repartition(model.n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, _SUMS)
-    return answered.groupBy("batch").applyInArrow(gathered, "digest binary, n_words bigint, logp double, held_out boolean")
+    found = answered.groupBy("batch").applyInArrow(gathered, "digest binary, n_words bigint, logp double, held_out boolean")
+    return found.dropDuplicates(["digest"])
 
 
 _KNOWN = np.dtype([("n_words", "<i8"), ("logp", "<f8"), ("held_out", "?")])
