@@ -117,17 +117,25 @@ def chunks(text: Column, size: int = 5000) -> Column:
     """
     strip = lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")
     least = size * 0.3
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  what it binds is computed once
+
+    def place(piece: Column) -> Column:
+        marks = F.struct(_last(piece, "```").alias("fence"), _last(piece, "\n\n").alias("blank"), _last(piece, ". ").alias("end"))
+        return once(marks, lambda m: F.when(m["fence"] > least, m["fence"]).when(m["blank"] >= 0, F.when(m["blank"] > least, m["blank"]).otherwise(size)).when(m["end"] >= 0, F.when(m["end"] > least, m["end"] + 1).otherwise(size)).otherwise(size).cast("int"))
 
     def step(state: Column, _: Column) -> Column:
-        at, done = state["at"], state["done"]
-        piece = F.substr(text, at + 1, F.lit(size))
-        fence, blank, end = _last(piece, "```"), _last(piece, "\n\n"), _last(piece, ". ")
-        cut = F.when(fence > least, fence).when(blank >= 0, F.when(blank > least, blank).otherwise(size)).when(end >= 0, F.when(end > least, end + 1).otherwise(size)).otherwise(size)
-        last = at + size >= F.length(text)
-        own = strip(F.when(last, F.substr(text, at + 1)).otherwise(F.substr(piece, F.lit(1), cut)))
-        out = F.when(last | (own != ""), F.concat(state["out"], F.array(own))).otherwise(state["out"])
-        more = F.struct(F.when(last, at).otherwise(at + cut).cast("int").alias("at"), last.alias("done"), out.alias("out"))
-        return F.when(done, state).otherwise(more)
-
-    start = F.struct(F.lit(0).alias("at"), (F.length(text) == 0).alias("done"), F.array().cast("array<string>").alias("out"))
+        # the state holds what is left of the text, so no step looks through what is done
+        piece, last = F.left(state["rest"], F.lit(size)), F.substr(state["rest"], F.lit(size + 1)) == ""
+        cut = once(F.struct(piece.alias("piece"), last.alias("last")), lambda p: F.struct(p["piece"].alias("piece"), p["last"].alias("last"), F.when(p["last"], size).otherwise(place(p["piece"])).alias("cut")))
+
+        def more(c: Column) -> Column:
+            return once(strip(F.left(c["piece"], c["cut"])), lambda own: F.struct(
+                F.when(c["last"], "").otherwise(F.substr(state["rest"], c["cut"] + 1)).alias("rest"),
+                c["last"].alias("done"),
+                F.when(c["last"] | (own != ""), F.concat(state["out"], F.array(own))).otherwise(state["out"]).alias("out"),
+            ))
+
+        return F.when(state["done"], state).otherwise(once(cut, more))
+
+    start = F.struct(text.alias("rest"), (F.length(text) == 0).alias("done"), F.array().cast("array<string>").alias("out"))
     return F.aggregate(F.sequence(F.lit(0), (F.length(text) / least).cast("int") + 1), start, step)["out"]

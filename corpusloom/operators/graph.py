@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def join_any_key(left: DataFrame, right: DataFrame, key: str, keys: tuple[str, ...]) -> DataFrame:
     """`key` equals any of `keys`: one equi-join each instead of an OR, which would compare all pairs."""
     found = None
-    for k in keys:
+    for i, k in enumerate(keys):
         own = left.join(right, left[key] == right[k])
+        for before in keys[:i]:
+            # pairs that an earlier key has joined; equal rows of `left` all stay
+            own = own.where(~F.coalesce(left[key] == right[before], F.lit(False)))
         found = own if found is None else found.unionByName(own)
-    return found.distinct()
+    return found
 
 
 def confidence(checks: Column) -> Column:
@@ -28,10 +33,15 @@ def prefixes(name: Column, mark: str) -> Column:
 
 
 def reach(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(node, level): breadth-first levels over (src, dst), from `start` (node), visited nodes left out."""
+    """(node, level): breadth-first levels over (src, dst), from `start` (node), visited nodes left out.
+
+    Edges and each level are written once, so a level costs one join, however deep it is.
+    """
+    edges = stored(edges, "edges")
     level = start.select("node").distinct().withColumn("level", F.lit(0))
     seen = level
     for i in range(1, depth + 1):
         level = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(i))
+        level = stored(level, "level")
         seen = seen.unionByName(level)
     return seen

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import cosine
+from ..functions.scalar import dot, recency_decay, with_recency
 
 #: Queries that are broadcast against all rows; more are dealt by their id in blocks of about that many.
 QUERY_BLOCK = 1000
@@ -23,7 +23,11 @@ def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, *, id: str = "vec_
 
 
 def _block_top_k(queries: DataFrame, rows: DataFrame, k: int, id: str, vector: str) -> DataFrame:
-    scored = rows.join(F.broadcast(queries), F.col(id) != F.col("query_id")).select("query_id", *rows.columns, cosine(F.col(vector), F.col("query")).alias("similarity"))
+    # lengths are taken once a row, not once a pair
+    sized = lambda df, v, name: df.withColumn(name, F.sqrt(dot(F.col(v), F.col(v))))
+    pairs = sized(rows, vector, "_size").join(F.broadcast(sized(queries, "query", "_query_size")), F.col(id) != F.col("query_id"))
+    near = F.coalesce(F.try_divide(dot(F.col(vector), F.col("query")), F.col("_size") * F.col("_query_size")), F.lit(0.0))
+    scored = pairs.select("query_id", *rows.columns, near.alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id))
     return scored.drop(vector).withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -57,3 +61,48 @@ def grouped(results: DataFrame, key: str, *, order: str, text: str) -> DataFrame
     """One row a key: highest similarity, and its pieces in order with a blank line between."""
     pieces = F.array_sort(F.collect_list(F.struct(order, text)))
     return results.groupBy(key).agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(pieces, lambda x: x[text]), "\n\n").alias("content"))
+
+
+def pages_of(results: DataFrame, url: str = "url") -> DataFrame:
+    """One row a URL of results (url, rank, similarity, crawled_at, chunk_number, content and others).
+
+    Other columns come from the best-ranked row; the highest similarity and the newest known crawl time (null and 0 are
+    none) count; whole pieces are put together in order, with a blank line between.
+    """
+    kept = {url, "rank", "similarity", "crawled_at", "chunk_number", "content"}
+    others = [c for c in results.columns if c not in kept]
+    pieces = F.array_sort(F.collect_list(F.struct("chunk_number", "rank", "content")))
+    out = results.groupBy(url).agg(
+        F.min_by(F.struct("rank", *others), F.struct("rank", "chunk_number")).alias("first"),
+        F.max("similarity").alias("similarity"),
+        F.max(F.when(F.col("crawled_at") > 0, F.col("crawled_at"))).alias("crawled_at"),
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.array_join(F.transform(pieces, lambda x: x["content"]), "\n\n").alias("content"),
+    )
+    return out.select(url, "first.*", "similarity", "crawled_at", "n_chunks", "content")
+
+
+def recent_first(results: DataFrame, now: float, *, by: str | None = None, similarity: str = "similarity", crawled_at: str = "crawled_at", weight: float = 0.3, half_life: float = 14.0, least: float = 0.1, tie: str = "url") -> DataFrame:
+    """Results with `decay`, `score` ((1 - weight) similarity + weight decay) and their new `place`, within each `by`."""
+    age = (F.lit(now) - F.col(crawled_at)) / 86400
+    decay = recency_decay(age, half_life, least)
+    out = results.withColumn("decay", decay).withColumn("score", with_recency(F.col(similarity), F.col("decay"), weight))
+    return out.withColumn("place", F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"), tie)))
+
+
+def multi_query(lists: DataFrame, key: str, *, fuse: bool = True) -> DataFrame:
+    """One row a key of several queries' results: reciprocal ranks added up, or the best similarity, as `score`."""
+    out = reciprocal_rank(lists, key)
+    return out.withColumn("score", F.col("rrf") if fuse else F.col("similarity"))
+
+
+def combined_top(candidates: DataFrame, n: int, *, similarity: str = "similarity", confidence: str = "confidence", weight: float = 0.6, tie: str = "vec_id") -> DataFrame:
+    """The n best of each query_id's candidates by similarity and confidence together."""
+    score = (1 - weight) * F.col(similarity) + weight * F.col(confidence)
+    out = candidates.withColumn("combined", score)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("combined"), tie))).where(F.col("place") <= n)
+
+
+def sane(rows: DataFrame, content: str = "content", place: str = "chunk_number") -> DataFrame:
+    """Rows with some content and a known place."""
+    return rows.where((F.length(F.btrim(content)) > 0) & F.col(place).isNotNull())

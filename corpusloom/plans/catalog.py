@@ -278,3 +278,6 @@ def event_windows(spark, d):
 @_query()
 def breaker_sim(spark, d):
     return state.breaker(t.table(spark, d, "events"))
+
+
+from . import services  # noqa: E402, F401  registers its queries

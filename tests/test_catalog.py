@@ -39,33 +39,39 @@ def test_point_ids(spark, sf_dir):
     assert all(r["point_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, f"{pages[r['page_id']]}_0")) for r in catalog.queries()["point_ids"](spark, sf_dir).collect())
 
 
-def _chunks(text: str, size: int) -> list[str]:
-    out, at = [], 0
-    while at < len(text):
-        end = at + size
-        if end >= len(text):
-            out.append(text[at:].strip())
-            break
-        piece = text[at:end]
-        fence, blank, stop = piece.rfind("```"), piece.rfind("\n\n"), piece.rfind(". ")
-        if fence > size * 0.3:
-            end = at + fence
-        elif blank >= 0:
-            end = at + blank if blank > size * 0.3 else end
-        elif stop >= 0:
-            end = at + stop + 1 if stop > size * 0.3 else end
-        if own := text[at:end].strip():
-            out.append(own)
-        at = end
-    return out
+def _cut(piece: str, size: int) -> set[int]:
+    """Where a full piece may end: behind the first kind of mark that counts, or at its whole size."""
+    beyond = lambda at: at > 0.3 * size
+    kinds = [(piece.rfind("```"), 0), (piece.rfind("\n\n"), 0), (piece.rfind(". "), 1)]
+    if beyond(kinds[0][0]):
+        return {kinds[0][0]}
+    # a blank line or sentence end that comes too early leaves no other choice
+    return {at + more if beyond(at) else size for at, more in kinds[1:] if at >= 0 and (at, more) == next(k for k in kinds[1:] if k[0] >= 0)} or {size}
 
 
 def test_chunks(spark, sf_dir):
+    size = 100
     texts = ["", "   ", "a" * 250, "x. " * 100, "para\n\n" * 60, "code ```py\nx\n``` and " * 20, " " * 300 + "end", "é. ü " * 90, "ab```" + "c" * 200]
+    literal = {0: [], 1: [""], 2: ["a" * 100, "a" * 100, "a" * 50], 6: ["end"], 8: ["ab```" + "c" * 95, "c" * 100, "c" * 5]}
     texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(30).collect()]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
-    got = {r["id"]: r["c"] for r in df.select("id", s.chunks(F.col("text"), 100).alias("c")).collect()}
-    assert got == {i: _chunks(x, 100) for i, x in enumerate(texts)}
+    got = {r["id"]: r["c"] for r in df.select("id", s.chunks(F.col("text"), size).alias("c")).collect()}
+    assert {i: got[i] for i in literal} == literal
+    for i, text in enumerate(texts):
+        assert "".join("".join(got[i]).split()) == "".join(text.split()) and all(len(x) <= size for x in got[i])
+        # every piece but the last ends where the marks of its window say
+        rest = text
+        for x in got[i][:-1]:
+            while not rest[: min(_cut(rest[:size], size))].strip():
+                rest = rest[min(_cut(rest[:size], size)) :]
+            at = min(_cut(rest[:size], size))
+            assert x == rest[:at].strip()
+            rest = rest[at:]
+
+
+def test_long_texts_are_cut_in_time(spark):
+    df = spark.createDataFrame([(i, "Some words. " * 40_000) for i in range(4)], "id int, text string")
+    assert df.select(F.size(s.chunks(F.col("text"), 1000)).alias("n")).agg(F.min("n")).first()[0] >= 480
 
 
 def test_breaker(spark, sf_dir):
