@@ -31,7 +31,7 @@ from .common import per_text
 #: Bytes of a piece beyond which it is encoded as a tree; characters of its leaves.
 LONG, LEAF = 4096, 2048
 #: Pieces a worker remembers (about 200 bytes each); it starts anew beyond that.
-CACHE = 200_000
+CACHE = 100_000
 #: Ids that are decoded at a time; a longer text is decoded alone.
 DECODE_IDS = 1 << 18
 WINDOW = 8

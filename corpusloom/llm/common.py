@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that are hashed at a time in a task; bounds its numpy arrays to about 25 times this.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -38,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
-#: Where it is set, Spark removes the shuffle files of a query at its end.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: Spark removes the shuffle files of a query at its end, and sends few bytes to Python at a time.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _scratch: list[list[str]] = []
 
 
@@ -51,12 +51,14 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {c: spark.conf.get(c) for c in _WRITING}
+    for c, v in _WRITING.items():
+        spark.conf.set(c, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for c, v in before.items():
+            spark.conf.set(c, v)
     if _scratch and not keep:
         _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
