@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -172,6 +173,16 @@ def words_of(texts: pa.Array, word_bytes: np.ndarray, lower: bool) -> Words:
     return Words(data, text_at, start, end, np.repeat(np.arange(n), np.diff(first)), hashes, first)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system: workers, idle ones too, share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of `batch` in runs of about `size` bytes of text; a longer text is a run of its own."""
     texts = batch.column(column).cast(pa.large_string())
@@ -181,6 +192,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def per_text(

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Words, materialise, mix, scratch, slices, words_of
+from .common import NONSPACE, Words, give_back, materialise, mix, scratch, slices, words_of
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -220,7 +220,9 @@ def _members(given: DataFrame, scanned: DataFrame, length: int, percent: int) ->
         df = np.repeat(counts, counts)
         some = df > 1
         key = ((key[some].astype(np.int64) << bits) | given["bucket"][0].as_py()) & ((1 << 62) - 1)
-        return pa.table({"ref": ref[some], "shingle": key, "df": pa.array(df[some], pa.int32())})
+        ref, df = ref[some], df[some]
+        give_back()
+        return pa.table({"ref": ref, "shingle": key, "df": pa.array(df, pa.int32())})
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Frequent shingles of each document that has some: how many, and those within its boundary."""
