@@ -509,8 +509,9 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
     some = found.where("n_shingles > 0")
     first = some.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     stays = first.select(F.col("first.doc_id").alias("_doc_id"), F.col("first.text_hash").alias("_text_hash"))
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash")))
+    # rows are structs, so no column of theirs can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash")).alias("_key"))
     empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
     same = lambda o: F.col("_key.id").eqNullSafe(o["_doc_id"]) & (F.col("_key.hash") == o["_text_hash"])
     one = keyed.join(stays, same(stays), "left_semi").dropDuplicates(["_key"])
-    return one.unionByName(keyed.join(empty, same(empty), "left_semi")).drop("_key")
+    return one.unionByName(keyed.join(empty, same(empty), "left_semi")).select("row.*")
