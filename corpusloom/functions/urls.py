@@ -26,6 +26,11 @@ IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 SCHEMES = ("http://", "https://", "raw:")
 
 
+def _once(value: Column, use) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def number(ip: str) -> int:
     return int.from_bytes(bytes(map(int, ip.split("."))))
 
@@ -42,35 +47,39 @@ def host(url: Column) -> Column:
 
 def safe_host(name: Column) -> Column:
     """False for an empty, local or internal name and an address that is not public. A name that is no address is not resolved."""
-    bare = F.lower(F.btrim(name))
-    parts = [F.try_to_number(F.regexp_extract(bare, IPV4, i), F.lit("999")).cast("bigint") for i in range(1, 5)]
-    value = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
-    inside = F.lit(False)
-    for lo, hi in NOT_PUBLIC:
-        inside = inside | value.between(number(lo), number(hi))
-    suffix = F.lit(False)
-    for s in LOCAL_SUFFIXES:
-        suffix = suffix | bare.endswith(s)
-    address = bare.rlike(IPV4) & F.greatest(*parts).between(0, 255)
-    return F.coalesce(~((bare == "") | bare.isin(*LOCAL_NAMES) | suffix | (address & inside) | (bare.contains(":") & bare.rlike(NOT_PUBLIC_6))), F.lit(False))
+
+    def judged(bare: Column) -> Column:
+        value = F.when(bare.rlike(IPV4), F.aggregate(F.transform(F.split(bare, "\\."), lambda x: x.try_cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: F.when(x <= 255, a * 256 + x)))
+        inside = _once(value, lambda v: F.exists(F.array(*[F.struct(F.lit(number(lo)).alias("lo"), F.lit(number(hi)).alias("hi")) for lo, hi in NOT_PUBLIC]), lambda r: F.coalesce(v.between(r["lo"], r["hi"]), F.lit(False))))
+        suffix = "(" + "|".join(x.replace(".", "\\.") for x in LOCAL_SUFFIXES) + ")$"
+        return ~((bare == "") | bare.isin(*LOCAL_NAMES) | bare.rlike(suffix) | inside | (bare.contains(":") & bare.rlike(NOT_PUBLIC_6)))
+
+    return F.coalesce(_once(F.lower(F.btrim(name)), judged), F.lit(False))
 
 
 def checked(url: Column) -> Column:
     """(valid, url, error): blanks go, a bare domain with a path gets https, a fragment goes."""
-    bare = F.btrim(F.coalesce(url, F.lit("")), F.lit(" \t\n\r"))
-    other = bare.rlike("^(https?://|file://|raw:)")
-    whole = F.when(bare.contains("/") & ~other & bare.rlike(r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(/.*)?$"), F.concat(F.lit("https://"), bare)).otherwise(bare)
-    web = whole.rlike("^https?://")
-    error = (
-        F.when(bare == "", "empty")
-        .when(bare.startswith("..."), "truncated")
-        .when(~whole.rlike("^(https?://|raw:)"), "scheme")
-        .when(web & (F.length(whole) - F.length(F.replace(whole, F.lit("://"), F.lit(""))) > 3), "protocols")
-        .when(web & whole.rlike("^https?://(/|$)"), "domain")
-        .when(web & (host(whole) == ""), "host")
-        .when(web & ~safe_host(host(whole)), "unsafe")
-    )
-    return F.struct(error.isNull().alias("valid"), F.when(error.isNull(), F.regexp_replace(whole, "#[\\s\\S]*$", "")).alias("url"), error.alias("error"))
+
+    def whole(bare: Column) -> Column:
+        other = bare.rlike("^(https?://|file://|raw:)")
+        fixed = F.when(bare.contains("/") & ~other & bare.rlike(r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(/.*)?$"), F.concat(F.lit("https://"), bare)).otherwise(bare)
+        return F.struct(bare.alias("bare"), fixed.alias("whole"))
+
+    def error(p: Column) -> Column:
+        web = p["whole"].rlike("^https?://")
+        found = (
+            F.when(p["bare"] == "", "empty")
+            .when(p["bare"].startswith("..."), "truncated")
+            .when(~p["whole"].rlike("^(https?://|raw:)"), "scheme")
+            .when(web & (F.size(F.split(p["whole"], "://")) > 2), "protocols")
+            .when(web & p["whole"].rlike("^https?://(/|$)"), "domain")
+            .when(web & (host(p["whole"]) == ""), "host")
+            .when(web & ~safe_host(host(p["whole"])), "unsafe")
+        )
+        return F.struct(p["whole"].alias("whole"), found.alias("error"))
+
+    made = _once(_once(_once(F.btrim(F.coalesce(url, F.lit("")), F.lit(" \t\n\r")), whole), error), lambda r: F.struct(r["error"].isNull().alias("valid"), F.when(r["error"].isNull(), F.regexp_replace(r["whole"], "#[\\s\\S]*$", "")).alias("url"), r["error"].alias("error")))
+    return made
 
 
 def truncation_hints(url: Column) -> Column:
