@@ -23,22 +23,25 @@ def code_blocks(text: Column, least: int = 1000, around: int = 1000) -> Column:
 
     Every second part between fences is a block; an opening fence without a closing one begins none.
     """
-    parts = F.split(text, "```")
-    n = F.size(parts)
-    # a part comes with three characters at least, so no more of them reach into what is kept
-    near = around // 3 + 1
-    before = lambda i: F.array_join(F.slice(parts, F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near))), "```")
-    after = lambda i: F.array_join(F.slice(parts, i + 2, F.least(F.lit(near), F.greatest(n - i - 1, F.lit(0)))), "```")
-
-    def block(i: Column) -> Column:
-        part = F.element_at(parts, i + 1)
-        first = _stripped(F.substring_index(part, "\n", 1))
-        named = part.contains("\n") & (first != "") & ~first.contains(" ") & (F.length(first) < 20)
-        code = F.when(named, F.substr(part, F.instr(part, "\n") + 1)).otherwise(part)
-        return F.struct(F.when(named, first).otherwise("").alias("language"), code.alias("code"), _stripped(F.right(before(i), F.lit(around))).alias("before"), _stripped(F.left(after(i), F.lit(around))).alias("after"))
-
-    places = F.when(n > 2, F.sequence(F.lit(1), n - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(places, block), lambda b: F.length(b["code"]) >= least)
+    # the parts are cut once, not for each block
+    def found(parts: Column) -> Column:
+        n = F.size(parts)
+        # a part comes with three characters at least, so no more of them reach into what is kept
+        near = around // 3 + 1
+        before = lambda i: F.array_join(F.slice(parts, F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near))), "```")
+        after = lambda i: F.array_join(F.slice(parts, i + 2, F.least(F.lit(near), F.greatest(n - i - 1, F.lit(0)))), "```")
+
+        def block(i: Column) -> Column:
+            part = F.element_at(parts, i + 1)
+            first = _stripped(F.substring_index(part, "\n", 1))
+            named = part.contains("\n") & (first != "") & ~first.contains(" ") & (F.length(first) < 20)
+            code = F.when(named, F.substr(part, F.instr(part, "\n") + 1)).otherwise(part)
+            return F.struct(F.when(named, first).otherwise("").alias("language"), code.alias("code"), _stripped(F.right(before(i), F.lit(around))).alias("before"), _stripped(F.left(after(i), F.lit(around))).alias("after"))
+
+        places = F.when(n > 2, F.sequence(F.lit(1), n - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(places, block), lambda b: F.length(b["code"]) >= least)
+
+    return F.element_at(F.transform(F.array(F.split(text, "```")), found), 1)
 
 
 def list_argument(value: Column) -> Column:
