@@ -9,6 +9,7 @@ from ..functions import scalar as s
 from ..functions import text as x
 from ..functions import urls as u
 from ..operators import checks as c
+from ..operators import code as k
 from ..operators import retrieval as r
 from ..sources import tables as t
 from .catalog import _TOP, _multi, _query
@@ -401,3 +402,52 @@ def throughput(spark, d):
     """Extremes, rows a second and the share of hits by kind of event."""
     at = F.col("ts").cast("timestamp").cast("double")
     return t.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.count(F.lit(1)) / F.greatest(F.max(at) - F.min(at), F.lit(1.0)), 9).alias("per_second"), F.round(F.count_if(F.col("value") >= 50) / F.count(F.lit(1)), 6).alias("hit_rate"))
+
+
+# code -------------------------------------------------------------------------------------------
+
+# customers are classes, their orders methods; a class's text holds the first five
+_METHODS = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders"
+_STUB = f"""SELECT c_custkey, 'class Customer' || c_custkey || ':' || chr(10) || '    \"\"\"Class with the following public methods:\"\"\"' || chr(10) ||
+coalesce(string_agg('    def order' || o_orderkey || '(self, day: int=' || (o_orderkey % 9) || ', *rest, key: str) -> ' || CASE WHEN o_orderstatus = 'F' THEN 'Any' ELSE 'Dict[str, int]' END || ': ...' || chr(10), '' ORDER BY o_orderkey), '    pass' || chr(10)) AS code
+FROM customer LEFT JOIN ({_METHODS}) ON o_custkey = c_custkey AND k <= 5 GROUP BY c_custkey"""
+
+
+def _stubs(spark, d) -> DataFrame:
+    order = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    params = F.array(F.lit("self"), F.concat(F.lit("day: int="), (F.col("o_orderkey") % 9).cast("string")), F.lit("*rest"), F.lit("key: str"))
+    method = F.struct(F.col("k"), F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("name"), params.alias("params_list"), F.when(F.col("o_orderstatus") != "F", "Dict[str, int]").alias("return_type"))
+    first = t.table(spark, d, "orders").withColumn("k", order).where("k <= 5").groupBy("o_custkey").agg(F.array_sort(F.collect_list(method)).alias("methods"))
+    own = t.table(spark, d, "customer").select("c_custkey").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+    name = F.concat(F.lit("Customer"), F.col("c_custkey").cast("string"))
+    return own.select("c_custkey", k.class_stub(name, F.coalesce("methods", F.array().cast("array<struct<k:int,name:string,params_list:array<string>,return_type:string>>"))).alias("code"))
+
+
+@_query(f"SELECT c_custkey, length(code) AS n_chars, sha256(code) AS code_sha256 FROM ({_STUB})")
+def class_stubs(spark, d):
+    return _stubs(spark, d).select("c_custkey", F.length("code").cast("bigint").alias("n_chars"), F.sha2("code", 256).alias("code_sha256"))
+
+
+@_query(f"""SELECT 'c' || c_custkey || '.py' AS path, 'class' AS kind, '' AS owner, 'Customer' || c_custkey AS name, '' AS params, NULL AS returns FROM customer UNION ALL
+SELECT 'c' || c_custkey || '.py', 'method', 'Customer' || c_custkey, 'order' || o_orderkey, 'day:int=' || (o_orderkey % 9) || ';[var_positional] *rest:Any=None;[keyword_only] key:str', CASE WHEN o_orderstatus = 'F' THEN 'Any' ELSE 'Dict[str, int]' END
+FROM customer JOIN ({_METHODS}) ON o_custkey = c_custkey AND k <= 5""")
+def python_symbols(spark, d):
+    """The symbols of the classes' texts, parsed back."""
+    files = _stubs(spark, d).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.col("code").alias("content"))
+    return k.python_symbols(files).select("path", "kind", "owner", "name", F.array_join("params", ";").alias("params"), "returns")
+
+
+@_query(f"""SELECT o_orderkey, CASE WHEN k <= 5 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'INVALID' ELSE 'VALID' END ELSE 'NOT_FOUND' END AS status FROM ({_METHODS}) JOIN customer ON o_custkey = c_custkey""")
+def script_validation(spark, d):
+    """Scripts that call each order's method, held against the symbols of the classes' texts."""
+    known = t.table(spark, d, "customer").select("c_custkey")
+    key, owner = F.col("o_orderkey").cast("string"), F.concat(F.lit("Customer"), F.col("o_custkey").cast("string"))
+    call = F.when(F.col("o_orderkey") % 4 == 0, "(1, 2, 3, 4, other=1)").otherwise("(*given, key='a')")
+    script = F.concat(F.lit("from shop import "), owner, F.lit("\nc = "), owner, F.lit("()\nc.order"), key, call, F.lit("\n"))
+    scripts = t.table(spark, d, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(key.alias("path"), script.alias("content"))
+    calls = k.python_uses(scripts).where("kind = 'method'").select("path", F.col("owner").alias("module"), F.col("name").alias("symbol"), "n_args", "kwargs")
+    files = _stubs(spark, d).select(F.col("c_custkey").cast("string").alias("path"), F.col("code").alias("content"))
+    found = k.python_symbols(files)
+    classes = found.where("kind = 'class'").select(F.concat(F.lit("shop."), "name").alias("module"))
+    methods = found.where("kind = 'method'").select(F.concat(F.lit("shop."), "owner").alias("module"), F.col("name").alias("symbol"), F.col("params").alias("expected"))
+    return c.usages(calls, classes, methods).select(F.col("path").cast("bigint").alias("o_orderkey"), "status")
