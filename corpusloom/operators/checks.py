@@ -31,19 +31,43 @@ def parameters(expected: Column, n_args: Column, kwargs: Column) -> Column:
     )
 
 
-def usages(uses: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
+def usages(uses: DataFrame, modules: DataFrame, symbols: DataFrame, *, untyped: float = 0.8, missing: float = 0.2, valid: float = 0.8) -> DataFrame:
     """Each use (module, symbol, n_args, kwargs) with in_graph, status and confidence.
 
-    A module outside the graph is uncertain (0.8), a missing symbol not found (0.2), a call that its parameters
-    (symbols: module, symbol, expected) exclude invalid with their confidence, anything else valid (0.8).
+    A use without a module is uncertain (`untyped`), one of a module outside the graph too (0.8), a missing symbol not
+    found (`missing`), a call that its parameters (symbols: module, symbol, expected) exclude invalid with their
+    confidence, anything else valid (`valid`).
     """
     known = modules.select("module").distinct().withColumn("in_graph", F.lit(True))
     one = symbols.groupBy("module", "symbol").agg(F.first("expected", ignorenulls=True).alias("expected"), F.lit(True).alias("there"))
     found = uses.join(known, "module", "left").join(one, ["module", "symbol"], "left")
     fit = parameters(F.col("expected"), F.col("n_args"), F.col("kwargs"))
     result = lambda status, c: F.struct(F.lit(status).alias("status"), F.lit(c).alias("confidence"))
-    ladder = F.when(~F.col("in_graph"), result("UNCERTAIN", 0.8)).when(F.col("there").isNull(), result("NOT_FOUND", 0.2)).when(fit["status"] == "INVALID", fit).otherwise(result("VALID", 0.8))
-    return found.withColumn("in_graph", F.col("in_graph").isNotNull()).withColumn("_result", ladder).select(*[c for c in uses.columns], "in_graph", "_result.*")
+    outside = F.when(F.col("module").isNull(), result("UNCERTAIN", untyped)).when(F.col("in_graph").isNull(), result("UNCERTAIN", 0.8))
+    ladder = outside.when(F.col("there").isNull(), result("NOT_FOUND", missing)).when(fit["status"] == "INVALID", fit).otherwise(result("VALID", valid))
+    return found.withColumn("_result", ladder).withColumn("in_graph", F.col("in_graph").isNotNull()).select(*uses.columns, "in_graph", "_result.*")
+
+
+def methods(uses: DataFrame, classes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Method calls on a variable's type: its module; null where the type is unknown."""
+    return usages(uses, classes, symbols, untyped=0.3, missing=0.1, valid=0.9)
+
+
+def hallucinations(checked: DataFrame, *place: str) -> DataFrame:
+    """(place, symbol, type) of uses (kind, symbol, status) known to be wrong.
+
+    What is not found counts once a place, name and type; calls with wrong parameters count each time.
+    """
+    wrong = checked.where(F.col("kind").isin("method", "attribute") & (F.col("status") == "NOT_FOUND"))
+    lost = wrong.select(*place, "symbol", F.concat(F.upper("kind"), F.lit("_NOT_FOUND")).alias("type")).distinct()
+    return lost.unionByName(checked.where("status = 'INVALID'").select(*place, "symbol", F.lit("INVALID_PARAMETERS").alias("type")))
+
+
+def combined(results: DataFrame, *keys: str) -> DataFrame:
+    """Mean confidence by the graph and by examples, 0.5 where there is none, and 0.6 of one and 0.4 of the other."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.5))
+    out = results.groupBy(*keys).agg(mean("graph_confidence").alias("graph"), mean("semantic_confidence").alias("semantic"))
+    return out.withColumn("combined", 0.6 * F.col("graph") + 0.4 * F.col("semantic"))
 
 
 def overall(checked: DataFrame, key: str) -> DataFrame:

@@ -290,12 +290,17 @@ CASE WHEN m.module IS NULL THEN 0.8 WHEN y.symbol IS NULL THEN 0.2 WHEN n_args >
 FROM ({_USES}) u LEFT JOIN (SELECT DISTINCT p_brand AS module FROM part) m USING (module) LEFT JOIN (SELECT DISTINCT p_brand AS module, p_type AS symbol FROM part) y ON y.module = u.module AND y.symbol = u.symbol"""
 
 
-def _checked(spark, d) -> DataFrame:
+def _uses(spark, d) -> tuple[DataFrame, DataFrame]:
     part = t.table(spark, d, "part")
     symbols = part.select(F.col("p_brand").alias("module"), F.col("p_type").alias("symbol"), F.array(*[F.lit(v) for v in ("self", "a:int", "b:str", "c:str=None", "[keyword_only] k:int=1")]).alias("expected"))
     lines = t.table(spark, d, "lineitem").join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     names = F.when(F.col("l_linenumber") % 3 == 2, F.array(F.lit("zz"))).when(F.col("l_linenumber") % 3 == 1, F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))
     uses = lines.select("l_orderkey", "l_linenumber", F.concat(F.lit("Brand#"), (F.col("l_partkey") % 30).cast("string")).alias("module"), F.when(F.col("l_suppkey") % 4 == 0, "MISSING").otherwise(F.col("p_type")).alias("symbol"), (F.col("l_quantity").cast("bigint") % 5).alias("n_args"), names.alias("kwargs"))
+    return uses, symbols
+
+
+def _checked(spark, d) -> DataFrame:
+    uses, symbols = _uses(spark, d)
     return c.usages(uses, symbols, symbols)
 
 
@@ -404,6 +409,42 @@ def throughput(spark, d):
     return t.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.count(F.lit(1)) / F.greatest(F.max(at) - F.min(at), F.lit(1.0)), 9).alias("per_second"), F.round(F.count_if(F.col("value") >= 50) / F.count(F.lit(1)), 6).alias("hit_rate"))
 
 
+# the type of every seventh line's variable is unknown; even lines are calls, odd ones read an attribute
+_TYPED = f"SELECT u.*, CASE WHEN l_linenumber = 7 THEN NULL ELSE module END AS type FROM ({_USES}) u"
+_METHOD_STATUS = f"""SELECT l_orderkey, l_linenumber, u.symbol, CASE WHEN type IS NULL OR m.module IS NULL THEN 'UNCERTAIN' WHEN y.symbol IS NULL THEN 'NOT_FOUND' WHEN n_args > 3 OR n_args < 2 OR n_kw = 2 THEN 'INVALID' ELSE 'VALID' END AS status,
+(CASE WHEN type IS NULL THEN 0.3 WHEN m.module IS NULL THEN 0.8 WHEN y.symbol IS NULL THEN 0.1 WHEN n_args > 3 OR n_args < 2 THEN 0.8 WHEN n_kw = 2 THEN 0.7 ELSE 0.9 END)::DOUBLE AS confidence
+FROM ({_TYPED}) u LEFT JOIN (SELECT DISTINCT p_brand AS module FROM part) m ON m.module = type LEFT JOIN (SELECT DISTINCT p_brand AS module, p_type AS symbol FROM part) y ON y.module = type AND y.symbol = u.symbol"""
+
+
+def _method_calls(spark, d) -> DataFrame:
+    uses, symbols = _uses(spark, d)
+    typed = uses.withColumn("module", F.when(F.col("l_linenumber") != 7, F.col("module")))
+    return c.methods(typed, symbols, symbols)
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, status, confidence FROM ({_METHOD_STATUS})")
+def method_validation(spark, d):
+    return _method_calls(spark, d).select("l_orderkey", "l_linenumber", "status", "confidence")
+
+
+@_query(f"""SELECT script, symbol, type, count(*) AS n FROM (
+SELECT DISTINCT l_orderkey % 500 AS script, l_linenumber AS line, symbol, CASE WHEN l_linenumber % 2 = 0 THEN 'METHOD' ELSE 'ATTRIBUTE' END || '_NOT_FOUND' AS type FROM ({_METHOD_STATUS}) WHERE status = 'NOT_FOUND'
+UNION ALL SELECT l_orderkey % 500, l_linenumber, symbol, 'INVALID_PARAMETERS' FROM ({_METHOD_STATUS}) WHERE status = 'INVALID') GROUP BY script, symbol, type""")
+def hallucination_list(spark, d):
+    """What is wrong in each script (orders by number stand in for scripts, their lines for lines)."""
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "method").otherwise("attribute")
+    checked = _method_calls(spark, d).select((F.col("l_orderkey") % 500).alias("script"), F.col("l_linenumber").alias("line"), "symbol", "status", kind.alias("kind"))
+    return c.hallucinations(checked, "script", "line").groupBy("script", "symbol", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""SELECT script, round(graph, 6) AS graph, round(semantic, 6) AS semantic, round(0.6 * graph + 0.4 * semantic, 6) AS combined FROM (
+SELECT l_orderkey AS script, coalesce(avg(CASE WHEN status <> 'UNCERTAIN' THEN confidence END), 0.5) AS graph, coalesce(avg(CASE WHEN l_linenumber % 3 = 0 THEN confidence / 2 END), 0.5) AS semantic FROM ({_METHOD_STATUS}) GROUP BY l_orderkey)""")
+def combined_confidence(spark, d):
+    confidence = F.col("confidence")
+    rows = _method_calls(spark, d).select(F.col("l_orderkey").alias("script"), F.when(F.col("status") != "UNCERTAIN", confidence).alias("graph_confidence"), F.when(F.col("l_linenumber") % 3 == 0, confidence / 2).alias("semantic_confidence"))
+    return c.combined(rows, "script").select("script", *[F.round(x, 6).alias(x) for x in ("graph", "semantic", "combined")])
+
+
 # code -------------------------------------------------------------------------------------------
 
 # customers are classes, their orders methods; a class's text holds the first five

@@ -54,3 +54,12 @@ def test_empty_tables(spark):
     out = t.add_documents(t.documents(old), new).collect()
     assert len(out) == 1 and out[0]["source_id"] == "a.org"
     assert t.known_urls(new, old).collect()[0]["known"] is False
+
+
+def test_method_ladder(spark):
+    symbols = spark.createDataFrame([("M", "f", ["a:int"])], "module string, symbol string, expected array<string>")
+    cases = [(None, "f", 1), ("N", "f", 1), ("M", "g", 1), ("M", "f", 2), ("M", "f", 1), ("M", "g", 1)]
+    uses = spark.createDataFrame([(i, "method", *v, []) for i, v in enumerate(cases)], "i int, kind string, module string, symbol string, n_args int, kwargs array<string>")
+    checked = c.methods(uses, symbols, symbols)
+    assert [(r["status"], r["confidence"]) for r in checked.orderBy("i").collect()] == [("UNCERTAIN", 0.3), ("UNCERTAIN", 0.8), ("NOT_FOUND", 0.1), ("INVALID", 0.8), ("VALID", 0.9), ("NOT_FOUND", 0.1)]
+    assert sorted(map(tuple, c.hallucinations(checked, "module").collect())) == [("M", "f", "INVALID_PARAMETERS"), ("M", "g", "METHOD_NOT_FOUND")]
