@@ -1,4 +1,4 @@
-"""The queries op1 to op10, with their SQL where SQL can express them."""
+"""The queries op1 to op13, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, kneser_ney, licenses, line_dedup, pii, quality_rules, sharding, token_files
+from . import bpe, decontaminate, jaccard_join, kneser_ney, licenses, line_dedup, pii, quality_rules, ranked, sharding, token_files
 from .common import shared_dir, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -88,12 +88,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_line_dedup, op4_token_files, op5_pii, op6_licenses, op7_jaccard_join, op8_sharding, op9_quality_classifier, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_line_dedup, op4_token_files, op5_pii, op6_licenses, op7_jaccard_join, op8_sharding, op9_quality_classifier, op10_bpe, op11_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op11_ranked_search": RANKED_SQL}
 
 
 _NORM = "translate(trim({}, ' ' || chr(9) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,3 +116,18 @@ SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kep
   CASE WHEN text IS NOT NULL THEN sha256(coalesce(array_to_string(kept, chr(10)), '')) END AS clean_sha256
 FROM c
 """
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+g AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+p AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM d) GROUP BY d, term),
+m AS (SELECT d, doc_id, 100 - 50 + ((50 * len(terms) * docs) // total) AS m FROM d, g WHERE len(terms) > 0),
+w AS (SELECT term, floor(1000 * ln((2.0 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS.format("text")} AS terms FROM benchmark),
+t AS (SELECT DISTINCT i, item_id, unnest(terms) AS term FROM i),
+s AS (SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM t JOIN p USING (term) JOIN w USING (term) JOIN m USING (d) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 50
+"""

@@ -135,3 +135,22 @@ def op4(docs, path):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         yield doc, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
         start += len(ids)
+
+
+def op11(docs, items, k=50):
+    from math import floor, log
+
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    counts = [(doc, Counter(term.findall(lower(text)))) for doc, text in docs]
+    counts = [(doc, c) for doc, c in counts if c]
+    n_docs, total = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    for item, text in items:
+        own, scores = dict.fromkeys(term.findall(lower(text))), []
+        for doc, c in counts:
+            m = 100 - 50 + (50 * sum(c.values()) * n_docs) // total
+            score = sum(floor(1000 * log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m)) for t in own if c[t])
+            if score > 0:
+                scores.append((-score, doc is None, doc))
+        for rank, (score, _, doc) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1):
+            yield item, rank, doc, -score
