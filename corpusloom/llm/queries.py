@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, kneser_ney, licenses, line_dedup, pii, quality_rules, ranked, sharding, token_files
+from . import align, bpe, decontaminate, jaccard_join, kneser_ney, licenses, line_dedup, pii, quality_rules, ranked, sharding, token_files
 from .common import shared_dir, table
+from .workspace import Workspace
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -92,8 +93,21 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    with Workspace(spark, "alignment") as work:
+        found = align.align(table(spark, sf_dir, "documents"), *paths, keep=["doc_id"])
+        digest = F.when(F.col("found.n_a") > 0, F.sha2("found.groups", 256)).otherwise("")
+        # the groups as text are large, and only their digest is asked for
+        short = found.select("row", F.struct(*[f"found.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "pairs", "pair_links")], digest.alias("groups_sha256")).alias("found"))
+        aligned = work.store(short, "aligned", compression="zstd")
+        counts = work.store(align.pair_counts(aligned, align.pair_for(*paths).size_b.size), "counts")
+        out = align.score(aligned, counts, work)
+        return work.result(out.select("row.doc_id", "found.n_a", "found.n_b", "found.n_groups", "found.n_links", "n_best", "count_sum", "found.groups_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_line_dedup, op4_token_files, op5_pii, op6_licenses, op7_jaccard_join, op8_sharding, op9_quality_classifier, op10_bpe, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_line_dedup, op4_token_files, op5_pii, op6_licenses, op7_jaccard_join, op8_sharding, op9_quality_classifier, op10_bpe, op11_ranked_search, op12_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -154,3 +154,56 @@ def op11(docs, items, k=50):
                 scores.append((-score, doc is None, doc))
         for rank, (score, _, doc) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1):
             yield item, rank, doc, -score
+
+
+def op12(docs, path_a, path_b):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letters = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
+    piece = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    found, count = [], Counter()
+    for doc, text in docs:
+        whole = f" {text or ''}".encode()
+        ids_a = a.encode(f" {text}", add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        spelled = [bytes(letters[c] for c in a.id_to_token(i)) for i in ids_a], [piece(i) for i in ids_b]
+        if not text or any(b"".join(x) != whole for x in spelled):
+            found.append((doc, [], [], [], []))
+            continue
+        spans = []
+        for parts in spelled:
+            at, own = 0, []
+            for x in parts:
+                own.append((at, at + len(x)))
+                at += len(x)
+            spans.append(own)
+        ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        sides = []
+        for ids, own in zip((ids_a, ids_b), spans, strict=True):
+            parts = [[]]
+            for i, (_, e) in zip(ids, own, strict=True):
+                parts[-1].append(str(i))
+                if e == ends[len(parts) - 1]:
+                    parts.append([])
+            sides.append([",".join(x) for x in parts[:-1]])
+        groups = [";".join(f"{x}|{y}" for x, y in zip(*sides, strict=True)), len(ends)]
+        links, low = [], 0
+        for x, (s, e) in zip(ids_a, spans[0], strict=True):
+            while spans[1][low][1] <= s:
+                low += 1
+            at = low
+            while at < len(ids_b) and spans[1][at][0] < e:
+                links.append((x, ids_b[at]))
+                at += 1
+        count.update(set(links))
+        found.append((doc, ids_a, ids_b, groups, links))
+    best = {}
+    for (x, _), n in count.items():
+        best[x] = max(best.get(x, 0), n)
+    for doc, ids_a, ids_b, groups, links in found:
+        n = [count[x] for x in links]
+        yield doc, len(ids_a), len(ids_b), groups[1] if groups else 0, len(links), sum(c == best[x[0]] for c, x in zip(n, links, strict=True)), sum(n), sha(groups[0]) if groups else ""
