@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, decontaminate, jaccard_join, kneser_ney, licenses, line_dedup, pii, quality_rules, ranked, sharding, token_files
+from . import align, bpe, decontaminate, jaccard_join, kneser_ney, licenses, line_dedup, pii, quality_rules, ranked, sharding, token_files, warc
 from .common import shared_dir, table
 from .workspace import Workspace
 
@@ -106,12 +106,20 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         return work.result(out.select("row.doc_id", "found.n_a", "found.n_b", "found.n_groups", "found.n_links", "n_best", "count_sum", "found.groups_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    with Workspace(spark, "warc") as work:
+        archives = warc.write(pages, work.path("files"), work)
+        found = warc.lookup(pages.select(warc.url_key(F.col("url")).alias("key")), work.path("files"), archives, payloads=False)
+        return work.result(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_line_dedup, op4_token_files, op5_pii, op6_licenses, op7_jaccard_join, op8_sharding, op9_quality_classifier, op10_bpe, op11_ranked_search, op12_alignment)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_line_dedup, op4_token_files, op5_pii, op6_licenses, op7_jaccard_join, op8_sharding, op9_quality_classifier, op10_bpe, op11_ranked_search, op12_alignment, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "op11_ranked_search": RANKED_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op11_ranked_search": RANKED_SQL, "op13_warc": WARC_SQL}
 
 
 _NORM = "translate(trim({}, ' ' || chr(9) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,3 +153,11 @@ s AS (SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 2
 SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 50
 """
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+f AS (SELECT body, min(page_id) AS first FROM p WHERE octet_length(body) >= {warc.REVISIT_BYTES} GROUP BY body)
+SELECT page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha256(p.body) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (body)
+"""
