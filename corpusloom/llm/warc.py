@@ -253,7 +253,9 @@ def lookup(keys: DataFrame, folder: str, archives: DataFrame, *, payloads: bool
             if rows:
                 yield _captures(rows)
 
-    return keys.select(F.coalesce("key", F.lit("")).alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, CAPTURE)
+    # keys are short next to what they stand for, so the archives say how many tasks read
+    tasks = max(len(level), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.select(F.coalesce("key", F.lit("")).alias("key")).distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(run, CAPTURE)
 
 
 def _captures(rows: list[tuple]) -> pa.RecordBatch:
