@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, slices
+from .common import ALNUM, give_back, slices
 from .workspace import Workspace
 
 #: Different terms of each document, added up, and documents of a segment, at most; what one document has beyond that is not cut.
@@ -145,6 +145,7 @@ def _segments(batches: Iterator[pa.RecordBatch], most_terms: int) -> Iterator[pa
             parts.append((np.diff(ends[at : to + 1]), terms.slice(at, to - at).flatten(), tfs.slice(at, to - at).flatten().to_numpy()))
             held += int(ends[to] - ends[at])
             at = to
+        give_back()
     if ids:
         yield flush()
 
@@ -217,6 +218,7 @@ def _rows(batches: Iterator[pa.RecordBatch], terms: pa.Array) -> Iterator[tuple[
             if known.any():
                 segment = {c: batch.column(i)[row] for i, c in enumerate(names)}
                 yield segment, np.flatnonzero(known), number.drop_null().to_numpy().astype(np.int64)
+        give_back()
 
 
 def _uint(value: pa.Scalar, kind: str = "<u4") -> np.ndarray:
