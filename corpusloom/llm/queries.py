@@ -128,9 +128,9 @@ LINE_DEDUP_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
 t AS (SELECT DISTINCT host, text, lines FROM d WHERE text IS NOT NULL),
 n AS (SELECT host, text, list_transform(lines, lambda x: nullif({_NORM.format("x")}, '')) AS norm FROM t),
-l AS (SELECT host, text, norm, unnest(norm) AS line, generate_subscripts(norm, 1) AS pos FROM n),
-f AS (SELECT host, text, line, min(pos) AS pos, any_value(norm) AS norm FROM l WHERE line IS NOT NULL GROUP BY host, text, line),
-p AS (SELECT host, line, count(DISTINCT coalesce(norm[pos - 1], chr(0)) || chr(10) || coalesce(norm[pos + 1], chr(0))) AS pages FROM f GROUP BY host, line),
+l AS (SELECT host, text, unnest(norm) AS line FROM n),
+f AS (SELECT DISTINCT host, text, line FROM l WHERE line IS NOT NULL),
+p AS (SELECT host, line, count(*) AS pages FROM f GROUP BY host, line),
 h AS (SELECT host, count(*) AS host_pages FROM t GROUP BY host),
 b AS (SELECT p.host, list(p.line) AS lost FROM p JOIN h USING (host) WHERE pages >= {line_dedup.MIN_PAGES} AND pages / host_pages > {line_dedup.MAX_RATIO} GROUP BY p.host),
 c AS (SELECT d.doc_id, d.text, d.lines, list_filter(d.lines, lambda x: NOT coalesce(list_contains(b.lost, {_NORM.format("x")}), false)) AS kept FROM d LEFT JOIN b USING (host))
