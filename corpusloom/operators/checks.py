@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .code_graph import resolve_classes
+
+
+#: Names that are broadcast at a time.
+NAMES = 1000
+
 
 def parameters(expected: Column, n_args: Column, kwargs: Column) -> Column:
     """(status, confidence) of a call with `n_args` positional arguments and the names `kwargs`.
 
     expected: 'name:type', '=default' behind it if optional, '[keyword_only]' before it, '*name' or '**name'.
-    Entries without a colon or star say nothing. A keyword does not stand in for a positional argument.
+    '[positional_only]' takes no keyword. Entries without a colon or star say nothing. A keyword does not stand in for a positional argument.
     """
     bare = F.transform(expected, lambda p: F.btrim(F.regexp_replace(F.btrim(p), r"^\[[^\]]*\]", "")))
     parsed = F.zip_with(expected, bare, lambda p, b: F.struct(b.alias("text"), F.regexp_extract(F.btrim(p), r"^\[([^\]]*)\]", 1).alias("kind"), F.substring_index(b, ":", 1).alias("name"), b.contains("=").alias("optional")))
@@ -25,7 +33,7 @@ def parameters(expected: Column, n_args: Column, kwargs: Column) -> Column:
         F.when(expected.isNull() | (F.size(expected) == 0), result("UNCERTAIN", 0.5))
         .when(~varargs & (n_args > required + optional), result("INVALID", 0.8))
         .when(n_args < required, result("INVALID", 0.8))
-        .when(~any_name & (F.size(F.array_except(kwargs, named["name"])) > 0), result("INVALID", 0.7))
+        .when(~any_name & (F.size(F.array_except(kwargs, F.filter(named, lambda p: p["kind"] != "positional_only")["name"])) > 0), result("INVALID", 0.7))
         .when(F.size(missing) > 0, result("INVALID", 0.8))
         .otherwise(result("VALID", 0.9))
     )
@@ -39,9 +47,11 @@ def usages(uses: DataFrame, modules: DataFrame, symbols: DataFrame, *, untyped:
     confidence, anything else valid (`valid`).
     """
     known = modules.select("module").distinct().withColumn("in_graph", F.lit(True))
-    one = symbols.groupBy("module", "symbol").agg(F.first("expected", ignorenulls=True).alias("expected"), F.lit(True).alias("there"))
+    # a symbol has as many signatures as it has been declared with
+    one = symbols.groupBy("module", "symbol").agg(F.array_sort(F.collect_set("expected")).alias("_signatures"), F.lit(True).alias("there"))
     found = uses.join(known, "module", "left").join(one, ["module", "symbol"], "left")
-    fit = parameters(F.col("expected"), F.col("n_args"), F.col("kwargs"))
+    fits = F.transform("_signatures", lambda e: parameters(e, F.col("n_args"), F.col("kwargs")))
+    fit = F.when(F.exists(fits, lambda r: r["status"] != "INVALID"), None).otherwise(F.get(fits, F.lit(0)))
     result = lambda status, c: F.struct(F.lit(status).alias("status"), F.lit(c).alias("confidence"))
     outside = F.when(F.col("module").isNull(), result("UNCERTAIN", untyped)).when(F.col("in_graph").isNull(), result("UNCERTAIN", 0.8))
     ladder = outside.when(F.col("there").isNull(), result("NOT_FOUND", missing)).when(fit["status"] == "INVALID", fit).otherwise(result("VALID", valid))
@@ -53,6 +63,19 @@ def methods(uses: DataFrame, classes: DataFrame, symbols: DataFrame) -> DataFram
     return usages(uses, classes, symbols, untyped=0.3, missing=0.1, valid=0.9)
 
 
+def resolved(uses: DataFrame, classes: DataFrame, modules: DataFrame) -> DataFrame:
+    """Uses whose module is a class's name, with its full name in the graph where `code_graph.resolve_classes` finds one."""
+    names = resolve_classes(uses.select(F.col("module").alias("name")), classes, modules).withColumnRenamed("name", "module")
+    return uses.join(names, "module", "left").withColumn("module", F.coalesce("full_name", "module")).select(*uses.columns)
+
+
+def attributes(uses: DataFrame, classes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Attribute reads (module, symbol) on a variable's type: found among attributes or methods, whatever their parameters."""
+    plain = lambda df: df.select("*", F.lit(0).alias("n_args"), F.array().cast("array<string>").alias("kwargs"))
+    bare = symbols.select("module", "symbol", F.lit(None).cast("array<string>").alias("expected"))
+    return usages(plain(uses.drop("n_args", "kwargs")), classes, bare, untyped=0.3, missing=0.2, valid=0.8).drop("n_args", "kwargs")
+
+
 def hallucinations(checked: DataFrame, *place: str) -> DataFrame:
     """(place, symbol, type) of uses (kind, symbol, status) known to be wrong.
 
@@ -100,20 +123,27 @@ def owners(modules: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
 def fuzzy_names(asked: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
     """(asked, name, rank): names that equal or hold what is asked, or are held by it, case and - or _ aside.
 
-    asked is a query set; its size bounds what is broadcast.
+    asked is a query set, broadcast in blocks of about NAMES.
     """
     plain = lambda c: F.translate(F.lower(c), "-", "_")
-    both = names.select("name", plain(F.col("name")).alias("_n")).join(F.broadcast(asked.select("asked", plain(F.col("asked")).alias("_a"))), F.contains("_n", "_a") | F.contains("_a", "_n"))
+    blocks = max(1, -(-asked.count() // NAMES))
+    block = F.pmod(F.xxhash64("asked"), F.lit(blocks))
+    near = lambda own: names.select("name", plain(F.col("name")).alias("_n")).join(F.broadcast(own.select("asked", plain(F.col("asked")).alias("_a"))), F.contains("_n", "_a") | F.contains("_a", "_n"))
+    both = functools.reduce(DataFrame.unionByName, [near(asked.where(block == i) if blocks > 1 else asked) for i in range(blocks)])
     order = F.when(F.col("_n") == F.col("_a"), 1).when(F.contains("_n", "_a"), 2).otherwise(3)
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(order, "name"))).where(F.col("rank") <= most).select("asked", "name", "rank")
 
 
-def similar_names(asked: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
-    """(asked, name, rank): other names that hold the first three characters of what is asked, by name.
+def similar_names(asked: DataFrame, names: DataFrame, most: int = 5, *, case: bool = False) -> DataFrame:
+    """(asked, name, rank): other names that hold the first three characters of what is asked, or all of it if it has fewer, by name.
 
-    Names are dealt by each of their three-character parts, so the join is one of equals.
+    case: whether capital letters count. Names are dealt by each of their parts of one to three characters, so the join
+    is one of equals; an empty name finds nothing.
     """
-    head = lambda c: F.left(F.lower(c), F.lit(3))
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.lower(F.substr(F.col("name"), i, F.lit(3)))))
-    found = asked.select("asked", head(F.col("asked")).alias("_part")).distinct().join(names.select("name").distinct().select("name", F.explode(parts).alias("_part")), "_part").where("name <> asked")
+    plain = (lambda c: F.col(c)) if case else (lambda c: F.lower(c))
+    head = F.left(plain("asked"), F.lit(3))
+    heads = asked.select("asked", head.alias("_part")).where("_part <> ''").distinct()
+    parts = lambda n: F.when(F.length("name") >= n, F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substr(plain("name"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    dealt = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.concat(parts(1), parts(2), parts(3)))).alias("_part"))
+    found = heads.join(dealt, "_part").where("name <> asked")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy("name"))).where(F.col("rank") <= most).select("asked", "name", "rank")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ast
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SYMBOL = "path string, kind string, owner string, name string, params array<string>, returns string, line int, strength int"
-_USE = "path string, kind string, owner string, name string, n_args int, kwargs array<string>, line int"
+from ..sources.tables import stored
+from . import scopes, structure
+
+_SYMBOL = "path string, kind string, owner string, name string, params array<string>, returns string, line int"
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -26,10 +29,11 @@ def _default(node: ast.AST) -> str:
 
 
 def _params(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
-    """Parameters but self, as operators.checks.parameters reads them."""
+    """Parameters but self and cls, as operators.checks.parameters reads them."""
     a = f.args
-    plain = [None] * (len(a.args) - len(a.defaults)) + list(a.defaults)
-    out = [("", p.arg, _type(p.annotation), d and _default(d)) for p, d in zip(a.args, plain, strict=True) if p.arg != "self"]
+    given = [*a.posonlyargs, *a.args]
+    plain = [None] * (len(given) - len(a.defaults)) + list(a.defaults)
+    out = [("[positional_only] " if i < len(a.posonlyargs) else "", p.arg, _type(p.annotation), d and _default(d)) for i, (p, d) in enumerate(zip(given, plain, strict=True)) if p.arg not in ("self", "cls")]
     if a.vararg:
         out.append(("[var_positional] ", f"*{a.vararg.arg}", _type(a.vararg.annotation), "None"))
     out += [("[keyword_only] ", p.arg, _type(p.annotation), d and _default(d)) for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True)]
@@ -68,48 +72,20 @@ def _symbols(path: str, content: str) -> Iterator[tuple]:
     in_class = {id(item) for c in classes for item in c.body}
     public = lambda n: isinstance(n, _FUNCTION) and not n.name.startswith("_")
     for c in classes:
-        yield path, "class", "", c.name, [], None, c.lineno, 0
-        yield from ((path, "method", c.name, m.name, _params(m), _type(m.returns), m.lineno, 0) for m in c.body if public(m))
-        yield from ((path, "attribute", c.name, name, [], type_, line, s) for name, type_, line, s in _class_attributes(c) if not name.startswith("_"))
+        yield path, "class", "", c.name, [], None, c.lineno
+        yield from ((path, "method", c.name, m.name, _params(m), _type(m.returns), m.lineno) for m in c.body if public(m))
+        strongest: dict[str, tuple[int, int, str]] = {}
+        for name, type_, line, strength in _class_attributes(c):
+            if not name.startswith("_"):
+                strongest[name] = max(strongest.get(name, (-1, 0, "")), (strength, -line, type_))
+        yield from ((path, "attribute", c.name, name, [], type_, -line) for name, (_, line, type_) in strongest.items())
     for n in ast.walk(tree):
         if public(n) and id(n) not in in_class:
-            yield path, "function", "", n.name, _params(n), _type(n.returns), n.lineno, 0
+            yield path, "function", "", n.name, _params(n), _type(n.returns), n.lineno
         elif isinstance(n, ast.Import):
-            yield from ((path, "import", "", a.name, [], None, n.lineno, 0) for a in n.names)
+            yield from ((path, "import", "", a.name, [], None, n.lineno) for a in n.names)
         elif isinstance(n, ast.ImportFrom) and n.module:
-            yield path, "import", "", n.module, [], None, n.lineno, 0
-
-
-def _uses(path: str, content: str) -> Iterator[tuple]:
-    """Imports, and calls and attribute reads of imported names and of variables that hold an instance."""
-    tree = ast.parse(content)
-    nodes = sorted((n for n in ast.walk(tree) if hasattr(n, "lineno")), key=lambda n: (n.lineno, n.col_offset))
-    named, held, called = {}, {}, set()
-    for n in nodes:
-        if isinstance(n, ast.Import | ast.ImportFrom):
-            module = n.module if isinstance(n, ast.ImportFrom) else None
-            for a in n.names:
-                full = f"{module}.{a.name}" if module else a.name
-                named[a.asname or (a.name if module else a.name.split(".")[0])] = full if a.asname or module else a.name.split(".")[0]
-                yield path, "import", module or a.name, a.name if module else "", 0, [], n.lineno
-
-    def full(node: ast.AST) -> str | None:
-        if isinstance(node, ast.Name):
-            return held.get(node.id) or named.get(node.id)
-        own = full(node.value) if isinstance(node, ast.Attribute) else None
-        return own and f"{own}.{node.attr}"
-
-    for n in nodes:
-        if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and (made := full(n.value.func)) and made.rsplit(".", 1)[-1][:1].isupper():
-            held.update({t.id: made for t in n.targets if isinstance(t, ast.Name)})
-        elif isinstance(n, ast.Call) and (target := full(n.func)):
-            called.add(id(n.func))
-            owner, _, name = target.rpartition(".")
-            kind = "class" if name[:1].isupper() else "method" if owner.rsplit(".", 1)[-1][:1].isupper() else "function"
-            yield path, kind, owner, name, sum(not isinstance(a, ast.Starred) for a in n.args), [k.arg for k in n.keywords if k.arg], n.lineno
-    for n in nodes:
-        if isinstance(n, ast.Attribute) and id(n) not in called and isinstance(n.value, ast.Name) and (owner := held.get(n.value.id)):
-            yield path, "attribute", owner, n.attr, 0, [], n.lineno
+            yield path, "import", "", n.module, [], None, n.lineno
 
 
 def _parsed(files: DataFrame, each, schema: str, nothing: tuple) -> DataFrame:
@@ -134,19 +110,12 @@ def python_symbols(files: DataFrame) -> DataFrame:
     Kinds: class, method and function (public ones), attribute (the strongest of its places), import, and error
     for a file that can't be parsed. A null content gives nothing. Files are parsed one by one where they lie.
     """
-    found = _parsed(files, _symbols, _SYMBOL, ("", "", [], None, 0, 0))
-    first = F.max_by(F.struct("params", "returns", "line"), F.struct("strength", -F.col("line")))
-    best = found.where("kind = 'attribute'").groupBy("path", "kind", "owner", "name").agg(first.alias("best")).select("path", "kind", "owner", "name", "best.*")
-    return found.where("kind <> 'attribute'").drop("strength").unionByName(best)
+    return _parsed(files, _symbols, _SYMBOL, ("", "", [], None, 0))
 
 
 def python_uses(files: DataFrame) -> DataFrame:
-    """(path, kind, owner, name, n_args, kwargs, line): what scripts import, call and read of imported modules.
-
-    Kinds: import, class (called by a capital name), method (of a variable that holds an instance, or of a class),
-    function, attribute, error. owner is the dotted name of the module or class.
-    """
-    return _parsed(files, _uses, _USE, ("", "", 0, [], 0))
+    """(path, kind, owner, name, n_args, kwargs, line): what scripts import, call and read of imported modules, by `scopes.uses`."""
+    return scopes.uses(files, stored)
 
 
 def internal(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -156,38 +125,17 @@ def internal(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return imports.join(own, (head(F.col("name")) == F.col("_head")), "left").where(F.col("_head").isNotNull() | F.col("name").startswith(".")).drop("_head")
 
 
-_NAME = r"([A-Za-z_$][\w$]*)"
-#: (kind, pattern) of declarations by language; the pattern's first group is the name
-PATTERNS = {
-    "go": [
-        ("package", rf"(?m)^package[ \t]+{_NAME}"),
-        ("struct", rf"(?m)^[ \t]*type[ \t]+{_NAME}(?:\[[^\]\n]*\])?[ \t]+struct\b"),
-        ("interface", rf"(?m)^[ \t]*type[ \t]+{_NAME}(?:\[[^\]\n]*\])?[ \t]+interface\b"),
-        ("function", rf"(?m)^func[ \t]+{_NAME}[ \t]*[(\[]"),
-        ("method", rf"(?m)^func[ \t]*\([^)\n]*\)[ \t]*{_NAME}[ \t]*\("),
-        ("import", r"(?m)^(?:import[ \t]+(?:[\w.]+[ \t]+)?|[ \t]+(?:[\w.]+[ \t]+)?)\"([^\"\n]+)\"[ \t]*$"),
-    ],
-    "javascript": [
-        ("class", rf"(?m)^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:abstract[ \t]+)?class[ \t]+{_NAME}"),
-        ("function", rf"(?m)^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*{_NAME}"),
-        ("arrow", rf"(?m)^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+{_NAME}[^=\n]*=[ \t]*(?:async[ \t]*)?(?:\([^)]*\)[^=\n]*|[\w$]+[ \t]*)=>"),
-        ("interface", rf"(?m)^[ \t]*(?:export[ \t]+)?interface[ \t]+{_NAME}"),
-        ("type", rf"(?m)^[ \t]*(?:export[ \t]+)?(?:type|(?:const[ \t]+)?enum)[ \t]+{_NAME}"),
-        ("import", r"(?:\bfrom|\bimport|\brequire[ \t]*\(|\bimport[ \t]*\()[ \t]*['\"]([^'\"\n]+)['\"]"),
-    ],
-}
+#: Kinds of `structure` that `declarations` counts as one, by language.
+_KINDS = {"go": {"type": None, "field": None, "embedded": None, "constant": None, "variable": None}, "javascript": {"enum": "type", "method": None, "field": None, "component": None, "variable": None, "export": None}}
 
 
 def declarations(files: DataFrame, language: str) -> DataFrame:
-    """(path, kind, name) of Go or JavaScript files (path, content) by their declarations, comments left out.
-
-    Native: one pass of each pattern over a text; names found twice count once.
-    """
-    bare = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", " "), r"(?m)(^|[ \t;{}])//[^\n]*", "$1")
-    # Spark gives a lambda of two parameters the position, so the kind is bound outside it
-    named = lambda kind: lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
-    kinds = [F.transform(F.regexp_extract_all(F.col("_bare"), F.lit(p), F.lit(1)), named(kind)) for kind, p in PATTERNS[language]]
-    return files.select("path", bare.alias("_bare")).select("path", F.inline(F.array_distinct(F.concat(*kinds))))
+    """(path, kind, name) of Go or JavaScript files (path, content), each once; `structure` has members, bodies, exports and comments."""
+    ending = F.lit(".go" if language == "go" else ".ts")
+    found = structure.structure(files.select(F.concat("path", ending).alias("path"), "content"))
+    kind = functools.reduce(lambda c, k: c.when(F.col("kind") == k[0], F.lit(k[1])), _KINDS[language].items(), F.when(F.lit(False), "")).otherwise(F.when((F.col("kind") != "method") | F.col("base").isNotNull(), F.col("kind")))
+    own = F.expr(f"left(path, length(path) - {3})")
+    return found.select(own.alias("path"), kind.alias("kind"), "name").where("kind IS NOT NULL").distinct()
 
 
 def class_stub(name: Column, methods: Column, most: int = 5) -> Column:
