@@ -280,4 +280,4 @@ def breaker_sim(spark, d):
     return state.breaker(t.table(spark, d, "events"))
 
 
-from . import code, services  # noqa: E402, F401  register their queries
+from . import code, search, services  # noqa: E402, F401  register their queries
