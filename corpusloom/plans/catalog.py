@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from ..functions import scalar as s
 from ..operators import graph as g
 from ..operators import retrieval as r
 from ..sources import tables as t
-from ..streaming import state
+from ..streaming import ingest, state
 
 NOW = "2024-01-31 00:00:00"
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,9 +276,28 @@ def event_windows(spark, d):
     return state.windowed(t.table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@_query()
-def breaker_sim(spark, d):
-    return state.breaker(t.table(spark, d, "events"))
+def _stream(spark, d) -> DataFrame:
+    return spark.readStream.schema(t.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    """The windows of a stream of events: each batch's changed windows replace those before."""
+    path = f"{t.shared(spark)}/windows-{uuid.uuid4().hex}"
+    changed = state.windowed(_stream(spark, d), late="60 days")
+    ingest.ingest(changed, f"{path}/table", f"{path}/checkpoint", mode="update").awaitTermination()
+    found = ingest.current(spark, f"{path}/table", changed.schema, ["start", "event_type"])
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id, event_type")
+def stream_ingest(spark, d):
+    """Events of a stream, replaced by user, then counted."""
+    path = f"{t.shared(spark)}/ingest-{uuid.uuid4().hex}"
+    stream = _stream(spark, d).select("user_id", "event_id", "event_type", "value")
+    ingest.ingest(stream, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    rows = ingest.current(spark, f"{path}/table", stream.schema, ["user_id"])
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
 
 
 from . import code, search, services  # noqa: E402, F401  register their queries

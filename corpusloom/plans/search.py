@@ -1,10 +1,11 @@
-"""Registered queries of the vector and the keyword index."""
+"""Registered queries of the vector and the keyword index, and of the composed search."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import keyword_index as kw
+from ..operators import rag
 from ..operators import vector_index as vi
 from ..sources import tables as t
 from .catalog import _query, _targets
@@ -43,3 +44,65 @@ def keyword_search(spark, d):
     own = spark.createDataFrame([("Licensed Under",), ("qu",), ("%",), ("no such words",)], "keyword string")
     words = items.select(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("keyword")).union(items.select(F.regexp_extract("text", "[^ ]+$", 0))).union(own)
     return kw.search(kw.build(docs, t.stored), docs, words)
+
+
+# the composed search: vectors of documents are chunks, their sources sites; every third query asks one site, the others any
+
+_NOW = 1_706_659_200
+_ROWS = "SELECT doc_id AS chunk_id, source AS source_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE source || '/' || (doc_id % 7) END AS url, doc_id AS chunk_number, text AS content, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 0 ELSE 1700000000 + doc_id * 3600 END AS crawled_at, embedding FROM documents JOIN embeddings ON vec_id = doc_id"
+_ASKED = "SELECT vec_id AS query_id, embedding AS query, CASE WHEN vec_id % 100 = 0 THEN 'Licensed Under' ELSE 'the' END AS words, CASE WHEN vec_id % 150 = 0 THEN ' src' || (vec_id % 4) || ' ' ELSE '  ' END AS source, vec_id // 200 AS search FROM embeddings WHERE vec_id % 50 = 0"
+_NEAR = "list_cosine_similarity(r.embedding::DOUBLE[], q.query::DOUBLE[])"
+_IN = f"FROM ({_ASKED}) q JOIN ({_ROWS}) r ON trim(q.source) = '' OR trim(q.source) = r.source_id"
+_DECAY = f"CASE WHEN crawled_at IS NULL OR crawled_at >= {_NOW} THEN 1.0 ELSE greatest(pow(0.5, ({_NOW} - crawled_at) / 86400.0 / 14), 0.1) END"
+
+
+def _best(n: int) -> str:
+    return f"SELECT * FROM (SELECT q.query_id, q.search, r.* EXCLUDE (embedding), {_NEAR} AS s, row_number() OVER (PARTITION BY query_id ORDER BY {_NEAR} DESC, chunk_id) AS rank {_IN}) WHERE rank <= {n}"
+
+
+def _paged(found: str) -> str:
+    return f"""WITH f AS ({found}), p AS (SELECT query_id, url, arg_min(source_id, rank) AS source_id, max(s) AS s, max(CASE WHEN crawled_at > 0 THEN crawled_at END) AS crawled_at, count(*) AS n_chunks, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chunk_number, rank)) AS content_sha256 FROM f WHERE url <> '' GROUP BY query_id, url)
+SELECT query_id, url, source_id, round(s, 6) AS similarity, round(0.7 * s + 0.3 * {_DECAY}, 6) AS score, n_chunks, content_sha256, row_number() OVER (PARTITION BY query_id ORDER BY 0.7 * s + 0.3 * {_DECAY} DESC, url) AS place FROM p"""
+
+
+_KEYS = f"SELECT * FROM (SELECT q.query_id, r.* EXCLUDE (embedding), row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS k {_IN} WHERE contains(lower(content), lower(words))) WHERE k <= 6"
+_BOTH = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, coalesce(v.source_id, k.source_id) AS source_id, coalesce(v.url, k.url) AS url, coalesce(v.chunk_number, k.chunk_number) AS chunk_number, coalesce(v.content, k.content) AS content,
+coalesce(v.crawled_at, k.crawled_at) AS crawled_at, coalesce(0.7 * v.s, 0) + CASE WHEN k.k IS NOT NULL THEN 0.3 ELSE 0 END AS s FROM ({_best(6)}) v FULL JOIN ({_KEYS}) k USING (query_id, chunk_id)) QUALIFY rank <= 10"""
+
+
+def _rag(spark, d):
+    doc = F.col("doc_id")
+    crawled = F.when(doc % 5 == 0, None).when(doc % 5 == 1, 0).otherwise(1_700_000_000 + doc * 3600)
+    url = F.when(doc % 13 == 0, "").otherwise(F.concat("source", F.lit("/"), (doc % 7).cast("string")))
+    vectors = t.table(spark, d, "embeddings")
+    rows = t.table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select(doc.alias("chunk_id"), F.col("source").alias("source_id"), url.alias("url"), doc.alias("chunk_number"), F.col("text").alias("content"), crawled.alias("crawled_at"), "embedding")
+    vec = F.col("vec_id")
+    source = F.when(vec % 150 == 0, F.concat(F.lit(" src"), (vec % 4).cast("string"), F.lit(" "))).otherwise("  ")
+    asked = vectors.where("vec_id % 50 = 0").select(vec.alias("query_id"), F.col("embedding").alias("query"), F.when(vec % 100 == 0, "Licensed Under").otherwise("the").alias("words"), source.alias("source"), F.expr("vec_id div 200").alias("search"))
+    return asked, rows
+
+
+def _pages(found):
+    return found.select("query_id", "url", "source_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "n_chunks", F.sha2("content", 256).alias("content_sha256"), F.col("place").cast("bigint").alias("place"))
+
+
+@_query(_paged(_best(10)))
+def rag_vector(spark, d):
+    return _pages(rag.rag_query(*_rag(spark, d), 10, now=float(_NOW)))
+
+
+@_query(_paged(_BOTH))
+def rag_hybrid(spark, d):
+    return _pages(rag.rag_query(*_rag(spark, d), 10, hybrid=True, now=float(_NOW)))
+
+
+@_query(f"""SELECT search, chunk_id, round(0.7 * b + 0.3 * {_DECAY}, 6) AS score FROM (SELECT search, chunk_id, max(CASE WHEN crawled_at > 0 THEN crawled_at END) AS crawled_at, CASE WHEN any_value(lists) > 1 THEN sum(1.0 / (60 + rank)) ELSE max(s) END AS b
+FROM ({_best(5)}) JOIN (SELECT search, count(DISTINCT query_id) AS lists FROM ({_best(5)}) GROUP BY search) USING (search) GROUP BY search, chunk_id)""")
+def multi_query_fused(spark, d):
+    return rag.multi_query(*_rag(spark, d), 5, now=float(_NOW)).select("search", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"SELECT search, chunk_id, round(max(s), 6) AS score FROM ({_best(5)}) GROUP BY search, chunk_id")
+def multi_query_best(spark, d):
+    """Without fusion: each chunk's best similarity."""
+    return rag.multi_query(*_rag(spark, d), 5, fuse=False).select("search", "chunk_id", F.round("score", 6).alias("score"))

@@ -38,17 +38,21 @@ def write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the folder that driver and executors share and read again, which ends its lineage."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, which is set where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         local = spark.sparkContext.master.startswith("local")
         folder = tempfile.mkdtemp(prefix="corpusloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written to the folder that driver and executors share and read again, which ends its lineage."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(rows: DataFrame) -> DataFrame:

@@ -1,10 +1,7 @@
-"""Windows over events, as a batch or a stream, and state over a batch of events."""
+"""Windows over events, as a batch or a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,34 +11,3 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes")
     given = events.withColumn("ts", F.col("ts").cast("timestamp"))
     given = given.withWatermark("ts", late) if given.isStreaming else given
     return given.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
-
-
-def breaker(events: DataFrame, key: str = "user_id", failures: int = 5, timeout_s: int = 60) -> DataFrame:
-    """Circuit breaker of each key over its events in order: (key, event_id, state, admitted).
-
-    Open after `failures` errors in a row; after `timeout_s` one call is let through, and its outcome closes
-    or opens it. A key's events are read as sorted batches, never as one group.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, count, state, since = object(), 0, "closed", 0.0
-        for batch in batches:
-            out = []
-            for k, event, at, failed in zip(batch["key"], batch["event_id"], batch["at"], batch["failed"], strict=True):
-                if k != own:
-                    own, count, state, since = k, 0, "closed", 0.0
-                if state == "open" and at - since > timeout_s:
-                    state = "half_open"
-                admitted = state != "open"
-                if admitted:
-                    count = count + 1 if failed else 0
-                    if failed and (state == "half_open" or count >= failures):
-                        state, since = "open", at
-                    elif not failed:
-                        state = "closed"
-                out.append((k, event, state, admitted))
-            yield pd.DataFrame(out, columns=["key", "event_id", "state", "admitted"])
-
-    given = events.select(F.col(key).alias("key"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("event_type") == "error").alias("failed"))
-    dealt = given.repartition("key").sortWithinPartitions("key", "at", "event_id")
-    return dealt.mapInPandas(run, "key bigint, event_id bigint, state string, admitted boolean")

@@ -72,7 +72,3 @@ def test_chunks(spark, sf_dir):
 def test_long_texts_are_cut_in_time(spark):
     df = spark.createDataFrame([(i, "Some words. " * 40_000) for i in range(4)], "id int, text string")
     assert df.select(F.size(s.chunks(F.col("text"), 1000)).alias("n")).agg(F.min("n")).first()[0] >= 480
-
-
-def test_breaker(spark, sf_dir):
-    assert catalog.queries()["breaker_sim"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
