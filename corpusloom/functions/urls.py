@@ -45,6 +45,28 @@ def host(url: Column) -> Column:
     return F.lower(F.when(found.startswith("["), F.regexp_extract(found, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(found, ":.*$", "")))
 
 
+def _groups(address: Column) -> Column:
+    """The eight numbers of an IPv6 address in any spelling; another number of them where it is none. An IPv4 tail counts as two zeros."""
+    halves = F.split(F.regexp_replace(address, r"\d+\.\d+\.\d+\.\d+$", "0:0"), "::", 2)
+    none = F.array().cast("array<string>")
+    side = lambda i: F.coalesce(F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda x: x != ""), none)
+    missing = 8 - F.size(side(0)) - F.size(side(1))
+    zeros = F.when((F.size(halves) > 1) & (missing > 0), F.array_repeat(F.lit("0"), missing)).otherwise(none)
+    return F.transform(F.concat(side(0), zeros, side(1)), lambda x: F.when(x.rlike("^[0-9a-f]{1,4}$"), F.conv(x, 16, 10).cast("int")))
+
+
+def public_address(address: Column) -> Column:
+    """Whether an IPv6 address, however it is spelled, is outside of loopback, unspecified, IPv4 mapped or compatible, unique local, link-local and documentation ranges; false for what is no address."""
+
+    def judged(g: Column) -> Column:
+        zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+        first = g[0]
+        inside = zero(6) | (zero(5) & (g[5] == 0xFFFF)) | first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF) | ((first == 0x2001) & (g[1] == 0xDB8))
+        return F.when((F.size(g) == 8) & F.forall(g, lambda x: x.isNotNull()), ~inside).otherwise(False)
+
+    return _once(_groups(F.regexp_replace(address, "%.*$", "")), judged)
+
+
 def safe_host(name: Column) -> Column:
     """False for an empty, local or internal name and an address that is not public. A name that is no address is not resolved."""
 
@@ -52,7 +74,7 @@ def safe_host(name: Column) -> Column:
         value = F.when(bare.rlike(IPV4), F.aggregate(F.transform(F.split(bare, "\\."), lambda x: x.try_cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: F.when(x <= 255, a * 256 + x)))
         inside = _once(value, lambda v: F.exists(F.array(*[F.struct(F.lit(number(lo)).alias("lo"), F.lit(number(hi)).alias("hi")) for lo, hi in NOT_PUBLIC]), lambda r: F.coalesce(v.between(r["lo"], r["hi"]), F.lit(False))))
         suffix = "(" + "|".join(x.replace(".", "\\.") for x in LOCAL_SUFFIXES) + ")$"
-        return ~((bare == "") | bare.isin(*LOCAL_NAMES) | bare.rlike(suffix) | inside | (bare.contains(":") & bare.rlike(NOT_PUBLIC_6)))
+        return ~((bare == "") | bare.isin(*LOCAL_NAMES) | bare.rlike(suffix) | inside | (bare.contains(":") & ~public_address(bare)))
 
     return F.coalesce(_once(F.lower(F.btrim(name)), judged), F.lit(False))
 

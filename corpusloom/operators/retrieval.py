@@ -82,12 +82,12 @@ def pages_of(results: DataFrame, url: str = "url") -> DataFrame:
     return out.select(url, "first.*", "similarity", "crawled_at", "n_chunks", "content")
 
 
-def recent_first(results: DataFrame, now: float, *, by: str | None = None, similarity: str = "similarity", crawled_at: str = "crawled_at", weight: float = 0.3, half_life: float = 14.0, least: float = 0.1, tie: str = "url") -> DataFrame:
+def recent_first(results: DataFrame, now: float, *, by: str, similarity: str = "similarity", crawled_at: str = "crawled_at", weight: float = 0.3, half_life: float = 14.0, least: float = 0.1, tie: str = "url") -> DataFrame:
     """Results with `decay`, `score` ((1 - weight) similarity + weight decay) and their new `place`, within each `by`."""
     age = (F.lit(now) - F.col(crawled_at)) / 86400
     decay = recency_decay(age, half_life, least)
     out = results.withColumn("decay", decay).withColumn("score", with_recency(F.col(similarity), F.col("decay"), weight))
-    return out.withColumn("place", F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"), tie)))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), tie)))
 
 
 def multi_query(lists: DataFrame, key: str, *, fuse: bool = True) -> DataFrame:

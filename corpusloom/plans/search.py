@@ -1,10 +1,12 @@
-"""Registered queries of the vector and the keyword index, and of the composed search."""
+"""Registered queries of the vector and the keyword index, of the composed search, and of crawled pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import crawl
 from ..operators import keyword_index as kw
+from ..operators import markdown as md
 from ..operators import rag
 from ..operators import vector_index as vi
 from ..sources import tables as t
@@ -106,3 +108,32 @@ def multi_query_fused(spark, d):
 def multi_query_best(spark, d):
     """Without fusion: each chunk's best similarity."""
     return rag.multi_query(*_rag(spark, d), 5, fuse=False).select("search", "chunk_id", F.round("score", 6).alias("score"))
+
+
+# pages ------------------------------------------------------------------------------------------
+
+
+@_query()
+def page_markdown(spark, d):
+    """Every page as Markdown, whole and pruned (held against literal pages in tests)."""
+    out = md.markdown(t.table(spark, d, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", F.length("raw").alias("raw_chars"), F.length("fit").alias("fit_chars"), F.sha2("content", 256).alias("content_sha256"), F.size("links").alias("n_links"))
+
+
+_HREF = """regexp_extract_all(html, 'href="([^"]*)"', 1)"""
+_PAGE = "SELECT regexp_replace(url, '#.*$', '') AS src, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS root, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/?#]*', ''), '[?#].*$', ''), '[^/]*$', '') AS folder, html FROM pages WHERE html IS NOT NULL"
+
+
+@_query(f"""SELECT src, dst, count(*) AS n FROM (SELECT src, CASE WHEN regexp_matches(h, '^https?://') THEN h WHEN h LIKE '/%' THEN root || h ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || h END AS dst
+FROM (SELECT src, root, folder, regexp_replace(replace(trim(unnest({_HREF.replace("href=", "<a href=")})), '&amp;', '&'), '#.*$', '') AS h FROM ({_PAGE})) WHERE h <> '') GROUP BY src, dst""")
+def page_links(spark, d):
+    """Links between addresses, resolved against their pages."""
+    return crawl.links(t.table(spark, d, "pages")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def budgeted_crawl(spark, d):
+    """Two levels from every fiftieth page with a budget of as many addresses as there are pages (held against a plain walk in tests)."""
+    pages = t.table(spark, d, "pages").select("url", "html")
+    visited, _ = crawl.crawl(pages, t.table(spark, d, "pages").where("page_id % 50 = 0").select("url"), t.stored, max_pages=max(1, pages.count()), max_depth=2)
+    return visited.select("url", "depth", "found", F.length("content").alias("n_chars"))

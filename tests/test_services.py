@@ -63,3 +63,15 @@ def test_method_ladder(spark):
     checked = c.methods(uses, symbols, symbols)
     assert [(r["status"], r["confidence"]) for r in checked.orderBy("i").collect()] == [("UNCERTAIN", 0.3), ("UNCERTAIN", 0.8), ("NOT_FOUND", 0.1), ("INVALID", 0.8), ("VALID", 0.9), ("NOT_FOUND", 0.1)]
     assert sorted(map(tuple, c.hallucinations(checked, "module").collect())) == [("M", "f", "INVALID_PARAMETERS"), ("M", "g", "METHOD_NOT_FOUND")]
+
+
+def test_addresses_inside_a_network_in_any_spelling(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import urls as u
+
+    inside = ["::1", "0:0:0:0:0:0:0:1", "0::1", "0000:0000:0000:0000:0000:0000:0000:0001", "::", "0:0::0", "::ffff:8.8.8.8", "0:0:0:0:0:ffff:7f00:1", "::127.0.0.1", "fd12::1", "FC00:0::", "fe80::1%eth0", "febf::", "2001:db8::5", "2001:0DB8:0:0::5", "1:2", "1:2:3:4:5:6:7:8:9", "g::1", ":::"]
+    outside = ["2001:4860:4860::8888", "2606:4700:0:0:0:0:0:1111", "fec0::1", "2001:db9::"]
+    rows = spark.createDataFrame([(x,) for x in inside + outside], "name string").select("name", u.safe_host(F.col("name")).alias("safe"), u.checked(F.concat(F.lit("http://["), "name", F.lit("]/x")))["valid"].alias("valid")).collect()
+    assert {r["name"] for r in rows if r["safe"]} == set(outside)
+    assert {r["name"] for r in rows if r["valid"]} == set(outside)
