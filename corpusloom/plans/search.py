@@ -8,6 +8,7 @@ from ..operators import crawl
 from ..operators import keyword_index as kw
 from ..operators import markdown as md
 from ..operators import rag
+from ..operators import rerank as rr
 from ..operators import vector_index as vi
 from ..sources import tables as t
 from .catalog import _query, _targets
@@ -137,3 +138,18 @@ def budgeted_crawl(spark, d):
     pages = t.table(spark, d, "pages").select("url", "html")
     visited, _ = crawl.crawl(pages, t.table(spark, d, "pages").where("page_id % 50 = 0").select("url"), t.stored, max_pages=max(1, pages.count()), max_depth=2)
     return visited.select("url", "depth", "found", F.length("content").alias("n_chars"))
+
+
+# reranking --------------------------------------------------------------------------------------
+
+_WORDS_OF = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r\\v\\f]+'), lambda x: x <> ''))"
+
+
+@_query(f"""SELECT query_id, chunk_id, round(v, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, rank) AS place FROM (SELECT f.query_id, f.chunk_id, f.rank,
+len(list_intersect({_WORDS_OF.format("q.words || ' et le und'")}, {_WORDS_OF.format("f.content")})) / 1.0 / len({_WORDS_OF.format("q.words || ' et le und'")}) AS v FROM ({_best(10)}) f JOIN ({_ASKED}) q USING (query_id))""")
+def rerank_results(spark, d):
+    """Each query's ten nearest chunks by the share of its words that they hold."""
+    asked, rows = _rag(spark, d)
+    found = rag.candidates(asked, rows, 10).join(asked.select("query_id", F.concat("words", F.lit(" et le und")).alias("query")), "query_id")
+    out = rr.rerank(found.select("query_id", "query", F.col("row.chunk_id").alias("chunk_id"), F.col("row.content").alias("content"), "rank"), rr.word_overlap)
+    return out.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("place").cast("bigint").alias("place"))
