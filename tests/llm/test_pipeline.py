@@ -76,7 +76,7 @@ def test_stages(spark, sf_dir, tmp_path, kind):
 
 
 def test_empty_tables(spark, sf_dir, tmp_path):
-    for name in ("documents", "benchmark", "labels"):
+    for name in ("documents", "benchmark", "labels", "pages"):
         table(spark, sf_dir, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert p.run(spark, str(tmp_path)).collect() == []
     for name, query in q.queries().items():
