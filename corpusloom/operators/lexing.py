@@ -16,6 +16,7 @@ _GO = re.compile(_SHARED + r"|(?P<other>'(?:\\[\s\S]|[^'\\\n])*'?|`[^`]*`?)|(?P<
 _REGEX = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
 _BEFORE_VALUE = {*"(,=:[!&|?{};+-*%<>~^", "=>", "return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do"}
 _TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*")
+_BLANK = re.compile(r"\s+")
 OPEN, CLOSE = "([{", ")]}"
 
 
@@ -51,6 +52,7 @@ def lex(content: str, language: str) -> Source:
     """One pass over the text. A bracket that nothing closes reaches to the end; one that closes nothing is a sign."""
     out, pattern = Source(end=len(content)), _GO if language == "go" else _JS
     stack: list[int] = []
+    braces = [-1]  # those of the stack that are braces
     templates: list[int] = []  # brackets of ${ that return to a template
     at, line = 0, 1
 
@@ -59,7 +61,7 @@ def lex(content: str, language: str) -> Source:
         out.kind.append(kind)
         out.at.append(place)
         out.line.append(line)
-        out.brace.append(next((b for b in reversed(stack) if out.text[b] == "{"), -1))
+        out.brace.append(braces[-1])
 
     def template(place: int) -> int:
         """Reads on in a template from `place`; the place behind it, or behind its next ${."""
@@ -69,14 +71,15 @@ def lex(content: str, language: str) -> Source:
         if content.startswith("${", found.end()):
             add("sign", "{", found.end() + 1)
             stack.append(len(out.text) - 1)
+            braces.append(len(out.text) - 1)
             templates.append(len(out.text) - 1)
             return found.end() + 2
         return found.end() + 1
 
     while at < len(content):
-        if content[at].isspace():
-            line += content[at] == "\n"
-            at += 1
+        if blank := _BLANK.match(content, at):
+            line += blank[0].count("\n")
+            at = blank.end()
             continue
         if language != "go" and content[at] == "`":
             add("string", "`", at)
@@ -98,6 +101,8 @@ def lex(content: str, language: str) -> Source:
             out.comments.setdefault(len(out.text), []).append((own, line, line + own.count("\n")))
         elif kind == "sign" and own in CLOSE and stack and out.text[stack[-1]] == OPEN[CLOSE.index(own)]:
             first = stack.pop()
+            if own == "}":
+                braces.pop()
             add("sign", own, at)
             out.partner[first], out.partner[len(out.text) - 1] = len(out.text) - 1, first
             if templates and templates[-1] == first:
@@ -108,6 +113,8 @@ def lex(content: str, language: str) -> Source:
             add("string" if kind == "other" else kind, own, at)
             if kind == "sign" and own in OPEN:
                 stack.append(len(out.text) - 1)
+                if own == "{":
+                    braces.append(len(out.text) - 1)
         line += own.count("\n")
         at = found.end()
     return out
