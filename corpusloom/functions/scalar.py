@@ -70,6 +70,7 @@ def sanitize_url(url: Column) -> Column:
     """Query, fragment and paths that name secrets do not reach a log."""
     host = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    # fixed values: the marks and the words that name a secret
     marks = F.concat(F.when(url.contains("?"), "?[QUERY_REDACTED]").otherwise(""), F.when(url.contains("#"), "#[FRAGMENT_REDACTED]").otherwise(""))
     return F.when(F.lower(path).rlike("token|key|auth|secret|password"), F.concat(host, F.lit("/[SENSITIVE_PATH]"))).otherwise(F.concat(host, path, marks))
 
@@ -101,6 +102,7 @@ def truncated(text: Column, length: int) -> Column:
 
 
 def severity(score: Column) -> Column:
+    # fixed values: the limits and their names
     return F.when(score >= 0.9, "very_high").when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("low")
 
 

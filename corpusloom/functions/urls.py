@@ -23,6 +23,9 @@ NOT_PUBLIC = (
 #: IPv6: loopback, unspecified, mapped IPv4, unique local, link-local, documentation.
 NOT_PUBLIC_6 = "^(::1|::|::ffff:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:db8:.*)$"
 IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+#: What a bare domain with a path looks like, and what a cut address may have begun with.
+BARE_DOMAIN = r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(/.*)?$"
+BEGINNINGS = ("https://www.", "https://", "http://www.", "http://")
 SCHEMES = ("http://", "https://", "raw:")
 
 
@@ -84,7 +87,7 @@ def checked(url: Column) -> Column:
 
     def whole(bare: Column) -> Column:
         other = bare.rlike("^(https?://|file://|raw:)")
-        fixed = F.when(bare.contains("/") & ~other & bare.rlike(r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(/.*)?$"), F.concat(F.lit("https://"), bare)).otherwise(bare)
+        fixed = F.when(bare.contains("/") & ~other & bare.rlike(BARE_DOMAIN), F.concat(F.lit("https://"), bare)).otherwise(bare)
         return F.struct(bare.alias("bare"), fixed.alias("whole"))
 
     def error(p: Column) -> Column:
@@ -107,7 +110,7 @@ def checked(url: Column) -> Column:
 def truncation_hints(url: Column) -> Column:
     """Complete addresses that a URL which begins with dots may stand for."""
     rest = F.substr(F.btrim(url), F.lit(4))
-    return F.when(F.btrim(url).startswith("...") & rest.contains("/") & ~rest.startswith("/"), F.array(*[F.concat(F.lit(p), rest) for p in ("https://www.", "https://", "http://www.", "http://")]))
+    return F.when(F.btrim(url).startswith("...") & rest.contains("/") & ~rest.startswith("/"), F.array(*[F.concat(F.lit(p), rest) for p in BEGINNINGS]))
 
 
 def repository(url: Column) -> Column:

@@ -30,6 +30,7 @@ def _default(node: ast.AST) -> str:
 
 def _params(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
     """Parameters but self and cls, as operators.checks.parameters reads them."""
+    # fixed values: the format `[kind] name:type=default`, and the types and defaults of * and **
     a = f.args
     given = [*a.posonlyargs, *a.args]
     plain = [None] * (len(given) - len(a.defaults)) + list(a.defaults)
