@@ -300,4 +300,4 @@ def stream_ingest(spark, d):
     return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
 
 
-from . import code, search, services  # noqa: E402, F401  register their queries
+from . import answers, code, search, services  # noqa: E402, F401  register their queries
