@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import checks as c
 from ..operators import iterative as it
+from ..operators import reports as rep
 from ..operators import rerank as rr
 from ..sources import tables as t
 from .catalog import _query
+from .services import _STATUS, _checked
 
 # every third document is known; the others are what a search elsewhere finds and a fetch brings in
 
@@ -55,3 +58,80 @@ def deep_search(spark, d):
     topics_met = coverage.groupBy("query_id").agg(F.count_if("covered").alias("n_covered"), F.count(F.lit(1)).alias("n_topics"))
     out = answers.join(steps, "query_id").join(topics_met, "query_id")
     return out.select("query_id", "iterations", F.round("completeness", 6).alias("completeness"), "status", "n_topics", "n_covered", "steps", "stored")
+
+
+# reports: orders by number stand in for scripts, their lines for uses; every module is imported where it is used in the first line
+
+_PLACED = f"""SELECT l_orderkey // 3 AS script, CASE l_linenumber WHEN 1 THEN 'import' WHEN 2 THEN 'class' WHEN 3 THEN 'method' WHEN 4 THEN 'attribute' WHEN 5 THEN 'function' WHEN 6 THEN 'method' ELSE 'attribute' END AS kind,
+CASE l_linenumber WHEN 1 THEN module WHEN 2 THEN module || '.' || symbol WHEN 5 THEN CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE module || '.' || symbol END ELSE CASE WHEN l_orderkey % 7 = 0 THEN module ELSE module || '.Made' END END AS "full",
+symbol AS name, (l_linenumber - 1) % 3 AS line, status, confidence::DOUBLE AS confidence, in_graph FROM ({_STATUS})"""
+_KNOWN = f"""SELECT DISTINCT script, unnest([\"full\", string_split(\"full\", '.')[1]]) AS m FROM p WHERE kind = 'import' AND in_graph"""
+_ITEMS = f"""WITH p AS ({_PLACED}), m AS ({_KNOWN}), k AS (SELECT p.* FROM p WHERE kind <> 'import' AND "full" <> '' AND EXISTS (SELECT 1 FROM m WHERE m.script = p.script AND CASE WHEN contains("full", '.') THEN m.m = string_split("full", '.')[1] ELSE contains(m.m, "full") END)),
+i AS (SELECT * FROM p WHERE kind = 'import' AND in_graph UNION ALL SELECT * FROM k WHERE kind IN ('class', 'function') UNION ALL
+SELECT * FROM k WHERE kind IN ('method', 'attribute') QUALIFY row_number() OVER (PARTITION BY script, line, name, "full" ORDER BY kind DESC, status, confidence) = 1)"""
+_WRONG = "SELECT DISTINCT script, line, name, upper(kind) || '_NOT_FOUND' AS type FROM p WHERE status = 'NOT_FOUND' AND kind IN ('method', 'attribute') UNION ALL SELECT script, line, name, 'INVALID_PARAMETERS' FROM p WHERE status = 'INVALID'"
+_SUMMED = f"""{_ITEMS}, w AS ({_WRONG}), s AS (SELECT script, count_if(kind = 'import') AS n_import, count_if(kind = 'method') AS n_method, round(coalesce(avg(CASE WHEN in_graph THEN confidence END), 1), 6) AS overall FROM p GROUP BY script),
+n AS (SELECT script, count(*) AS total, count_if(status = 'VALID') AS valid, count_if(status = 'INVALID') AS invalid, count_if(status = 'NOT_FOUND') AS not_found, count_if(status = 'UNCERTAIN') AS uncertain FROM i GROUP BY script),
+a AS (SELECT script, count(*) AS n_wrong, count_if(type = 'METHOD_NOT_FOUND') AS m, count_if(type = 'ATTRIBUTE_NOT_FOUND') AS a, count_if(type = 'INVALID_PARAMETERS') AS v FROM w GROUP BY script)
+SELECT script, n_import, n_method, overall, coalesce(total, 0) AS total, coalesce(valid, 0) AS valid, coalesce(invalid, 0) AS invalid, coalesce(not_found, 0) AS not_found, coalesce(uncertain, 0) AS uncertain, coalesce(n_wrong, 0) AS n_wrong,
+sha256(concat_ws(' ', CASE WHEN m > 0 THEN printf('{rep.ADVICE["METHOD_NOT_FOUND"]}', m) END, CASE WHEN a.a > 0 THEN printf('{rep.ADVICE["ATTRIBUTE_NOT_FOUND"]}', a.a) END, CASE WHEN v > 0 THEN printf('{rep.ADVICE["INVALID_PARAMETERS"]}', v) END,
+CASE WHEN n_wrong IS NULL THEN '{rep.NO_ADVICE}' END, CASE WHEN overall < 0.7 THEN '{rep.MODERATE}' END)) AS advice_sha256 FROM s LEFT JOIN n USING (script) LEFT JOIN a USING (script)"""
+
+
+def _reported(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Checked uses of scripts, their overall confidences, and what is wrong."""
+    n, order = F.col("l_linenumber"), F.col("l_orderkey")
+    dotted = F.concat_ws(".", "module", "symbol")
+    made = F.when(order % 7 == 0, F.col("module")).otherwise(F.concat("module", F.lit(".Made")))
+    full = F.when(n == 1, F.col("module")).when(n == 2, dotted).when(n == 5, F.when(order % 5 != 0, dotted)).otherwise(made)
+    kind = F.element_at(F.array(*map(F.lit, ("import", "class", "method", "attribute", "function", "method", "attribute"))), n.cast("int"))
+    checked = _checked(spark, d).select(F.expr("l_orderkey div 3").alias("script"), kind.alias("kind"), full.alias("full"), F.col("symbol").alias("name"), ((n - 1) % 3).alias("line"), "status", "confidence", F.lower("status").alias("message"), "in_graph")
+    wrong = c.hallucinations(checked.withColumnRenamed("name", "symbol"), "script", "line")
+    located = wrong.select("script", "type", F.concat(F.lit("Line "), F.col("line").cast("string")).alias("location"), F.col("symbol").alias("description"), F.lit("").alias("suggestion"))
+    overall = c.overall(checked, "script").withColumn("confidence", F.round("confidence", 6))
+    return checked, overall, located
+
+
+@_query(_SUMMED)
+def script_reports(spark, d):
+    """Numbers and advice of each script's report."""
+    checked, overall, wrong = _reported(spark, d)
+    numbers = rep.summary(checked, overall)
+    out = numbers.join(rep.recommendations(numbers, wrong), "script").join(wrong.groupBy("script").agg(F.count(F.lit(1)).alias("n_wrong")), "script", "left").fillna(0, ["n_wrong"])
+    return out.select("script", "n_import", "n_method", "overall", "total", "valid", "invalid", "not_found", "uncertain", "n_wrong", F.sha2(F.array_join("advice", " "), 256).alias("advice_sha256"))
+
+
+_NAMES = "coalesce(string_agg(concat_ws(':', line, name, {}status), ',' ORDER BY line, name, {}status, confidence) FILTER (WHERE kind = '{}'), '')"
+_CLASS = "string_split(\"full\", '.')[-1], "
+
+
+@_query(f"""WITH p AS ({_PLACED}), m AS (SELECT script, "full" AS module, status FROM p WHERE kind = 'import' QUALIFY row_number() OVER (PARTITION BY script, "full" ORDER BY line, status, confidence) = 1),
+u AS (SELECT script, regexp_replace("full", '\\.[^.]*$', '') AS module, {_NAMES.format("", "", "class")} AS classes, {_NAMES.format(_CLASS, _CLASS, "method")} AS methods, {_NAMES.format(_CLASS, _CLASS, "attribute")} AS attributes, {_NAMES.format("", "", "function")} AS functions
+FROM p WHERE kind <> 'import' AND contains("full", '.') GROUP BY 1, 2)
+SELECT script, module, status, coalesce(classes, '') AS classes, coalesce(methods, '') AS methods, coalesce(attributes, '') AS attributes, coalesce(functions, '') AS functions FROM m LEFT JOIN u USING (script, module)""")
+def script_libraries(spark, d):
+    """What each script uses its imports for."""
+    out = rep.libraries(_reported(spark, d)[0])
+    text = lambda x: F.concat_ws(":", x["line"].cast("string"), x["name"], x["class_name"], x["status"])
+    return out.select("script", "module", "status", *[F.array_join(F.transform(n, text), ",").alias(n) for n in ("classes", "methods", "attributes", "functions")])
+
+
+@_query(f"""SELECT count(*) AS scripts, sum(total)::BIGINT AS total, sum(valid)::BIGINT AS valid, sum(invalid)::BIGINT AS invalid, sum(not_found)::BIGINT AS not_found, sum(n_wrong)::BIGINT AS n_wrong, round(avg(overall), 6) AS confidence,
+round(sum(valid) / sum(total), 6) AS valid_share FROM ({_SUMMED})""")
+def batch_totals(spark, d):
+    checked, overall, wrong = _reported(spark, d)
+    totals, _ = rep.batch(rep.summary(checked, overall), wrong)
+    return totals.select("scripts", "total", "valid", "invalid", "not_found", "n_wrong", F.round("confidence", 6).alias("confidence"), F.round("valid_share", 6).alias("valid_share"))
+
+
+@_query(f"SELECT script, n_wrong, overall FROM ({_SUMMED}) ORDER BY n_wrong DESC, script LIMIT 5")
+def batch_worst(spark, d):
+    checked, overall, wrong = _reported(spark, d)
+    return rep.batch(rep.summary(checked, overall), wrong)[1]
+
+
+@_query()
+def report_markdown(spark, d):
+    """Each script's report as Markdown (held against a literal one in tests)."""
+    report = rep.reports(*_reported(spark, d))
+    return report.select("script", rep.markdown(report, "2024-02-01").alias("markdown")).select("script", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("markdown_sha256"))
