@@ -1,8 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 DataFrame functions only. Kinds, in order: email, ip, card, phone (the base kinds, whose spans always
-stay), then iban (mod 97) and ssn, which stay from a score of `min_score`. Spans are code points, end
-exclusive, leftmost and non-overlapping for each kind. A null text is taken as empty: no spans.
+stay), then iban (mod 97), ssn, and secret (keys and tokens), which stay from a score of `min_score`. Spans are code points, end
+exclusive, leftmost and non-overlapping for each kind. A null or empty text has no spans; an empty table gives
+no rows; repeated rows each give their own; texts are matched whole, however long.
 
 The patterns never scan a run of letters or digits twice (possessive quantifiers, look-behind), so long
 unsplit texts cost linear time. Positions come from the lengths of what lies between the matches, added
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 BLOCK = 256
 NEAR = 40
@@ -27,18 +28,21 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 #: What a text must hold for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 #: Score before its context; words within NEAR code points before or after a span, up to the next match of its kind, add 0.3.
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.4}
+#: Words in English, German, French and Spanish.
 CONTEXT = {
-    "email": "mail|contact",
-    "ip": "address|host|server|\\bip\\b",
-    "card": "card|visa|credit|payment",
-    "phone": "phone|call|tel|mobile|fax",
-    "iban": "iban|account|bank",
-    "ssn": "ssn|social security",
+    "email": "mail|contact|kontakt|courriel|correo",
+    "ip": "address|host|server|\\bip\\b|adresse|serveur|servidor|direcci[oó]n",
+    "card": "card|visa|credit|payment|karte|kredit|zahlung|carte|cr[eé]dit|paiement|tarjeta|\\bpago",
+    "phone": "phone|call|tel|mobile|fax|handy|rufnummer|t[eé]l[eé]|appel|llama|m[oó]vil",
+    "iban": "iban|account|bank|konto|compte|banque|cuenta|banco",
+    "ssn": "ssn|social security|sozialversicherung|s[eé]curit[eé] sociale|seguridad social",
+    "secret": "token|secret|password|passwd|credential|bearer|\\bkey|[_-]key|api.?key|schl[uü]ssel|passwor[td]|geheim|mot de passe|cl[eé] |jeton|contrase|clave|secreto",
 }
 MIN_SCORE = 0.5
 
@@ -71,6 +75,7 @@ VALID = {
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
     "iban": lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & _mod97(m),
     "ssn": lambda m: ~m.startswith("000") & ~m.startswith("666") & ~m.startswith("9"),
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"),
 }
 
 
@@ -134,3 +139,8 @@ def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
+
+
+def scored(spans: Column) -> Column:
+    """The spans' scores in their order, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.format_string("%.2f", x["score"])), ",")

@@ -56,7 +56,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     count = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
     base = F.filter(spans, lambda x: x["kind_no"] < len(pii.BASE))
-    return found.select("row.doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+    return found.select("row.doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), pii.scored(spans).alias("scores"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
