@@ -1,4 +1,4 @@
-"""Registered queries of the iterative search and of reports about scripts."""
+"""Registered queries of the iterative search, of reports about scripts, and of search in validated code examples."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as c
 from ..operators import iterative as it
+from ..operators import rag
 from ..operators import reports as rep
 from ..operators import rerank as rr
+from ..operators import validated as val
 from ..sources import tables as t
 from .catalog import _query
+from .search import _best, _rag
 from .services import _STATUS, _checked
 
 # every third document is known; the others are what a search elsewhere finds and a fetch brings in
@@ -135,3 +138,69 @@ def report_markdown(spark, d):
     """Each script's report as Markdown (held against a literal one in tests)."""
     report = rep.reports(*_reported(spark, d))
     return report.select("script", rep.markdown(report, "2024-02-01").alias("markdown")).select("script", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+# validated search: chunks are code examples; the graph holds classes, methods and functions that some of them name
+
+_CODE = """SELECT query_id, chunk_id, s, source_id, CASE chunk_id % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'method' WHEN 2 THEN 'function' ELSE 'unknown' END AS code_type,
+CASE WHEN chunk_id % 8 = 1 THEN NULL ELSE 'C' || (chunk_id % 11) END AS class_name, 'm' || (chunk_id % 17) AS member"""
+_VALID = f"""SELECT *, CASE code_type WHEN 'class' THEN CASE WHEN has THEN (0.3 * r + 0.7) / 1.0 ELSE 0.3 * r / 0.7 END WHEN 'method' THEN CASE WHEN has THEN (0.3 * r + 0.7) / 1.0 ELSE 0.3 * r / 0.7 END WHEN 'function' THEN 0.3 * r + 0.7 * has::INT ELSE r END::DOUBLE AS c FROM (
+SELECT f.*, (source_id IN (SELECT source FROM documents WHERE source < 'src7'))::INT AS r, CASE code_type
+WHEN 'class' THEN EXISTS (SELECT 1 FROM documents d WHERE d.source = source_id AND doc_id % 2 = 0 AND class_name IN ('C' || (doc_id % 11)))
+WHEN 'method' THEN EXISTS (SELECT 1 FROM documents d WHERE d.source = source_id AND doc_id % 3 = 0 AND member = 'm' || (doc_id % 17) AND (class_name IS NULL OR class_name = 'C' || (doc_id % 11)))
+ELSE EXISTS (SELECT 1 FROM documents d WHERE d.source = source_id AND doc_id % 5 = 0 AND member = 'm' || (doc_id % 17)) END AS has FROM ({_CODE} FROM ({_best(20)})) f)"""
+_FINAL = f"SELECT *, 0.4 * s + 0.6 * c AS score, row_number() OVER (PARTITION BY query_id ORDER BY 0.4 * s + 0.6 * c DESC, chunk_id) AS place FROM ({_VALID}) WHERE c >= {{}}"
+
+
+def _validated(spark, d) -> tuple[DataFrame, DataFrame]:
+    asked, rows = _rag(spark, d)
+    doc, word = F.col("doc_id"), lambda mark, c, n: F.concat(F.lit(mark), (c % n).cast("string"))
+    found = rag.candidates(asked, rows, 20).select("query_id", "similarity", "row.chunk_id", "row.source_id")
+    chunk = F.col("chunk_id")
+    kind = F.element_at(F.array(*map(F.lit, ("class", "method", "function", "unknown"))), (chunk % 4 + 1).cast("int"))
+    results = found.withColumns({"code_type": kind, "class_name": F.when(chunk % 8 != 1, word("C", chunk, 11)), "method_name": F.when(chunk % 2 == 0, word("m", chunk, 17)), "name": word("m", chunk, 17)})
+    docs = t.table(spark, d, "documents")
+    cls, name, none = word("C", doc, 11), word("m", doc, 17), F.lit(None).cast("string")
+    symbol = lambda where, kind, c, n: docs.where(where).select(F.col("source").alias("repo"), F.lit(kind).alias("kind"), c.alias("class_name"), F.concat(F.lit("pkg."), c).alias("full_class_name"), n.alias("name"))
+    symbols = symbol("doc_id % 2 = 0", "class", cls, none).unionByName(symbol("doc_id % 3 = 0", "method", cls, name)).unionByName(symbol("doc_id % 5 = 0", "function", none, name))
+    return asked, val.validate(results, docs.where("source < 'src7'").select(F.col("source").alias("repo")), symbols)
+
+
+@_query(f"SELECT query_id, chunk_id, code_type, round(c, 6) AS confidence, c >= 0.6 AS is_valid, round(score, 6) AS score, place FROM ({_FINAL.format(0.6)}) WHERE place <= 10")
+def validated_search(spark, d):
+    """The ten best of twenty examples a query by similarity and by what the graph says of them."""
+    out = val.ranked(_validated(spark, d)[1], 10)
+    return out.select("query_id", "chunk_id", "code_type", F.round("validation.confidence", 6).alias("confidence"), "validation.is_valid", F.round("score", 6).alias("score"), F.col("place").cast("bigint").alias("place"))
+
+
+@_query(f"""SELECT query_id, total_found, total_found AS validated, coalesce(final_count, 0) AS final_count, coalesce(high, 0)::BIGINT AS high_confidence, round(coalesce(high / final_count, 0), 6) AS high_confidence_rate FROM (SELECT query_id, count(*) AS total_found FROM ({_VALID}) GROUP BY query_id)
+LEFT JOIN (SELECT query_id, count(*) AS final_count, count_if(c >= 0.8) AS high FROM ({_FINAL.format(0.7)}) WHERE place <= 10 GROUP BY query_id) USING (query_id)""")
+def validated_search_summary(spark, d):
+    """Numbers of each query's thorough search."""
+    asked, found = _validated(spark, d)
+    out = val.search_summary(asked, found, val.ranked(found, 10, mode="thorough"))
+    return out.select("query_id", "total_found", "validated", "final_count", "high_confidence", F.round("high_confidence_rate", 6).alias("high_confidence_rate"))
+
+
+_ELEMENTS = f"SELECT l_orderkey % 1000 AS script, CASE l_linenumber % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'class' WHEN 2 THEN 'method' ELSE 'function' END AS kind, module, symbol AS name, status <> 'NOT_FOUND' AND in_graph AS found FROM ({_STATUS})"
+
+
+def _elements(spark, d) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("import", "class", "method", "function"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    return _checked(spark, d).select((F.col("l_orderkey") % 1000).alias("script"), kind.alias("kind"), "module", F.col("symbol").alias("name"), ((F.col("status") != "NOT_FOUND") & F.col("in_graph")).alias("found"))
+
+
+@_query(f"""SELECT script, kind, type, severity, count(*) AS n, round(avg(c), 6) AS confidence FROM (SELECT script, kind, 'structural' AS type, c, CASE WHEN c < 0.3 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT *, CASE WHEN kind IN ('import', 'class') THEN CASE WHEN found THEN 0.8 ELSE 0.2 END ELSE CASE WHEN found THEN 0.7 ELSE 0.3 END END::DOUBLE AS c FROM ({_ELEMENTS})) WHERE c < 0.5
+UNION ALL SELECT script, kind, 'semantic', a, CASE WHEN a < 0.3 THEN 'high' ELSE 'medium' END FROM (SELECT query_id AS script, code_type AS kind, max(c) AS b, avg(c) AS a FROM ({_VALID}) GROUP BY 1, 2) WHERE b < 0.7) GROUP BY script, kind, type, severity""")
+def doubtful_elements(spark, d):
+    """Elements that the graph lacks, and kinds of examples of a query none of which is good."""
+    by_graph = val.doubtful(_elements(spark, d).withColumn("confidence", val.found_confidence(F.col("kind"), F.col("found"))))
+    examples = _validated(spark, d)[1].select(F.col("query_id").alias("script"), F.col("code_type").alias("kind"), "validation.confidence")
+    both = by_graph.select("script", "kind", "type", "severity", "confidence").unionByName(val.doubtful_by_examples(examples, "script", "kind").select("script", "kind", "type", "severity", "confidence"))
+    return both.groupBy("script", "kind", "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@_query(f"""SELECT script, array_to_string(list_sort(list(DISTINCT x)), '|') AS suggestions FROM (SELECT script, CASE kind WHEN 'import' THEN 'Import ''' || module || '.' || name || ''' not found in knowledge graph. Check module name or parse the relevant repository.'
+ELSE 'Class ''' || name || ''' not found. Check class name spelling or ensure the relevant repository is parsed.' END AS x FROM ({_ELEMENTS}) WHERE NOT found AND kind IN ('import', 'class')) GROUP BY script""")
+def script_suggestions(spark, d):
+    return val.suggestions(_elements(spark, d), "script").select("script", F.array_join("suggestions", "|").alias("suggestions"))
