@@ -1,4 +1,4 @@
-"""Registered queries of the iterative search, of reports about scripts, and of search in validated code examples."""
+"""Registered queries of the iterative search, of reports about scripts, and of code examples."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks as c
+from ..operators import examples as ex
 from ..operators import iterative as it
 from ..operators import rag
 from ..operators import reports as rep
@@ -14,7 +15,7 @@ from ..operators import validated as val
 from ..sources import tables as t
 from .catalog import _query
 from .search import _best, _rag
-from .services import _STATUS, _checked
+from .services import _STATUS, _STUB, _checked
 
 # every third document is known; the others are what a search elsewhere finds and a fetch brings in
 
@@ -204,3 +205,27 @@ def doubtful_elements(spark, d):
 ELSE 'Class ''' || name || ''' not found. Check class name spelling or ensure the relevant repository is parsed.' END AS x FROM ({_ELEMENTS}) WHERE NOT found AND kind IN ('import', 'class')) GROUP BY script""")
 def script_suggestions(spark, d):
     return val.suggestions(_elements(spark, d), "script").select("script", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+# code examples: customers are classes and their orders methods, as in the class stubs; parts are functions
+
+_TYPED = "CASE WHEN o_orderstatus = 'F' THEN 'Any' ELSE 'Dict[str, int]' END"
+_PARAMS = "'self, day: int=' || (o_orderkey % 9) || ', *rest, key: str'"
+
+
+@_query(f"""SELECT full_name, code_type, sha256(text) AS text_sha256 FROM (
+SELECT 'shop.n' || c_nationkey || '.Customer' || c_custkey AS full_name, 'class' AS code_type, 'Python class Customer' || c_custkey || ' in shop.n' || c_nationkey || chr(10) || 'Full name: shop.n' || c_nationkey || '.Customer' || c_custkey || chr(10) || CASE WHEN n > 0 THEN 'Contains ' || n || ' methods' || chr(10) ELSE '' END || 'Code: ' || code AS text
+FROM ({_STUB}) JOIN customer USING (c_custkey) LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
+UNION ALL SELECT 'shop.n' || c_nationkey || '.Customer' || c_custkey || '.order' || o_orderkey, 'method', 'Python method order' || o_orderkey || ' in class Customer' || c_custkey || ' from shop.n' || c_nationkey || chr(10) || 'Parameters: ' || {_PARAMS} || CASE WHEN o_orderstatus = 'F' THEN '' ELSE chr(10) || 'Returns: Dict[str, int]' END || chr(10) ||
+'Code: def order' || o_orderkey || '(' || {_PARAMS} || ') -> ' || {_TYPED} || ':' || chr(10) || '    \"\"\"Method implementation\"\"\"' || chr(10) || '    pass' FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'f' || p_partkey, 'function', 'Python function f' || p_partkey || ' from ' || chr(10) || 'Parameters: size' || chr(10) || 'Code: def f' || p_partkey || '(size) -> Any:' || chr(10) || '    \"\"\"Function implementation\"\"\"' || chr(10) || '    pass' FROM part WHERE p_partkey % 3 <> 0)""")
+def code_examples(spark, d):
+    """Records of all classes, methods and functions, and the texts they are embedded by."""
+    key, string = lambda c: F.col(c).cast("string"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    method = F.struct(F.col("o_orderkey"), string("order", key("o_orderkey")).alias("name"), F.array(F.lit("self"), string("day: int=", (F.col("o_orderkey") % 9).cast("string")), F.lit("*rest"), F.lit("key: str")).alias("params_list"), F.when(F.col("o_orderstatus") != "F", "Dict[str, int]").alias("return_type"))
+    own = t.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(method)).alias("methods"))
+    module = string("shop.n", key("c_nationkey"))
+    classes = t.table(spark, d, "customer").join(own, "c_custkey", "left").select(F.lit("shop").alias("repo"), F.lit("a.py").alias("path"), module.alias("module"), string("Customer", key("c_custkey")).alias("name"), string(module, ".Customer", key("c_custkey")).alias("full_name"), "methods")
+    mark = F.when(F.col("p_partkey") % 3 == 0, "_f").otherwise("f")
+    functions = t.table(spark, d, "part").select(F.lit("shop").alias("repo"), F.lit("b.py").alias("path"), F.lit(None).cast("string").alias("module"), F.concat(mark, key("p_partkey")).alias("name"), F.array(F.lit("size")).alias("params_list"), F.lit(None).cast("string").alias("return_type"))
+    return ex.examples(classes, functions).select("full_name", "code_type", F.sha2(ex.embedding_text(), 256).alias("text_sha256"))
