@@ -1,4 +1,4 @@
-"""Registered queries of the iterative search, of reports about scripts, and of code examples."""
+"""Registered queries of the iterative search, of reports about scripts, of code examples, and of languages."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import checks as c
 from ..operators import examples as ex
 from ..operators import iterative as it
+from ..operators import languages as ln
 from ..operators import rag
 from ..operators import reports as rep
 from ..operators import rerank as rr
@@ -229,3 +230,44 @@ def code_examples(spark, d):
     mark = F.when(F.col("p_partkey") % 3 == 0, "_f").otherwise("f")
     functions = t.table(spark, d, "part").select(F.lit("shop").alias("repo"), F.lit("b.py").alias("path"), F.lit(None).cast("string").alias("module"), F.concat(mark, key("p_partkey")).alias("name"), F.array(F.lit("size")).alias("params_list"), F.lit(None).cast("string").alias("return_type"))
     return ex.examples(classes, functions).select("full_name", "code_type", F.sha2(ex.embedding_text(), 256).alias("text_sha256"))
+
+
+# languages: chunks lie in files of several kinds
+
+_EXT = "list_value('.py', '.TS?x=1', '.com/a', '.rs#top', '', '.JS')[(chunk_id % 6 + 1)::INT]"
+_LANG = "list_value('python', 'typescript', 'unknown', 'rust', 'unknown', 'javascript')[(chunk_id % 6 + 1)::INT]"
+_ACROSS = f"SELECT query_id, chunk_id, s, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY s DESC, chunk_id) AS place FROM (SELECT *, CASE WHEN chunk_id % 7 = 0 THEN 'go' ELSE {_LANG} END AS lang FROM ({_best(30)})) QUALIFY place <= 10"
+
+
+def _across(spark, d) -> DataFrame:
+    asked, rows = _rag(spark, d)
+    chunk = F.col("chunk_id")
+    found = rag.candidates(asked, rows, 30).select("query_id", "similarity", "row.chunk_id", "row.source_id")
+    ext = F.element_at(F.array(*map(F.lit, (".py", ".TS?x=1", ".com/a", ".rs#top", "", ".JS"))), (chunk % 6 + 1).cast("int"))
+    url = F.concat(F.lit("http://x.com/"), "source_id", F.lit("/f"), chunk.cast("string"), ext)
+    return ln.across(found.withColumn("language", ln.language(url, F.when(chunk % 7 == 0, "Go"))))
+
+
+@_query(f"SELECT query_id, chunk_id, lang AS language, place FROM ({_ACROSS})")
+def cross_language(spark, d):
+    return _across(spark, d).select("query_id", "chunk_id", "language", F.col("place").cast("bigint").alias("place"))
+
+
+@_query(f"""SELECT query_id, sum(n)::BIGINT AS total, string_agg(lang || ':' || n || ':' || m, ',' ORDER BY lang) AS languages, arg_min(lang, (-n, lang)) AS most_relevant FROM (SELECT query_id, lang, count(*) AS n, round(1000 * round(avg(s), 3))::BIGINT AS m FROM ({_ACROSS}) GROUP BY query_id, lang) GROUP BY query_id""")
+def cross_language_summary(spark, d):
+    found = _across(spark, d)
+    counts = found.groupBy("query_id", "language").agg(F.count(F.lit(1)).alias("n"))
+    out = ln.across_summary(found).select("query_id", "total", "most_relevant", "mean")
+    per = counts.join(out, "query_id").withColumn("_l", F.concat_ws(":", "language", F.col("n").cast("string"), F.round(1000 * F.col("mean")[F.col("language")]).cast("bigint").cast("string")))
+    return per.groupBy("query_id", "total", "most_relevant").agg(F.array_join(F.sort_array(F.collect_list("_l")), ",").alias("languages"))
+
+
+@_query("""SELECT query_id, chunk_id, place FROM (SELECT q.vec_id AS query_id, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY d.doc_id) AS place FROM embeddings q JOIN documents d ON d.doc_id % 17 = q.vec_id % 17
+AND (q.vec_id % 4 = 0 OR d.doc_id % 11 = q.vec_id % 11) AND (q.vec_id % 3 > 0 OR d.source = 'src' || (q.vec_id % 5)) WHERE q.vec_id % 50 = 0) WHERE place <= 10""")
+def code_by_signature(spark, d):
+    """Examples of a method's name, some of one class or repository."""
+    word = lambda mark, c, n: F.concat(F.lit(mark), (F.col(c) % n).cast("string"))
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), word("m", "doc_id", 17).alias("name"), word("C", "doc_id", 11).alias("class_name"), F.col("source").alias("repo"))
+    vec = F.col("vec_id")
+    asked = t.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(vec.alias("query_id"), word("m", "vec_id", 17).alias("name"), F.when(vec % 4 != 0, word("C", "vec_id", 11)).alias("class_name"), F.when(vec % 3 == 0, word("src", "vec_id", 5)).otherwise("").alias("repo"))
+    return ln.by_signature(docs, asked).select("query_id", "chunk_id", F.col("place").cast("bigint").alias("place"))
