@@ -37,16 +37,17 @@ def by_words(asked: DataFrame, rows: DataFrame, n: int = 10, *, key: str = "url"
     A question with several queries (rows of one query_id) takes the best of them for each row; repeated rows count once. Questions are
     broadcast in blocks of about QUERY_BLOCK, and so are the keys of what they find; contents are never shuffled.
     """
-    queries = asked.select("query_id", words(F.col("query")).alias("_q")).where("size(_q) > 0")
+    queries = asked.select("query_id", words(F.col("query")).alias("_q")).where("size(_q) > 0").withColumn("_no", F.xxhash64("_q")).distinct()
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     keyed = rows.withColumns({"_key": F.col(key), "_hash": F.xxhash64(content)})
-    held = keyed.select("_key", "_hash", words(F.col(content)).alias("_w"))
+    held = keyed.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_key", "_hash", F.explode(words(F.col(content))).alias("_w"))
 
     def one(own: DataFrame) -> DataFrame:
-        pairs = held.join(F.broadcast(own), F.arrays_overlap("_w", "_q")).select("query_id", "_key", "_hash", F.size(F.array_intersect("_w", "_q")).alias("_n"))
-        # the queries of a question meet a row in one task, so the best of them is mostly found before the shuffle
-        best = pairs.groupBy("query_id", "_key", "_hash").agg(F.max("_n").alias("_n"))
+        asked_words = own.select("query_id", "_no", F.explode("_q").alias("_w"))
+        # a row's words lie in one task, so its counts are whole before the shuffle
+        counts = held.join(F.broadcast(asked_words), "_w").groupBy("query_id", "_no", "_row", "_key", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+        best = counts.groupBy("query_id", "_key", "_hash").agg(F.max("_n").alias("_n"))
         first = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_n"), "_key", "_hash"))).where(F.col("rank") <= n)
         found = keyed.join(F.broadcast(first), ["_key", "_hash"]).select("query_id", "rank", F.struct(*rows.columns).alias("row"))
         return found.dropDuplicates(["query_id", "rank"])
