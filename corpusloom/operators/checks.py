@@ -12,46 +12,68 @@ from .code_graph import resolve_classes
 
 #: Names that are broadcast at a time.
 NAMES = 1000
+#: Rows of a table of modules or symbols that is broadcast.
+SENT = 20_000
 
 
-def parameters(expected: Column, n_args: Column, kwargs: Column) -> Column:
-    """(status, confidence) of a call with `n_args` positional arguments and the names `kwargs`.
+def signature(expected: Column) -> Column:
+    """What a call is held against, parsed once: whether anything is expected, bounds of the positional arguments, free forms, names and needed names.
 
     expected: 'name:type', '=default' behind it if optional, '[keyword_only]' before it, '*name' or '**name'.
-    '[positional_only]' takes no keyword. Entries without a colon or star say nothing. A keyword does not stand in for a positional argument.
+    '[positional_only]' takes no keyword. Entries without a colon or star say nothing.
     """
-    bare = F.transform(expected, lambda p: F.btrim(F.regexp_replace(F.btrim(p), r"^\[[^\]]*\]", "")))
-    parsed = F.zip_with(expected, bare, lambda p, b: F.struct(b.alias("text"), F.regexp_extract(F.btrim(p), r"^\[([^\]]*)\]", 1).alias("kind"), F.substring_index(b, ":", 1).alias("name"), b.contains("=").alias("optional")))
+    kind = lambda p: F.regexp_extract(F.btrim(p), r"^\[([^\]]*)\]", 1)
+    parsed = F.transform(expected, lambda p: F.struct(F.btrim(F.regexp_replace(F.btrim(p), r"^\[[^\]]*\]", "")).alias("text"), kind(p).alias("kind")))
     named = F.filter(parsed, lambda p: ~p["text"].startswith("*") & p["text"].contains(":"))
-    only = lambda keyword, optional: F.filter(named, lambda p: ((p["kind"] == "keyword_only") == keyword) & (p["optional"] == optional))
-    required, optional = F.size(only(F.lit(False), F.lit(False))), F.size(only(F.lit(False), F.lit(True)))
-    varargs = F.exists(bare, lambda b: b.startswith("*") & ~b.startswith("**"))
-    any_name = F.exists(bare, lambda b: b.startswith("**"))
-    missing = F.array_except(only(F.lit(True), F.lit(False))["name"], kwargs)
+    only = lambda keyword, optional: F.filter(named, lambda p: ((p["kind"] == "keyword_only") == keyword) & (p["text"].contains("=") == optional))
+    names = lambda ps: F.transform(ps, lambda p: F.substring_index(p["text"], ":", 1))
+    return F.struct(
+        (expected.isNull() | (F.size(expected) == 0)).alias("nothing"), F.size(only(F.lit(False), F.lit(False))).alias("least"), F.size(F.filter(named, lambda p: p["kind"] != "keyword_only")).alias("most"),
+        F.exists(parsed, lambda p: p["text"].startswith("*") & ~p["text"].startswith("**")).alias("varargs"), F.exists(parsed, lambda p: p["text"].startswith("**")).alias("any_name"),
+        names(F.filter(named, lambda p: p["kind"] != "positional_only")).alias("names"), names(only(F.lit(True), F.lit(False))).alias("needed"),
+    )
+
+
+def fitted(own: Column, n_args: Column, kwargs: Column) -> Column:
+    """(status, confidence) of a call against a `signature`. A keyword does not stand in for a positional argument."""
     result = lambda status, c: F.struct(F.lit(status).alias("status"), F.lit(c).alias("confidence"))
     return (
-        F.when(expected.isNull() | (F.size(expected) == 0), result("UNCERTAIN", 0.5))
-        .when(~varargs & (n_args > required + optional), result("INVALID", 0.8))
-        .when(n_args < required, result("INVALID", 0.8))
-        .when(~any_name & (F.size(F.array_except(kwargs, F.filter(named, lambda p: p["kind"] != "positional_only")["name"])) > 0), result("INVALID", 0.7))
-        .when(F.size(missing) > 0, result("INVALID", 0.8))
+        F.when(own["nothing"], result("UNCERTAIN", 0.5))
+        .when(~own["varargs"] & (n_args > own["most"]), result("INVALID", 0.8))
+        .when(n_args < own["least"], result("INVALID", 0.8))
+        .when(~own["any_name"] & (F.size(F.array_except(kwargs, own["names"])) > 0), result("INVALID", 0.7))
+        .when(F.size(F.array_except(own["needed"], kwargs)) > 0, result("INVALID", 0.8))
         .otherwise(result("VALID", 0.9))
     )
 
 
+def parameters(expected: Column, n_args: Column, kwargs: Column) -> Column:
+    """(status, confidence) of a call with `n_args` positional arguments and the names `kwargs`, see `signature`."""
+    return fitted(signature(expected), n_args, kwargs)
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """Broadcast, if it has at most SENT rows: rows of few modules would else meet in few tasks."""
+    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
+
+
 def usages(uses: DataFrame, modules: DataFrame, symbols: DataFrame, *, untyped: float = 0.8, missing: float = 0.2, valid: float = 0.8) -> DataFrame:
     """Each use (module, symbol, n_args, kwargs) with in_graph, status and confidence.
 
     A use without a module is uncertain (`untyped`), one of a module outside the graph too (0.8), a missing symbol not
     found (`missing`), a call that its parameters (symbols: module, symbol, expected) exclude invalid with their
-    confidence, anything else valid (`valid`).
+    confidence, anything else valid (`valid`). Signatures are parsed once a symbol, not once a use.
     """
     known = modules.select("module").distinct().withColumn("in_graph", F.lit(True))
     # a symbol has as many signatures as it has been declared with
-    one = symbols.groupBy("module", "symbol").agg(F.array_sort(F.collect_set("expected")).alias("_signatures"), F.lit(True).alias("there"))
-    found = uses.join(known, "module", "left").join(one, ["module", "symbol"], "left")
-    fits = F.transform("_signatures", lambda e: parameters(e, F.col("n_args"), F.col("kwargs")))
-    fit = F.when(F.exists(fits, lambda r: r["status"] != "INVALID"), None).otherwise(F.get(fits, F.lit(0)))
+    one = symbols.groupBy("module", "symbol").agg(F.array_sort(F.collect_set("expected")).alias("_expected"), F.lit(True).alias("there"))
+    one = one.select("module", "symbol", F.transform("_expected", signature).alias("_signatures"), "there")
+    found = uses.join(_sent(known), "module", "left").join(_sent(one), ["module", "symbol"], "left")
+    # one signature, as most symbols have, needs no list of what each of them says
+    against = lambda e: fitted(e, F.col("n_args"), F.col("kwargs"))
+    found = found.withColumn("_first", against(F.get("_signatures", F.lit(0))))
+    other = F.exists(F.when(F.size("_signatures") > 1, F.col("_signatures")), lambda e: against(e)["status"] != "INVALID")
+    fit = F.when(F.coalesce(F.size("_signatures"), F.lit(0)) > 0, F.when((F.col("_first.status") == "INVALID") & ~F.coalesce(other, F.lit(False)), F.col("_first")))
     result = lambda status, c: F.struct(F.lit(status).alias("status"), F.lit(c).alias("confidence"))
     outside = F.when(F.col("module").isNull(), result("UNCERTAIN", untyped)).when(F.col("in_graph").isNull(), result("UNCERTAIN", 0.8))
     ladder = outside.when(F.col("there").isNull(), result("NOT_FOUND", missing)).when(fit["status"] == "INVALID", fit).otherwise(result("VALID", valid))

@@ -32,37 +32,53 @@ def _kind_no(kind: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), kind)
 
 
+def _marked(checked: DataFrame) -> DataFrame:
+    """`checked` with `_listed`, whether a report lists the row: all of a script's rows meet once, in windows over the script."""
+    own = Window.partitionBy("script")
+    import_in = (F.col("kind") == "import") & F.col("in_graph") & F.col("full").isNotNull()
+    heads = F.collect_set(F.when(import_in, F.col("full"))).over(own)
+    # the rows that count once stand apart from the others of their line, name and type
+    member = F.coalesce(F.col("kind").isin("method", "attribute"), F.lit(False))
+    same = Window.partitionBy("script", "_member", "line", "name", "full").orderBy(F.desc("kind"), "status", "confidence", "message")
+    known = checked.withColumns({"_known": heads, "_member": member})
+    # whole names and their first parts; a first part is told by what follows it
+    dotted = F.exists("_known", lambda m: F.substring_index(m, ".", 1) == F.substring_index("full", ".", 1))
+    inside = F.when(F.contains("full", F.lit(".")), dotted).otherwise(F.exists("_known", lambda m: F.contains(m, F.col("full"))))
+    listed = F.when(F.col("kind") == "import", import_in).otherwise(F.col("script").isNotNull() & (F.col("full") != "") & inside)
+    first = ~F.col("_member") | (F.row_number().over(same) == 1)
+    out = known.withColumn("_listed", F.coalesce(listed & F.col("kind").isNotNull(), F.lit(False))).drop("_known")
+    return out.withColumn("_listed", F.col("_listed") & first).drop("_member")
+
+
 def items(checked: DataFrame) -> DataFrame:
     """Uses that a report lists, with `type`: imports in the graph, and what comes from a module that the script imports from it.
 
     A dotted full name belongs to the graph if its first part is one of these modules or their first part; one without a dot if
     such a module contains it. A method or attribute counts once a line, name and type; the method first, then the first status.
     """
-    imported = checked.where("kind = 'import' AND in_graph AND full IS NOT NULL").select("script", "full").distinct()
-    heads = F.array_distinct(F.flatten(F.collect_set(F.array("full", F.substring_index("full", ".", 1)))))
-    own = imported.groupBy("script").agg(heads.alias("_known"))
-    rest = checked.where("kind <> 'import' AND full <> ''").join(own, "script")
-    dotted = F.array_contains("_known", F.substring_index("full", ".", 1))
-    inside = F.when(F.contains("full", F.lit(".")), dotted).otherwise(F.exists("_known", lambda m: F.contains(m, F.col("full"))))
-    known = rest.where(inside).drop("_known")
-    same = Window.partitionBy("script", "line", "name", "full").orderBy(F.desc("kind"), "status", "confidence", "message")
-    members = known.where("kind IN ('method', 'attribute')").withColumn("_k", F.row_number().over(same)).where("_k = 1").drop("_k")
-    every = checked.where("kind = 'import' AND in_graph AND full IS NOT NULL").unionByName(known.where("kind NOT IN ('method', 'attribute')")).unionByName(members)
-    kinds = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    return every.withColumn("type", kinds[F.col("kind")])
+    return _marked(checked).where("_listed").drop("_listed").withColumn("type", _type())
 
 
-def summary(checked: DataFrame, confidence: DataFrame) -> DataFrame:
-    """One row a script: its uses by kind, its items by status, the share of those known to be wrong, and its overall confidence (script, confidence; 1 where missing)."""
-    uses = checked.groupBy("script").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
-    by_status = items(checked).groupBy("script").agg(*[F.count_if(F.col("status") == x).alias(x.lower()) for x in STATUSES])
+def _type() -> Column:
+    return F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[F.col("kind")]
+
+
+def _summed(checked: DataFrame, confidence: DataFrame, *more: Column) -> DataFrame:
+    """`summary` with more aggregates of a script's `_marked` rows, all in one pass."""
     names = [x.lower() for x in STATUSES]
-    out = uses.join(by_status, "script", "left").fillna(0, names).join(confidence.select("script", F.col("confidence").alias("overall")), "script", "left")
+    placed = F.col("_listed") & F.col("script").isNotNull()
+    counts = [*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS], *[F.count_if(placed & (F.col("status") == x)).alias(x.lower()) for x in STATUSES]]
+    out = _marked(checked).groupBy("script").agg(*counts, *more).join(confidence.select("script", F.col("confidence").alias("overall")), "script", "left")
     bad = F.col("invalid") + F.col("not_found")
     total = sum((F.col(x) for x in names), F.lit(0).cast("bigint"))
     return out.withColumns({"total": total, "hallucination_rate": bad / F.greatest(F.lit(1), F.col("valid") + bad), "overall": F.coalesce("overall", F.lit(1.0))})
 
 
+def summary(checked: DataFrame, confidence: DataFrame) -> DataFrame:
+    """One row a script: its uses by kind, its items by status, the share of those known to be wrong, and its overall confidence (script, confidence; 1 where missing)."""
+    return _summed(checked, confidence)
+
+
 def libraries(checked: DataFrame) -> DataFrame:
     """(script, module, status, confidence, classes, methods, attributes, functions): what each import (its first line counts) is used for.
 
@@ -79,25 +95,31 @@ def libraries(checked: DataFrame) -> DataFrame:
     return modules.join(lists, ["script", "module"], "left").withColumns({p: F.coalesce(p, none) for p in plural.values()})
 
 
-def recommendations(scripts: DataFrame, wrong: DataFrame) -> DataFrame:
-    """(script, advice): texts for each script (script, overall) by what is wrong (script, type); what is of no known type counts as wrong without a text."""
-    counts = wrong.groupBy("script").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("type") == k).alias(k) for k in ADVICE])
-    texts = [F.when(F.col(k) > 0, F.format_string(text, F.col(k))) for k, text in ADVICE.items()]
+def advised(scripts: DataFrame, wrong: DataFrame) -> DataFrame:
+    """`scripts` (script, overall and others) with `n_wrong` and `advice`: texts by what is wrong (script, type); what is of no known type counts as wrong without a text."""
+    counts = wrong.groupBy("script").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("type") == k).alias(f"_{k}") for k in ADVICE])
+    texts = [F.when(F.col(f"_{k}") > 0, F.format_string(text, F.col(f"_{k}"))) for k, text in ADVICE.items()]
     nothing = F.when(F.col("_n").isNull(), F.lit(NO_ADVICE))
     moderate = F.when(F.col("overall") < MODERATE_BELOW, F.lit(MODERATE))
-    return scripts.select("script", "overall").join(counts, "script", "left").select("script", F.array_compact(F.array(*texts, nothing, moderate)).alias("advice"))
+    out = scripts.join(counts, "script", "left")
+    return out.select(*scripts.columns, F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_wrong"), F.array_compact(F.array(*texts, nothing, moderate)).alias("advice"))
+
+
+def recommendations(scripts: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(script, advice): `advised` for each script (script, overall)."""
+    return advised(scripts.select("script", "overall"), wrong).select("script", "advice")
 
 
 def reports(checked: DataFrame, confidence: DataFrame, wrong: DataFrame) -> DataFrame:
     """The whole report of each script: `summary`, its items by status, libraries, what is wrong (script, type, location, description, suggestion) and advice."""
-    numbers = summary(checked, confidence)
-    item = F.struct("line", _kind_no(F.col("kind")).alias("kind_no"), "name", "full", "type", "confidence", F.coalesce("message", F.lit("")).alias("message"))
-    listed = items(checked).groupBy("script").agg(*[F.array_sort(F.collect_list(F.when(F.col("status") == x, item))).alias(f"{x.lower()}_items") for x in STATUSES])
+    item = F.struct("line", _kind_no(F.col("kind")).alias("kind_no"), "name", "full", _type().alias("type"), "confidence", F.coalesce("message", F.lit("")).alias("message"))
+    placed = F.col("_listed") & F.col("script").isNotNull()
+    listed = [F.array_sort(F.collect_list(F.when(placed & (F.col("status") == x), item))).alias(f"{x.lower()}_items") for x in STATUSES]
     libs = libraries(checked)
     per_module = libs.groupBy("script").agg(F.array_sort(F.collect_list(F.struct(*[c for c in libs.columns if c != "script"]))).alias("libraries"))
     found = wrong.groupBy("script").agg(F.array_sort(F.collect_list(F.struct("location", "type", "description", "suggestion"))).alias("wrong"))
-    out = numbers
-    for part in (listed, per_module, found, recommendations(numbers, wrong)):
+    out = advised(_summed(checked, confidence, *listed), wrong).drop("n_wrong")
+    for part in (per_module, found):
         out = out.join(part, "script", "left")
         out = out.withColumns({c: F.coalesce(c, F.array().cast(part.schema[c].dataType)) for c in part.columns if c != "script"})
     return out
@@ -108,9 +130,9 @@ def _percent(share: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f%%", F.bround(share * 100, digits))
 
 
-def _block(title: str, lines: Column) -> Column:
-    """Lines of a section, with its title and an empty line behind it; none where it has no lines."""
-    return F.when(F.size(lines) > 0, F.concat(F.array(F.lit(title), F.lit("")), lines, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+def _block(title: str, lines: Column, of: Column | str) -> Column:
+    """Lines of a section, made of the list `of`, with its title and an empty line behind it; none where that is empty. The list is asked, as asking the lines would make them twice."""
+    return F.when(F.size(of) > 0, F.concat(F.array(F.lit(title), F.lit("")), lines, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
 
 
 def _line(x: Column) -> Column:
@@ -147,14 +169,14 @@ def markdown(report: DataFrame, at: Column | str) -> Column:
         )
 
     # a section whose parts end in an empty line of their own needs none behind them
-    open_block = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(title), F.lit("")), lines)).otherwise(F.array().cast("array<string>"))
+    open_block = lambda title, lines, of: F.when(F.size(of) > 0, F.concat(F.array(F.lit(title), F.lit("")), lines)).otherwise(F.array().cast("array<string>"))
     valid = F.col("valid_items")
     more = F.when(F.size(valid) > SHOWN, F.array(F.concat(F.lit("- ... and "), (F.size(valid) - SHOWN).cast("string"), F.lit(" more valid items")))).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
-        F.array(*head, *numbers), open_block("## 🚨 Hallucinations Detected", wrong), open_block("## 📚 Libraries Analyzed", F.flatten(F.transform("libraries", library))),
-        _block("## 💡 Recommendations", F.transform("advice", lambda x: F.concat(F.lit("- "), x))), F.array(F.lit("## 📋 Detailed Validation Results"), F.lit("")),
-        _block("### ❌ Invalid Items", F.transform("invalid_items", _line)), _block("### 🔍 Not Found Items", F.transform("not_found_items", _line)),
-        _block("### ✅ Valid Items (Sample)", F.concat(F.transform(F.slice(valid, 1, SHOWN), _line), more)),
+        F.array(*head, *numbers), open_block("## 🚨 Hallucinations Detected", wrong, "wrong"), open_block("## 📚 Libraries Analyzed", F.flatten(F.transform("libraries", library)), "libraries"),
+        _block("## 💡 Recommendations", F.transform("advice", lambda x: F.concat(F.lit("- "), x)), "advice"), F.array(F.lit("## 📋 Detailed Validation Results"), F.lit("")),
+        _block("### ❌ Invalid Items", F.transform("invalid_items", _line), "invalid_items"), _block("### 🔍 Not Found Items", F.transform("not_found_items", _line), "not_found_items"),
+        _block("### ✅ Valid Items (Sample)", F.concat(F.transform(F.slice(valid, 1, SHOWN), _line), more), valid),
     )
     return F.array_join(lines, "\n", "")
 

@@ -128,3 +128,18 @@ def test_save(spark, tmp_path):
     rep.save(report, f"{tmp_path}/text", at="today")
     assert {r["script"]: r["total"] for r in spark.read.json(f"{tmp_path}/json").collect()} == {"a.py": 6, "b.py": 0}
     assert spark.read.parquet(f"{tmp_path}/text").where("script = 'a.py'").first()["markdown"] == TEXT
+
+
+def test_uses_meet_once(spark):
+    """Signatures are parsed once a symbol, below the joins, and a summary shuffles its uses once."""
+    from corpusloom.operators import checks as c
+
+    uses = spark.createDataFrame([("m", "f", 1, ["k"]), ("m", "f", 1, ["b"]), ("m", "g", 3, []), ("n", "f", 0, [])], "module string, symbol string, n_args bigint, kwargs array<string>")
+    symbols = spark.createDataFrame([("m", "f", ["a:int", "b:str=1"]), ("m", "f", ["a:int", "[keyword_only] k:int"]), ("m", "g", ["a:int"])], "module string, symbol string, expected array<string>")
+    found = c.usages(uses, symbols, symbols)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in plan and "regexp" not in plan[: plan.index("Join")]
+    assert sorted((r.symbol, r.module, r.status, r.confidence) for r in found.collect()) == [("f", "m", "VALID", 0.8), ("f", "m", "VALID", 0.8), ("f", "n", "UNCERTAIN", 0.8), ("g", "m", "INVALID", 0.8)]
+    checked = spark.range(3).selectExpr("id script", "'import' kind", "'m' full", "'x' name", "1 line", "'VALID' status", "0.5D confidence", "'' message", "true in_graph")
+    plan = rep.summary(checked, c.overall(checked, "script"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
