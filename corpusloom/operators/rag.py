@@ -9,14 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dot, recency_decay, with_recency
-from .retrieval import QUERY_BLOCK
+from . import nearest
+from .retrieval import QUERY_BLOCK, best_ids
 
-
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """Queries in blocks of about QUERY_BLOCK, so what is broadcast is bounded."""
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return [queries.where(block == i) if blocks > 1 else queries for i in range(blocks)]
+#: Different searches for words that are broadcast against all texts at a time.
+WORDS_BLOCK = 1000
 
 
 def source_of(source: Column) -> Column:
@@ -24,20 +21,45 @@ def source_of(source: Column) -> Column:
     return F.nullif(F.btrim(source, F.lit(" \t\n\r")), F.lit(""))
 
 
-def _per_query(queries: DataFrame, rows: DataFrame, match: Column | None, order: list, n: int) -> DataFrame:
-    """The first n rows of each query in its source that `match` keeps, in `order`, as (query_id, row, s, k)."""
-    near = F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("query")), F.col("_size") * F.col("_query_size")), F.lit(0.0))
-    sized = rows.withColumn("_size", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+def _near(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The n nearest rows of each query in its source, as (query_id, row, s, k): ids first, of all queries at once; only rows that are found are read whole."""
+    asked = queries.select("query_id", "query", source_of(F.col("source")).alias("_source"))
+    count = asked.count()
+    blocks = max(1, math.ceil(count / QUERY_BLOCK))
+    held = rows.select(F.col("chunk_id").alias("id"), F.col("source_id").alias("source"), F.col("embedding").alias("v"))
+    found = best_ids(nearest.candidates(asked.select("query_id", F.col("_source").alias("source"), F.col("query").alias("v")), held, n, blocks, others=False), n, "chunk_id", count)
+    size = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    inside = F.col("_source").isNull() | (F.col("_source") == F.col("source_id"))
+    pairs = rows.join(found, "chunk_id").join(asked, "query_id").where(inside)
+    near = F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("query")), size("embedding") * size("query")), F.lit(0.0))
+    return _first(pairs.select("query_id", _row(rows), near.alias("s")), [F.desc("s"), "row.chunk_id"], n)
+
+
+def _row(rows: DataFrame) -> Column:
+    return F.struct(*[c for c in rows.columns if c != "embedding"]).alias("row")
+
+
+def _first(pairs: DataFrame, order: list, n: int) -> DataFrame:
+    return pairs.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("k") <= n)
 
-    def one(own: DataFrame) -> DataFrame:
-        asked = own.select("query_id", "query", F.lower("words").alias("words"), source_of(F.col("source")).alias("_source"), F.sqrt(dot(F.col("query"), F.col("query"))).alias("_query_size"))
-        inside = F.col("_source").isNull() | (F.col("_source") == F.col("source_id"))
-        pairs = sized.join(F.broadcast(asked), inside if match is None else inside & match)
-        kept = [c for c in rows.columns if c != "embedding"]
-        scored = pairs.select("query_id", F.struct(*kept).alias("row"), (near if match is None else F.lit(None).cast("double")).alias("s"))
-        return scored.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("k") <= n)
 
-    return functools.reduce(DataFrame.unionByName, map(one, _blocks(queries)))
+def _holding(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows by chunk_id of each query in its source that hold its words, as (query_id, row, k). Texts are looked at once for each different search, not once a query."""
+    asked = queries.select("query_id", F.lower("words").alias("words"), source_of(F.col("source")).alias("_source"))
+    searches = asked.select("words", "_source").distinct()
+    blocks = max(1, math.ceil(searches.count() / WORDS_BLOCK))
+    block = F.pmod(F.xxhash64("words", "_source"), F.lit(blocks))
+    inside = F.col("_source").isNull() | (F.col("_source") == F.col("source_id"))
+    texts = rows.where("chunk_id IS NOT NULL").select("chunk_id", "source_id", F.lower("content").alias("_content"))
+    first = F.row_number().over(Window.partitionBy("words", "_source").orderBy("chunk_id"))
+    # ids alone are ordered; rows that are found are read afterwards
+    one = lambda own: texts.join(F.broadcast(own), inside & F.contains("_content", "words")).select("words", "_source", "chunk_id").withColumn("k", first).where(F.col("k") <= n)
+    hits = functools.reduce(DataFrame.unionByName, [one(searches.where(block == i) if blocks > 1 else searches) for i in range(blocks)]).select("words", "_source", "chunk_id").distinct()
+    named = hits.select(F.col("words").alias("_w"), F.col("_source").alias("_s"), "chunk_id")
+    found = asked.join(named, (F.col("words") == F.col("_w")) & F.col("_source").eqNullSafe(F.col("_s"))).select("query_id", "chunk_id", "words", "_source").distinct()
+    # of repeated ids only rows of the source that hold the words count
+    pairs = rows.join(found, "chunk_id").where(inside & F.contains(F.lower("content"), "words"))
+    return _first(pairs.select("query_id", _row(rows)), ["row.chunk_id"], n)
 
 
 def candidates(queries: DataFrame, rows: DataFrame, n: int, *, hybrid: bool = False) -> DataFrame:
@@ -47,10 +69,10 @@ def candidates(queries: DataFrame, rows: DataFrame, n: int, *, hybrid: bool = Fa
     Hybrid: n // 2 + 1 of those, and as many whose content holds the words in any case (by chunk_id); 0.7 of the
     similarity, and 0.3 for holding the words; a blank `words` finds nothing. The best n stay.
     """
-    near = _per_query(queries, rows, None, [F.desc("s"), "row.chunk_id"], n // 2 + 1 if hybrid else n)
+    near = _near(queries, rows, n // 2 + 1 if hybrid else n)
     if not hybrid:
         return near.select("query_id", "row", F.col("s").alias("similarity"), F.lit("vector").alias("search_type"), F.col("k").alias("rank"))
-    hits = _per_query(queries.where("btrim(words) <> ''"), rows, F.contains(F.lower("content"), "words"), ["row.chunk_id"], n // 2 + 1)
+    hits = _holding(queries.where("btrim(words) <> ''"), rows, n // 2 + 1)
     both = near.select("query_id", F.col("row.chunk_id").alias("chunk_id"), "row", "s").join(hits.select("query_id", F.col("row.chunk_id").alias("chunk_id"), F.col("row").alias("hit")), ["query_id", "chunk_id"], "full_outer")
     score = F.coalesce(0.7 * F.col("s"), F.lit(0.0)) + F.when(F.col("hit").isNotNull(), 0.3).otherwise(0.0)
     kind = F.when(F.col("s").isNotNull() & F.col("hit").isNotNull(), "hybrid").when(F.col("hit").isNotNull(), "keyword").otherwise("vector")
