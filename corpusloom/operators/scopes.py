@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Instances of instances: `a = X()` is one round, `with a as b` one more.
 ROUNDS = 3
+#: Events that a task holds before it gives them on.
+ROWS = 20_000
 #: Parts of names that are taken for classes although they begin with a small letter.
 CLASS_PARTS = ("Model", "Provider", "Client", "Agent", "Manager", "Handler", "Builder", "Factory", "Service", "Controller", "Processor")
 EVENTS = "path string, event string, scope int, scopes array<int>, name string, rest string, at bigint, line int, kind string, n_args int, kwargs array<string>, target string"
@@ -217,9 +219,14 @@ def events(scripts: DataFrame) -> DataFrame:
                     rows += reader.rows
                 except (SyntaxError, ValueError, RecursionError):
                     rows.append((path, "error", 0, [], "", "", 0, 0, "error", 0, [], None))
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    return scripts.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content").mapInPandas(run, EVENTS)
+    # a small file of many scripts would else be one task's work
+    tasks = 4 * scripts.sparkSession.sparkContext.defaultParallelism
+    return scripts.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content").repartition(tasks, "path").mapInPandas(run, EVENTS)
 
 
 def is_class(full: Column) -> Column:
@@ -235,20 +242,27 @@ def made(full: Column) -> Column:
 
 
 def _resolved(asked: DataFrame, bindings: DataFrame) -> DataFrame:
-    """`asked` (path, id, scopes, name, at) with `full`: what the name is bound to where it is read; null if unknown.
+    """`asked` (path, id, scopes, name, at and others) with `full`: what the name is bound to where it is read; null if unknown.
 
-    bindings: path, scope, name, at, full (null: bound to something unknown).
+    bindings: path, scope, name, at, full (null: bound to something unknown). Ids are told apart within a path. Rows are dealt by their
+    path once, which the windows and the grouping share, and what is asked travels along, so nothing is joined back.
     """
-    seen = asked.select("path", "id", "name", "at", F.posexplode("scopes").alias("depth", "scope")).select("*", F.lit(None).cast("struct<full:string>").alias("bound"), F.lit(1).alias("reads"))
+    others = [c for c in asked.columns if c not in ("path", "id", "name", "at")]
+    rest = F.struct(*others)
+    # what is read in no scope is a row of its own, too
+    scopes = F.when(F.size("scopes") > 0, F.col("scopes")).otherwise(F.array(F.lit(None).cast("int")))
+    seen = asked.select("path", "id", "name", "at", rest.alias("rest"), F.posexplode(scopes).alias("depth", "scope"))
+    seen = seen.select("*", F.lit(None).cast("struct<full:string>").alias("bound"), F.lit(1).alias("reads"))
     # a struct around what is bound tells an unknown value from no binding
-    bound = bindings.select("path", F.lit(None).cast("bigint").alias("id"), "name", "at", F.lit(None).cast("int").alias("depth"), "scope", F.struct(F.col("full").cast("string").alias("full")).alias("bound"), F.lit(0).alias("reads"))
+    bound = bindings.select("path", F.lit(None).cast("bigint").alias("id"), "name", "at", F.lit(None).cast(seen.schema["rest"].dataType).alias("rest"), F.lit(None).cast("int").alias("depth"), "scope", F.struct(F.col("full").cast("string").alias("full")).alias("bound"), F.lit(0).alias("reads"))
     order = Window.partitionBy("path", "scope", "name").orderBy("at", "reads")
     before = F.last("bound", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # a function may read what its surroundings bind later
-    after = F.first("bound", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = seen.unionByName(bound).withColumn("hit", F.coalesce(before, F.when(F.col("depth") > 0, after))).where("reads = 1 AND hit IS NOT NULL")
-    first = found.groupBy("path", "id").agg(F.min_by("hit", "depth").alias("hit"))
-    return asked.join(first, ["path", "id"], "left").withColumn("full", F.col("hit.full")).drop("hit")
+    # a function may read what its surroundings bind later: as nothing is bound before, that is the first of all
+    after = F.first("bound", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = seen.unionByName(bound).repartition("path").withColumn("hit", F.coalesce(before, F.when(F.col("depth") > 0, after))).where("reads = 1")
+    first = found.groupBy("path", "id").agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("depth"))).alias("hit"), F.collect_list(F.when(F.col("depth") == 0, F.struct("name", "at", "rest"))).alias("every"))
+    # repeated rows stay repeated
+    return first.select("path", "id", "hit", F.explode("every").alias("own")).select("path", "id", "own.name", "own.at", "own.rest.*", F.col("hit.full").alias("full"))
 
 
 def bindings(all_events: DataFrame, work) -> DataFrame:

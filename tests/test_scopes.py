@@ -76,3 +76,12 @@ def test_uses_follow_scopes_and_bindings(spark):
     assert got == sorted(want)
     assert sorted((r.owner, r.name) for r in rows if r.path == "a" and r.kind == "import") == [("app.db", ""), ("app.models", "User"), ("app.models", "lowClient"), ("app.models", "make_user"), ("os.path", "")]
     assert [r.kind for r in rows if r.path in "bcd"] == ["error"]
+
+
+def test_resolving_joins_nothing_back(spark):
+    """What is asked travels with its name, repeated rows and those without scopes too, so the plan has no join."""
+    asked = spark.createDataFrame([("p", 1, [1, 0], "u", 5, "x"), ("p", 1, [1, 0], "u", 5, "x"), ("p", 2, [0], "u", 1, "y"), ("p", 3, [], "u", 9, "z")], "path string, id bigint, scopes array<int>, name string, at bigint, rest string")
+    bound = spark.createDataFrame([("p", 0, "u", 7, "m.X"), ("p", 0, "u", 8, "m.Y")], "path string, scope int, name string, at bigint, full string")
+    out = scopes._resolved(asked, bound)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.rest, r.full or "") for r in out.collect()) == [(1, "x", "m.X"), (1, "x", "m.X"), (2, "y", ""), (3, "z", "")]
