@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,10 @@ from .common import per_text
 
 #: Bytes of a piece beyond which it is encoded as a tree; characters of its leaves.
 LONG, LEAF = 4096, 2048
-#: Pieces a worker remembers (about 200 bytes each); it starts anew beyond that.
-CACHE = 100_000
+#: Pieces of a generation (about 200 bytes each); a worker remembers two of them, and forgets the older one when the newer is full.
+CACHE = 200_000
+#: Unknown pieces that the model gets at a time.
+LEARN = 4096
 #: Ids that are decoded at a time; a longer text is decoded alone.
 DECODE_IDS = 1 << 18
 WINDOW = 8
@@ -67,7 +68,11 @@ class Encoder:
         self.long, self.leaf = long, leaf
         #: What the pieces of `split_pieces` rely on; any other tokenizer encodes whole texts by the library.
         self.by_pieces = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
-        self._forget()
+        self._plain = None
+        #: Tokens that end a word.
+        self._ends_word = np.array([bool(self.suffix) and (self.tokenizer.id_to_token(i) or "").endswith(self.suffix) for i in range(self.tokenizer.get_vocab_size())], bool)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @property
     def inner(self):
@@ -142,20 +147,55 @@ class Encoder:
                 word += 1
         yield -1, True, " ".join(run)
 
-    def _learn(self, piece: bytes) -> None:
+    @property
+    def plain(self):
+        """The model alone, for words of its alphabet with a space between."""
+        if self._plain is None:
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self._plain = Tokenizer(self.tokenizer.model)
+            self._plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return self._plain
+
+    def _learn(self, piece: bytes) -> bytes:
         if len(piece) > self.long:
             ids = self.piece(piece.decode())
         elif _LATIN.fullmatch(piece):
             ids = [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(_BYTE_LETTERS))]
         else:
             ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        self.index[piece] = len(self.first) - 1
-        self.flat.extend(ids)
-        self.first.append(len(self.flat))
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.first = array("i"), array("q", [0])
+        return np.array(ids, np.int32).tobytes()
+
+    def _learn_all(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """Ids of each piece. Those of known letters are one word each, and go to the model together."""
+        for at in range(0, len(pieces), LEARN):
+            some = pieces[at : at + LEARN]
+            plain = [len(p) <= self.long and _LATIN.fullmatch(p) is not None for p in some] if self.suffix else [False] * len(some)
+            words = [p for p, own in zip(some, plain, strict=True) if own]
+            text = _SPACED[np.frombuffer(b" ".join(words), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32) if words else np.zeros(0, np.int32)
+            # a word's last token has the suffix, and no other
+            ends = np.flatnonzero(self._ends_word[ids]) + 1
+            if len(ends) == len(words) and (not len(ends) or ends[-1] == len(ids)):
+                data, stops = ids.tobytes(), [0, *(4 * ends).tolist()]
+                made = (data[a:b] for a, b in zip(stops, stops[1:], strict=False))
+            else:
+                made = map(self._learn, words)
+            yield from (next(made) if own else self._learn(p) for p, own in zip(some, plain, strict=True))
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (32 bits each) of different pieces, remembered ones first."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            found[i] = self.old.get(pieces[i])
+        unknown = [i for i in missing if found[i] is None]
+        for i, ids in zip(unknown, self._learn_all([pieces[i] for i in unknown]), strict=True):
+            found[i] = ids
+        self.new.update((pieces[i], found[i]) for i in missing)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and all ids."""
@@ -172,22 +212,17 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(kept)).astype(np.int32)), pa.py_buffer(kept)])
         coded = pieces.dictionary_encode()
         different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.index) > CACHE:
-            self._forget()
-        for piece in different:
-            if piece not in self.index:
-                self._learn(piece)
-        index = self.index
-        own = np.array([index[piece] for piece in different], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if different else np.zeros(0, np.int64)
-        # views, gone when this returns: an array that is looked at can't grow
-        first = np.frombuffer(self.first, np.int64)
-        size = first[own + 1] - first[own]
+        found = self._ids(different)
+        flat = np.frombuffer(b"".join(found), np.int32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = coded.indices.to_numpy(zero_copy_only=False) if different else np.zeros(0, np.int64)
+        first, size = (np.cumsum(sizes) - sizes)[own], sizes[own]
         ends = np.concatenate([[0], np.cumsum(size)])
         # place of every id: the first one of its piece plus a count within the piece
-        place = np.repeat(first[own] - ends[:-1], size) + np.arange(ends[-1])
+        place = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
         # spaces went, so a text begins where the bytes kept before it end
         before = np.concatenate([[0], np.cumsum(_CLASS[data] != 0)])[text_at]
-        return ends[np.searchsorted(starts, before)], np.frombuffer(self.flat, np.int32)[place] if len(place) else np.zeros(0, np.int32)
+        return ends[np.searchsorted(starts, before)], flat[place]
 
     def _alone(self, text: str) -> np.ndarray:
         """One text's ids where special tokens, or an unknown tokenizer, need the library for all of it."""
@@ -214,6 +249,8 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+#: The same by byte, in UTF-32; spaces stay.
+_SPACED = np.array([32 if b == 32 else _BYTE_LETTERS.get(b, b) for b in range(256)], "<u4")
 
 
 def split_pieces(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
