@@ -6,7 +6,6 @@ import ast
 import functools
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,19 +89,13 @@ def _symbols(path: str, content: str) -> Iterator[tuple]:
 
 
 def _parsed(files: DataFrame, each, schema: str, nothing: tuple) -> DataFrame:
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows += list(each(path, content))
-                except (SyntaxError, ValueError, RecursionError):
-                    rows.append((path, "error", *nothing))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return files.where("content IS NOT NULL").select("path", "content").mapInPandas(run, schema)
+    def rows(path: str, content: str) -> list[tuple]:
+        try:
+            return list(each(path, content))
+        except (SyntaxError, ValueError, RecursionError):
+            return [(path, "error", *nothing)]
+
+    return structure.parsed(files, rows, schema)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 from corpusloom.operators import structure
 from corpusloom.operators.lexing import lex
 
@@ -134,3 +136,17 @@ def test_odd_texts_end():
             structure.declared(path, text)
     s = lex("a{b(c)}d", "javascript")
     assert s.partner == {1: 6, 6: 1, 3: 5, 5: 3} and s.brace == [-1, -1, 1, 1, 1, 1, -1, -1]
+
+
+def test_rows_of_few_files_are_held_at_a_time(monkeypatch):
+    # batches as a worker sends them back, of one batch of many files
+    class Files:
+        where = select = lambda self, *a: self
+        mapInArrow = lambda self, run, schema: run(iter(self.batches))
+
+    files = Files()
+    files.batches = [pa.RecordBatch.from_pylist([{"path": f"c{i}.js", "content": f"class C{i} {{ {'go() {} ' * 40}}}"} for i in range(3000)])]
+    taken = [b.num_rows for b in structure.structure(files)]
+    assert sum(taken) == 3000 * 41 and max(taken) < 3000 * 41 // 3
+    monkeypatch.setattr(structure, "HELD", 1)
+    assert [b.num_rows for b in structure.structure(files)] == [41] * 3000
