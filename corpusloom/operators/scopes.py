@@ -1,6 +1,7 @@
 """Uses of imported modules in Python scripts, by scopes and the last binding before each use.
 
-A script is parsed where it lies into events: bindings of names, and uses of dotted names, each with the scopes it can see.
+Scripts of equal content use the same, so each content is parsed and resolved once, and its uses go to all its paths. A content
+is parsed into events: bindings of names, and uses of dotted names, each with the scopes it can see; names that no import leads to are left out.
 Which binding holds at a use is then found for all scripts at once: bindings and uses of a name in a scope are
 ordered by place, and a running last value gives the binding before each use; the innermost scope that binds the
 name decides. What a name is bound to may itself be a name, so this runs in ROUNDS: imports first, then
@@ -10,19 +11,19 @@ what they make. A name that is bound to something unknown gives no use, until it
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import structure
+
 #: Instances of instances: `a = X()` is one round, `with a as b` one more.
 ROUNDS = 3
-#: Events that a task holds before it gives them on.
-ROWS = 20_000
+#: Events of all contents whose uses are broadcast to the paths.
+SENT = 20_000
 #: Parts of names that are taken for classes although they begin with a small letter.
 CLASS_PARTS = ("Model", "Provider", "Client", "Agent", "Manager", "Handler", "Builder", "Factory", "Service", "Controller", "Processor")
-EVENTS = "path string, event string, scope int, scopes array<int>, name string, rest string, at bigint, line int, kind string, n_args int, kwargs array<string>, target string"
+EVENTS = "path string, id bigint, event string, scope int, scopes array<int>, name string, rest string, at bigint, line int, kind string, n_args int, kwargs array<string>, target string"
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 _PLACE = 1 << 20
 
@@ -37,7 +38,30 @@ class _Reader(ast.NodeVisitor):
         # a binding holds behind its statement, so what the statement reads comes before it
         line, col = (node.end_lineno, node.end_col_offset) if end else (node.lineno, node.col_offset)
         own = self.scopes[-1] if scope is None else scope
-        self.rows.append((self.path, event, own, list(reversed(self.scopes)), name, rest, line * _PLACE + min(col, _PLACE - 1), node.lineno, kind, n_args, list(kwargs), target))
+        self.rows.append((self.path, len(self.rows), event, own, self.scopes[::-1], name, rest, line * _PLACE + min(col, _PLACE - 1), node.lineno, kind, n_args, list(kwargs), target))
+
+    def known(self) -> list[tuple]:
+        """The events but uses and bindings of names that no import leads to, whatever the scopes: those come to nothing."""
+        live = {r[5] for r in self.rows if r[9] == "module"}
+        # a name that is made of a live one is live
+        while more := {r[5] for r in self.rows if r[2] == "bind" and r[12] in live} - live:
+            live |= more
+        return [r for r in self.rows if r[2] == "import" or r[5] in live]
+
+    def generic_visit(self, node) -> None:
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                for x in value:
+                    if isinstance(x, ast.AST):
+                        self.visit(x)
+            elif isinstance(value, ast.AST):
+                self.visit(value)
+
+    def _nothing(self, node) -> None:
+        """A name, a plain value or a mark holds no event of its own."""
+
+    visit_Name = visit_Constant = visit_Load = visit_Store = visit_Del = _nothing
 
     @staticmethod
     def dotted(node) -> tuple[str, str] | None:
@@ -207,26 +231,16 @@ class _Reader(ast.NodeVisitor):
 
 def events(scripts: DataFrame) -> DataFrame:
     """Bindings and uses of all scripts (path, content); one `error` for a script that can't be parsed; a null content gives nothing."""
-    columns = [c.split()[0] for c in EVENTS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                reader = _Reader(path)
-                try:
-                    reader.visit(ast.parse(content))
-                    rows += reader.rows
-                except (SyntaxError, ValueError, RecursionError):
-                    rows.append((path, "error", 0, [], "", "", 0, 0, "error", 0, [], None))
-                if len(rows) >= ROWS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
-
-    # a small file of many scripts would else be one task's work
-    tasks = 4 * scripts.sparkSession.sparkContext.defaultParallelism
-    return scripts.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content").repartition(tasks, "path").mapInPandas(run, EVENTS)
+
+    def rows(path: str, content: str) -> list[tuple]:
+        reader = _Reader(path)
+        try:
+            reader.visit(ast.parse(content))
+            return reader.known()
+        except (SyntaxError, ValueError, RecursionError):
+            return [(path, 0, "error", 0, [], "", "", 0, 0, "error", 0, [], None)]
+
+    return structure.parsed(structure.dealt(scripts.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content")), rows, EVENTS)
 
 
 def is_class(full: Column) -> Column:
@@ -265,34 +279,29 @@ def _resolved(asked: DataFrame, bindings: DataFrame) -> DataFrame:
     return first.select("path", "id", "hit", F.explode("every").alias("own")).select("path", "id", "own.name", "own.at", "own.rest.*", F.col("hit.full").alias("full"))
 
 
-def bindings(all_events: DataFrame, work) -> DataFrame:
-    """(path, scope, name, at, full): what each binding makes of its name, after ROUNDS, each of which is written once."""
-    bound = all_events.where("event = 'bind'").select("path", "scope", "scopes", "name", "rest", "at", "kind", "target").withColumn("id", F.xxhash64("scope", "name", "at", "kind", "target", "rest"))
+def bindings(all_events: DataFrame) -> DataFrame:
+    """(path, scope, name, at, full): what each binding makes of its name, after ROUNDS. What a round asks travels along, so nothing is joined back."""
+    bound = all_events.where("event = 'bind'")
+    module = F.col("kind") == "module"
     # a dotted name of a module, or nothing that is known yet
-    known = bound.withColumn("full", F.when(F.col("kind") == "module", F.col("target")))
+    known = bound.select("path", "scope", "name", "at", F.when(module, F.col("target")).alias("full"))
+    plain = bound.where(module | (F.col("target") == "")).select("path", "scope", "name", "at", F.when(module, F.col("target")).alias("full"))
+    own = F.struct("scope", "name", "kind", "rest").alias("own")
+    asked = bound.where(~module & (F.col("target") != "")).select("path", "id", "scopes", F.col("target").alias("name"), "at", own)
     for _ in range(ROUNDS - 1):
-        asked = known.where("kind <> 'module' AND target <> ''").select("path", "id", "scopes", F.col("target").alias("name"), "at").dropDuplicates(["path", "id"])
-        held = _resolved(asked, known.select("path", "scope", "name", "at", "full")).select("path", "id", F.col("full").alias("_root"))
-        root = F.concat("_root", "rest")
+        root = F.concat("full", "own.rest")
         # an annotation and a call name a class; a context gives what it is entered with
-        value = F.when(F.col("kind") == "annotation", F.when(is_class(F.col("_root")) | is_class(root), F.concat(root, F.lit("()")))).otherwise(made(root))
-        known = known.drop("_root").join(held, ["path", "id"], "left").withColumn("full", F.when(F.col("kind") == "module", F.col("target")).otherwise(value)).drop("_root")
-        known = work(known, "bindings")
-    return known.select("path", "scope", "name", "at", "full")
+        value = F.when(F.col("own.kind") == "annotation", F.when(is_class(F.col("full")) | is_class(root), F.concat(root, F.lit("()")))).otherwise(made(root))
+        known = plain.unionByName(_resolved(asked, known).select("path", "own.scope", "own.name", "at", value.alias("full")))
+    return known
 
 
-def uses(scripts: DataFrame, work) -> DataFrame:
-    """(path, kind, owner, name, n_args, kwargs, line): what scripts import, call and read of imported modules.
-
-    Kinds: import, class, method (of an instance or a class), function, attribute (read of an instance or a class), error.
-    owner is the dotted name of the module or class. `work(df, name)` writes a table and reads it again: events are
-    read several times, and parsed once.
-    """
-    found = work(events(scripts), "events")
-    asked = found.where("event = 'use'").withColumn("id", F.xxhash64("scope", "name", "rest", "at", "kind"))
-    held = bindings(found, work)
+def _of_contents(contents: DataFrame, work) -> tuple[DataFrame, bool]:
+    """What contents (path, content) import, call and read, and whether that is little enough to be broadcast."""
+    found = work(events(contents), "events")
+    asked = found.where("event = 'use'").select("path", "id", "scopes", "name", "rest", "at", "line", "kind", "n_args", "kwargs")
     full = F.concat("full", "rest")
-    known = _resolved(asked, held).where("full IS NOT NULL").withColumn("whole", full)
+    known = _resolved(asked, bindings(found)).where("full IS NOT NULL").withColumn("whole", full)
     # the last part is what is used, the parts before it are its owner; one call on the way makes an instance
     last = F.regexp_extract("whole", r"\.([^.]*)$", 1)
     owner = F.regexp_replace("whole", r"\.[^.]*$", "")
@@ -304,4 +313,19 @@ def uses(scripts: DataFrame, work) -> DataFrame:
     used = known.where(usable).select("path", kind.alias("kind"), bare.alias("owner"), last.alias("name"), "n_args", "kwargs", "line").where("kind IS NOT NULL")
     imports = found.where("event = 'import'").select("path", F.lit("import").alias("kind"), F.col("name").alias("owner"), F.col("target").alias("name"), "n_args", "kwargs", "line")
     errors = found.where("event = 'error'").select("path", F.lit("error").alias("kind"), F.lit("").alias("owner"), F.lit("").alias("name"), "n_args", "kwargs", "line")
-    return imports.unionByName(used).unionByName(errors)
+    return imports.unionByName(used).unionByName(errors), found.limit(SENT + 1).count() <= SENT
+
+
+def uses(scripts: DataFrame, work) -> DataFrame:
+    """(path, kind, owner, name, n_args, kwargs, line): what scripts import, call and read of imported modules.
+
+    Kinds: import, class, method (of an instance or a class), function, attribute (read of an instance or a class), error.
+    owner is the dotted name of the module or class. `work(df, name)` writes a table and reads it again: events are
+    read several times, and parsed once.
+    """
+    # half of a SHA-256 tells contents apart
+    key = F.base64(F.substring(F.unhex(F.sha2("content", 256)), 1, 16))
+    keyed = scripts.where("path IS NOT NULL AND content IS NOT NULL").select("path", key.alias("_content"), "content")
+    found, few = _of_contents(keyed.select(F.col("_content").alias("path"), "content").distinct(), work)
+    found = found.withColumnRenamed("path", "_content")
+    return keyed.select("path", "_content").join(F.broadcast(found) if few else found, "_content").drop("_content")

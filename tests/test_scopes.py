@@ -85,3 +85,28 @@ def test_resolving_joins_nothing_back(spark):
     out = scopes._resolved(asked, bound)
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.rest, r.full or "") for r in out.collect()) == [(1, "x", "m.X"), (1, "x", "m.X"), (2, "y", ""), (3, "z", "")]
+
+
+def test_each_content_is_parsed_once(spark):
+    """Equal scripts share their events, unknown names have none, only events are written, and each path gets its uses."""
+    held = {}
+
+    def work(df, name):
+        held[name] = stored(df, name)
+        return held[name]
+
+    script = "from m import X\na = X()\nwith a as b:\n    b.go()\nprint(len(q.r))\nn = q.s()\nn.no()\n"
+    files = spark.createDataFrame([(f"p{i}", script) for i in range(50)] + [("p0", script), ("e1", "x ==="), ("e2", "x ==="), (None, script), ("n", None)], "path string, content string")
+    rows = scopes.uses(files, work).collect()
+    assert sorted((r.event, r.name) for r in held["events"].collect()) == [("bind", "X"), ("bind", "a"), ("bind", "b"), ("error", ""), ("import", "m"), ("use", "X"), ("use", "b")]
+    assert list(held) == ["events"]
+    want = [("class", "m", "X", 2), ("import", "m", "X", 1), ("method", "m.X", "go", 4)]
+    for path in ("p0", "p49"):
+        assert sorted((r.kind, r.owner, r.name, r.line) for r in rows if r.path == path) == sorted(want * (2 if path == "p0" else 1))
+    assert len(rows) == 51 * 3 + 2 and {r.path for r in rows if r.kind == "error"} == {"e1", "e2"}
+    # more contents than are broadcast
+    before, scopes.SENT = scopes.SENT, 3
+    try:
+        assert sorted(map(str, scopes.uses(files, stored).collect())) == sorted(map(str, rows))
+    finally:
+        scopes.SENT = before
