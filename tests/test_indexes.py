@@ -58,3 +58,23 @@ def test_keywords_equal_a_scan(spark, monkeypatch):
     got = {(x["keyword"], x["doc_id"]) for x in kw.search(kw.build(docs, stored), docs, spark.createDataFrame([(w,) for w in words], "keyword string")).collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert got == {(w, i) for w in words if w is not None for i, x in rows if x is not None and w.lower() in x.lower()}
+
+
+def test_postings_are_made_where_the_texts_lie(spark, monkeypatch):
+    """Texts are neither shuffled nor collected by trigram: a block holds few characters, and rows of one id may lie in several."""
+    monkeypatch.setattr(kw, "BLOCK_CHARS", 30)
+    plans = {}
+
+    def work(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    docs = spark.createDataFrame([(i, f"Ab{i} 𝒳yz é") for i in range(40)] + [(7, "other ab7 text"), (99, "q" * 500), (None, "Ab1 "), (100, None)], "doc_id long, text string")
+    index = kw.build(docs, work)
+    assert "Exchange" not in plans["postings"] and "Aggregate" not in plans["postings"]
+    rows = index.postings.collect()
+    assert len({(r.gram, r.block) for r in rows}) == len(rows) and max(len(r.ids) for r in rows) <= 3
+    assert {r.gram for r in rows if 99 in r.ids} == {"qqq"} and any(r.gram == " 𝒳y" for r in rows)
+    got = {(r.keyword, r.doc_id) for r in kw.search(index, docs, spark.createDataFrame([("AB7 ",), ("𝒳YZ É",), ("b39",), ("ab7 text",), ("qqqqq",), ("É",), ("zz",)], "keyword string")).collect()}
+    assert {x for x in got if x[0] not in ("𝒳YZ É", "É")} == {("AB7 ", 7), ("b39", 39), ("ab7 text", 7), ("qqqqq", 99)}
+    assert len(got) == 4 + (40 if "𝒳yz é" == "𝒳YZ É".lower() else 0) + 40 and len([x for x in got if x[0] == "É"]) == 40
