@@ -26,7 +26,8 @@ SENT = 20_000
 
 def trigrams(text: Column) -> Column:
     """Different runs of three characters of the lower-case text; none of a shorter or null one."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    runs = F.transform(F.sequence(F.lit(1), F.length(F.lower(text)) - 2), lambda i: F.substr(F.lower(text), i, F.lit(3)))
+    return F.when(F.length(F.lower(text)) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def _codes(text: str) -> np.ndarray:

@@ -73,8 +73,8 @@ def test_postings_are_made_where_the_texts_lie(spark, monkeypatch):
     index = kw.build(docs, work)
     assert "Exchange" not in plans["postings"] and "Aggregate" not in plans["postings"]
     rows = index.postings.collect()
-    assert len({(r.gram, r.block) for r in rows}) == len(rows) and max(len(r.ids) for r in rows) <= 3
+    assert len({(r.gram, r.block) for r in rows}) == len(rows) and max(len(r.ids) for r in rows) <= 4
     assert {r.gram for r in rows if 99 in r.ids} == {"qqq"} and any(r.gram == " 𝒳y" for r in rows)
     got = {(r.keyword, r.doc_id) for r in kw.search(index, docs, spark.createDataFrame([("AB7 ",), ("𝒳YZ É",), ("b39",), ("ab7 text",), ("qqqqq",), ("É",), ("zz",)], "keyword string")).collect()}
-    assert {x for x in got if x[0] not in ("𝒳YZ É", "É")} == {("AB7 ", 7), ("b39", 39), ("ab7 text", 7), ("qqqqq", 99)}
-    assert len(got) == 4 + (40 if "𝒳yz é" == "𝒳YZ É".lower() else 0) + 40 and len([x for x in got if x[0] == "É"]) == 40
+    every = {(w, i) for w in ("𝒳YZ É", "É") for i in range(40)}
+    assert got == every | {("AB7 ", 7), ("b39", 39), ("ab7 text", 7), ("qqqqq", 99)}
