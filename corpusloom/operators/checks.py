@@ -23,15 +23,20 @@ def signature(expected: Column) -> Column:
     '[positional_only]' takes no keyword. Entries without a colon or star say nothing.
     """
     kind = lambda p: F.regexp_extract(F.btrim(p), r"^\[([^\]]*)\]", 1)
-    parsed = F.transform(expected, lambda p: F.struct(F.btrim(F.regexp_replace(F.btrim(p), r"^\[[^\]]*\]", "")).alias("text"), kind(p).alias("kind")))
-    named = F.filter(parsed, lambda p: ~p["text"].startswith("*") & p["text"].contains(":"))
-    only = lambda keyword, optional: F.filter(named, lambda p: ((p["kind"] == "keyword_only") == keyword) & (p["text"].contains("=") == optional))
+    entries = F.transform(expected, lambda p: F.struct(F.btrim(F.regexp_replace(F.btrim(p), r"^\[[^\]]*\]", "")).alias("text"), kind(p).alias("kind")))
+    # a value that is used many times is made once
+    once = lambda value, use: F.transform(F.array(value), use)[0]
     names = lambda ps: F.transform(ps, lambda p: F.substring_index(p["text"], ":", 1))
-    return F.struct(
-        (expected.isNull() | (F.size(expected) == 0)).alias("nothing"), F.size(only(F.lit(False), F.lit(False))).alias("least"), F.size(F.filter(named, lambda p: p["kind"] != "keyword_only")).alias("most"),
-        F.exists(parsed, lambda p: p["text"].startswith("*") & ~p["text"].startswith("**")).alias("varargs"), F.exists(parsed, lambda p: p["text"].startswith("**")).alias("any_name"),
-        names(F.filter(named, lambda p: p["kind"] != "positional_only")).alias("names"), names(only(F.lit(True), F.lit(False))).alias("needed"),
-    )
+
+    def own(parsed: Column, named: Column) -> Column:
+        only = lambda keyword, optional: F.filter(named, lambda p: ((p["kind"] == "keyword_only") == keyword) & (p["text"].contains("=") == optional))
+        return F.struct(
+            (expected.isNull() | (F.size(expected) == 0)).alias("nothing"), F.size(only(F.lit(False), F.lit(False))).alias("least"), F.size(F.filter(named, lambda p: p["kind"] != "keyword_only")).alias("most"),
+            F.exists(parsed, lambda p: p["text"].startswith("*") & ~p["text"].startswith("**")).alias("varargs"), F.exists(parsed, lambda p: p["text"].startswith("**")).alias("any_name"),
+            names(F.filter(named, lambda p: p["kind"] != "positional_only")).alias("names"), names(only(F.lit(True), F.lit(False))).alias("needed"),
+        )
+
+    return once(entries, lambda parsed: once(F.filter(parsed, lambda p: ~p["text"].startswith("*") & p["text"].contains(":")), lambda named: own(parsed, named)))
 
 
 def fitted(own: Column, n_args: Column, kwargs: Column) -> Column:

@@ -14,17 +14,40 @@ from . import scopes, structure
 
 _SYMBOL = "path string, kind string, owner string, name string, params array<string>, returns string, line int"
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+_HELD = (ast.ClassDef, *_FUNCTION, ast.Import, ast.ImportFrom)
+_BLOCK = (ast.stmt, ast.ExceptHandler, ast.match_case)
+
+
+def _plain(node: ast.AST) -> str | None:
+    """What ast.unparse gives for names, dotted names, whole numbers, None and truth values, and subscripts of such, which it takes long for; null for anything else."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Constant):
+        return repr(node.value) if node.value is None or isinstance(node.value, int) else None
+    if isinstance(node, ast.Attribute):
+        # a number needs a blank before its dot
+        own = None if isinstance(node.value, ast.Constant) else _plain(node.value)
+        return own and f"{own}.{node.attr}"
+    if isinstance(node, ast.Subscript) and not isinstance(node.value, ast.Constant):
+        inner = node.slice.elts if isinstance(node.slice, ast.Tuple) and len(node.slice.elts) > 1 else [node.slice]
+        parts = [_plain(node.value), *map(_plain, inner)]
+        return None if None in parts else f"{parts[0]}[{', '.join(parts[1:])}]"
+    return None
+
+
+def _text(node: ast.AST) -> str:
+    return _plain(node) or ast.unparse(node)
 
 
 def _type(node: ast.AST | None, otherwise: str = "Any") -> str:
-    return ast.unparse(node) if node is not None else otherwise
+    return _text(node) if node is not None else otherwise
 
 
 def _default(node: ast.AST) -> str:
     """Plain values as written; a list, a dict or anything else by its brackets or dots alone."""
     if isinstance(node, ast.List | ast.Dict):
         return "[]" if isinstance(node, ast.List) else "{}"
-    return ast.unparse(node) if isinstance(node, ast.Constant | ast.Name | ast.Attribute) else "..."
+    return _text(node) if isinstance(node, ast.Constant | ast.Name | ast.Attribute) else "..."
 
 
 def _params(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
@@ -66,9 +89,17 @@ def _class_attributes(c: ast.ClassDef) -> Iterator[tuple[str, str, int, int]]:
                         yield target.attr, _type(node.annotation) if typed else "Any", node.lineno, 1 + 2 * typed
 
 
+def _statements(tree: ast.Module) -> Iterator[ast.AST]:
+    """All statements, level by level as ast.walk gives them, without their expressions."""
+    level: list[ast.AST] = [tree]
+    while level:
+        yield from level
+        level = [x for n in level for f in n._fields for x in (getattr(n, f, None),) if isinstance(x, list) for x in x if isinstance(x, _BLOCK)]
+
+
 def _symbols(path: str, content: str) -> Iterator[tuple]:
-    tree = ast.parse(content)
-    classes = [n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)]
+    nodes = [n for n in _statements(ast.parse(content)) if isinstance(n, _HELD)]
+    classes = [n for n in nodes if isinstance(n, ast.ClassDef)]
     in_class = {id(item) for c in classes for item in c.body}
     public = lambda n: isinstance(n, _FUNCTION) and not n.name.startswith("_")
     for c in classes:
@@ -79,7 +110,7 @@ def _symbols(path: str, content: str) -> Iterator[tuple]:
             if not name.startswith("_"):
                 strongest[name] = max(strongest.get(name, (-1, 0, "")), (strength, -line, type_))
         yield from ((path, "attribute", c.name, name, [], type_, -line) for name, (_, line, type_) in strongest.items())
-    for n in ast.walk(tree):
+    for n in nodes:
         if public(n) and id(n) not in in_class:
             yield path, "function", "", n.name, _params(n), _type(n.returns), n.lineno
         elif isinstance(n, ast.Import):
@@ -95,7 +126,7 @@ def _parsed(files: DataFrame, each, schema: str, nothing: tuple) -> DataFrame:
         except (SyntaxError, ValueError, RecursionError):
             return [(path, "error", *nothing)]
 
-    return structure.parsed(files, rows, schema)
+    return structure.parsed(structure.dealt(files), rows, schema)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:

@@ -488,7 +488,8 @@ def script_validation(spark, d):
     scripts = t.table(spark, d, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(key.alias("path"), script.alias("content"))
     calls = k.python_uses(scripts).where("kind = 'method'").select("path", F.col("owner").alias("module"), F.col("name").alias("symbol"), "n_args", "kwargs")
     files = _stubs(spark, d).select(F.col("c_custkey").cast("string").alias("path"), F.col("code").alias("content"))
-    found = k.python_symbols(files)
+    # both read the symbols, and they are counted
+    found = t.stored(k.python_symbols(files), "symbols")
     classes = found.where("kind = 'class'").select(F.concat(F.lit("shop."), "name").alias("module"))
     methods = found.where("kind = 'method'").select(F.concat(F.lit("shop."), "owner").alias("module"), F.col("name").alias("symbol"), F.col("params").alias("expected"))
     return c.usages(calls, classes, methods).select(F.col("path").cast("bigint").alias("o_orderkey"), "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from corpusloom.operators import code as k
 
 PY = '''
@@ -63,3 +65,28 @@ def test_declarations(spark):
     found = lambda text, language: {(r["kind"], r["name"]) for r in k.declarations(_files(spark, text, None, ""), language).collect()}
     assert found(go, "go") == {("package", "shop"), ("import", "fmt"), ("import", "net/http"), ("import", "a/b"), ("struct", "Cart"), ("interface", "Buyer"), ("function", "New"), ("method", "Add")}
     assert found(js, "javascript") == {("import", "left"), ("import", "./side"), ("import", "com"), ("class", "Shop"), ("function", "buy"), ("arrow", "pay"), ("arrow", "one"), ("interface", "I"), ("type", "T"), ("type", "E")}
+
+
+def test_plain_types_are_as_unparsed():
+    for text in ("int", "a.b.C", "Dict[str, int]", "a.B[C[int], None]", "x[()]", "x[1]", "x[1,]", "x[a:b]", "Literal['a']", "x[*a, b]", "int | None", "(1).real", "-1", "1.5", "...", "True", "f(x)", "'a'", "list[Callable[[int], str]]", "(a if b else c).d", "[1][0]"):
+        node = ast.parse(text, mode="eval").body
+        assert k._text(node) == ast.unparse(node) and k._plain(node) in (None, ast.unparse(node))
+    assert k._plain(ast.parse("Dict[str, a.B]", mode="eval").body) == "Dict[str, a.B]" and k._plain(ast.parse("f(x)", mode="eval").body) is None
+
+
+def test_files_are_dealt_out_before_they_are_parsed(spark):
+    files = spark.createDataFrame([(f"f{i}", f"class A{i}:\n    def m(self): ...\n") for i in range(100)], "path string, content string").coalesce(1)
+    assert k.python_symbols(files).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert k.python_symbols(files).where("kind = 'method'").count() == 100
+
+
+def test_scripts_are_held_against_symbols_that_are_parsed_once(spark, sf_dir, monkeypatch):
+    from corpusloom.plans import catalog
+
+    assert "script_validation" in catalog.queries()
+    from corpusloom.plans import services
+
+    written = []
+    monkeypatch.setattr(services.t, "stored", lambda df, name, own=services.t.stored: written.append(name) or own(df, name))
+    rows = services.script_validation(spark, sf_dir).groupBy("status").count().collect()
+    assert written == ["symbols"] and {r["status"] for r in rows} == {"VALID", "INVALID", "NOT_FOUND"}
