@@ -73,7 +73,7 @@ def go_receivers(spark, d):
     order = _str("o_orderkey")
     receiver = F.when(F.col("o_orderkey") % 4 == 0, F.lit("0")).otherwise(key)
     methods = t.table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(_joined(folder, "o", order, ".go").alias("path"), _joined('package n\nconst g = "a/*.go"\nfunc (c *Customer', receiver, "[T]) Add", order, "(n int) (a, b int) { s := \"}\" + `{` ; return }\nconst h = \"b/*/x\"\n").alias("content"))
-    return structure.with_receivers(structure.structure(structs.unionByName(methods))).select("path", "name", "owner", "base", "owner_path", "body")
+    return structure.with_receivers(structure.structure(structure.dealt(structs.unionByName(methods)))).select("path", "name", "owner", "base", "owner_path", "body")
 
 
 # uses in scripts --------------------------------------------------------------------------------

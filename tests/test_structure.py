@@ -151,3 +151,20 @@ def test_rows_of_few_files_are_held_at_a_time(monkeypatch):
     assert sum(taken) == 3000 * 41 and max(taken) < 3000 * 41 // 3
     monkeypatch.setattr(structure, "HELD", 1)
     assert [len(b) for b in structure.structure(files)] == [41] * 3000
+
+
+def test_receivers_read_files_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(structure, "stored", lambda df, name, own=structure.stored: written.append(name) or own(df, name))
+    files = spark.createDataFrame([(f"p/f{i}.go", f"package p\ntype T{i} struct {{}}\nfunc (t *T{i}) M() {{}}\nfunc (t U) N() {{}}\n") for i in range(50)], "path string, content string").coalesce(1)
+    out = structure.with_receivers(structure.structure(structure.dealt(files)))
+    assert written == ["receivers"] and "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["path"], r["name"], r["owner"], r["owner_path"]) for r in out.collect()} == {x for i in range(50) for x in ((f"p/f{i}.go", "M", f"T{i}", f"p/f{i}.go"), (f"p/f{i}.go", "N", "U", None))}
+
+
+def test_go_tokens_are_told_apart_with_lines_and_brackets():
+    s = lex("a := `x\n}` // c\n\n/* d\n */ ) {[}] <-é '}' £", "go")
+    assert s.text == ["a", ":=", "`x\n}`", ")", "{", "[", "}", "]", "<-", "é", "'}'", "£"]
+    assert s.kind == ["name", "sign", "string", "sign", "sign", "sign", "sign", "sign", "sign", "name", "string", "sign"]
+    assert s.line == [1, 1, 1, 5, 5, 5, 5, 5, 5, 5, 5, 5] and s.partner == {5: 7, 7: 5} and s.brace[4:] == [-1] + [4] * 7
+    assert s.comments == {3: [("// c", 2, 2), ("/* d\n */", 4, 5)]}
