@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import iterative as it
+from corpusloom.operators import overlap
 from corpusloom.operators import rerank as rr
 from corpusloom.sources import tables as t
 
@@ -176,3 +179,37 @@ def test_topics(given, spark):
     assert history.where("action = 'local_check'").count() == len(TOPICS)
     lists = it.enhanced(topics.where("query_id = 8"), expand).collect()
     assert {r["query"] for r in lists} == {"fox", "fox such"}
+
+
+def test_best_rows_equal_a_plain_count(monkeypatch):
+    rng = random.Random(5)
+    lists = [rng.sample("abcdefgh", rng.randint(1, 6)) for _ in range(30)] + [["none"]]
+    rows = [(rng.choice([None, *"klmnop"]), rng.randint(-3, 3), rng.sample("abcdefxyz", rng.randint(0, 9))) for _ in range(400)]
+    # a key and hash stand for one content
+    rows = list({(k, h): (k, h, w) for k, h, w in rows}.values()) * 3
+    rng.shuffle(rows)
+    want = {}
+    for j, own in enumerate(lists):
+        found = {((k is not None, k, h), len(set(own) & set(w))) for k, h, w in rows}
+        want[j] = sorted(((-c, r) for r, c in found if c), key=lambda x: x)[:4]
+    for counts in (1, 500, 1 << 20):
+        monkeypatch.setattr(overlap, "COUNTS", counts)
+        best = overlap._Best(lists, 4)
+        for a in range(0, len(rows), 37):
+            part = rows[a : a + 37]
+            best.add([r[0] for r in part], [r[1] for r in part], pa.array([r[2] for r in part], pa.list_(pa.string())))
+        kept, found = best.best()
+        got = {j: sorted((-c, found[i]) for x, c, i in kept.tolist() if x == j) for j in range(len(lists))}
+        assert got == want
+
+
+def test_few_rows_leave_the_tasks(spark):
+    """However many rows hold a common word, a task gives on no more than n for each different list of words."""
+    rows = spark.range(0, 5000, 1, 4).selectExpr("concat('u', id) AS url", "concat('common ', id % 7) AS content")
+    asked = spark.createDataFrame([(1, "common"), (2, "Common 3"), (2, "common"), (3, "no"), (4, "3 common")], "query_id int, query string")
+    lists = [(i, w) for i, w in enumerate((["common"], ["common", "3"], ["no"]))]
+    held = rows.select(F.col("url").alias("key"), F.xxhash64("content").alias("hash"), it.words(F.col("content")).alias("words"))
+    assert overlap.most_words(lists, held, 10).groupBy("no").count().where("count > 40").count() == 0
+    found = sorted((r["query_id"], r["rank"], r["url"]) for r in it.by_words(asked, rows).select("query_id", "rank", "row.url").collect())
+    plain, three = sorted(f"u{i}" for i in range(5000))[:10], sorted(f"u{i}" for i in range(5000) if i % 7 == 3)[:10]
+    assert found == [(q, k + 1, u) for q, urls in ((1, plain), (2, three), (4, three)) for k, u in enumerate(urls)]
